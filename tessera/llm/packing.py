@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, plain_text, table, written
-from tessera.llm.tokens import chunk_ids, default_path
+from tessera.llm.tokens import part_ids, default_path
 
 WINDOW = 4096
 END_ID = 1
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
     end = END_ID.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = chunk_ids(tokenizer)
+        cache = part_ids(tokenizer)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

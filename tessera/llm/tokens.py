@@ -1,23 +1,30 @@
 """Token ids of whole texts, by a public tokenizer file.
 
-The word BPE vocabulary splits at white space before it merges, so the ids of a
-text are the ids of its white-space-separated chunks in order.  Chunks repeat;
-each process keeps the ids of those it has seen, up to a bound.
+The word BPE vocabulary lowers letters and splits before it merges: first at
+white space, then into runs of letters, single digits and runs of signs.  The
+ids of a text are therefore those of its parts in order.  Parts repeat; each
+process keeps the ids of those it has seen, up to a bound.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from unicodedata import is_normalized
 
-# Python's split() also cuts at these four; the tokenizer does not.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+import regex
 
+# Python's split() also cuts at the four control characters; lower() looks at a
+# sigma's neighbours; special tokens are found before letters are lowered.
+WHOLE = re.compile("[\x1c-\x1fΣ]|<\\|")
+# Fixed value: the vocabulary's own rule for its parts.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-class ChunkIds(dict):
-    """chunk -> little-endian unsigned 32-bit ids, filled when a chunk is first met."""
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
+class PartIds(dict):
+    """part -> little-endian unsigned 32-bit ids, filled when a part is first met."""
+
+    def __init__(self, path: str, most: int = 700_000, longest: int = 48):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -30,28 +37,32 @@ class ChunkIds(dict):
 
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encoded(chunk)
-        if len(chunk) <= self.longest:
+    def __missing__(self, part: str) -> bytes:
+        if part.isalpha() or len(cut := PARTS.findall(part)) < 2:
+            ids = self.encoded(part)
+        else:
+            ids = b"".join(map(self.__getitem__, cut))
+        if len(part) <= self.longest:
             if len(self) >= self.most:
                 self.clear()
-            self[chunk] = ids
+            self[part] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, four bytes each."""
-        if ODD_SPACE.search(text):
+        low = text.lower()
+        if WHOLE.search(text) or not is_normalized("NFC", low):
             return self.encoded(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, low.split()))
 
 
-_open: dict[str, ChunkIds] = {}
+_open: dict[str, PartIds] = {}
 
 
-def chunk_ids(path: str) -> ChunkIds:
+def part_ids(path: str) -> PartIds:
     """One cache for each tokenizer file in a Python worker."""
     if path not in _open:
-        _open[path] = ChunkIds(path)
+        _open[path] = PartIds(path)
     return _open[path]
 
 
