@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.media import op2_media_columns
 from tessera.llm.packing import op3_best_fit_packing
 from tessera.llm.simhash import op1_simhash_near_dedup
+from tessera.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_media_columns": op2_media_columns,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
