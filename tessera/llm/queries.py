@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.media import op2_media_columns
 from tessera.llm.packing import op3_best_fit_packing
+from tessera.llm.pii import op8_pii
 from tessera.llm.simhash import op1_simhash_near_dedup
 from tessera.llm.toxicity import op5_toxicity
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_toxicity": op5_toxicity,
+    "op8_pii": op8_pii,
 }
 
 ORACLES: dict[str, str] = {}
