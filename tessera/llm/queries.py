@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.html import op9_html_extraction
 from tessera.llm.media import op2_media_columns
 from tessera.llm.packing import op3_best_fit_packing
 from tessera.llm.pii import op8_pii
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op8_pii": op8_pii,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLES: dict[str, str] = {}
