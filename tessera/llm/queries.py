@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.html import op9_html_extraction
+from tessera.llm.lempel_ziv import op4_lempel_ziv
 from tessera.llm.media import op2_media_columns
 from tessera.llm.packing import op3_best_fit_packing
 from tessera.llm.pii import op8_pii
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_media_columns": op2_media_columns,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_lempel_ziv": op4_lempel_ziv,
     "op5_toxicity": op5_toxicity,
     "op8_pii": op8_pii,
     "op9_html_extraction": op9_html_extraction,
