@@ -109,11 +109,12 @@ def apply_key(pixels: DataFrame) -> DataFrame:
 
 
 def boundary(mask: DataFrame) -> DataFrame:
-    """Set pixels with a clear neighbour within the image, one of four; a missing cell within the image is clear."""
-    near = [F.lag("fg").over(ROW), F.lead("fg").over(ROW), F.lag("fg").over(COLUMN), F.lead("fg").over(COLUMN)]
+    """Set pixels with a clear neighbour, one of four; beyond the image, and where a cell has no row, all is clear."""
     clear = F.lit(False)
-    for n in near:
-        clear = clear | F.coalesce(n == 0, F.lit(False))
+    for window, at in ((ROW, "x"), (COLUMN, "y")):
+        for step, shift in ((F.lag, -1), (F.lead, 1)):
+            set_ = (step(at).over(window) == F.col(at) + shift) & (step("fg").over(window) == 1)
+            clear = clear | ~F.coalesce(set_, F.lit(False))
     return mask.withColumn("edge", clear).filter("fg = 1 and edge").select("image_id", "x", "y")
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.colour import hex_colour, oklab
+from tessera.operators import clusters as C
 from tessera.operators import decisions as D
 from tessera.operators import features as X
+from tessera.operators import paths as S
 from tessera.operators import pixels as P
 from tessera.operators import regions as R
 from tessera.plans.oracles import PALETTE, SIDE
@@ -189,3 +191,24 @@ def answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Here is the choice for turn "), F.col("turn").cast("string"), F.lit(":\n"), wrapped, F.lit("\nthat is all"))
     rows = D.answer_fields(read(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("answer")))
     return rows.select("conv_id", "turn", F.col("answer_filter_speckle").cast("int").alias("filter_speckle"), F.col("answer_clustering").alias("clustering"))
+
+
+# --- images to regions, outlines and documents ---------------------------------------------------
+
+
+def noisy_layers(px: DataFrame) -> DataFrame:
+    """Colour layers with keying, at settings for rough images."""
+    return C.colour_layers(C.with_keyed(px), precision=5, difference=48, speckle=2)
+
+
+on_pixels("connected_components", lambda px: C.component_boxes(C.connected_components(P.fixed_threshold(px, 110))))
+on_pixels("connected_components_diagonal", lambda px: C.component_boxes(C.connected_components(P.fixed_threshold(px, 110), diagonal=True)))
+on_pixels("watershed_mst_weights", lambda px: C.watershed_edges(px).groupBy("image_id", "weight").agg(F.count("*").alias("n")))
+on_pixels("watershed_regions", lambda px: R.region_stats(C.watershed_labels(px, 128)))
+on_pixels("colour_cluster_layers", lambda px: noisy_layers(px).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))
+on_pixels("contours", lambda px: S.contours(C.binary_layers(P.fixed_threshold(px, 110), 2)))
+on_pixels("polygons", lambda px: S.contours(C.binary_layers(P.fixed_threshold(px, 110), 2), polygon=True))
+on_pixels("svg_binary", lambda px: S.vectorised(C.binary_layers(P.fixed_threshold(px, 110), 2), P.sizes(px)))
+on_pixels("svg_stacked_pixel", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), level=2))
+on_pixels("svg_stacked_polygon", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), polygon=True, level=1))
+on_pixels("svg_stacked_plain", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), level=0))

@@ -147,10 +147,10 @@ ORACLES: dict[str, str] = {
     ),
     "same_colour_edges": q("SELECT image_id, count(*) AS n, count(*) FILTER (abs((r >> 2) - (nr >> 2)) <= 1 AND abs((g >> 2) - (ng >> 2)) <= 1 AND abs((b >> 2) - (nb >> 2)) <= 1) AS same FROM pairs GROUP BY image_id", PX, PAIRS),
     "edge_weight_histogram": q("SELECT image_id, greatest(abs(r - nr), abs(g - ng), abs(b - nb)) AS weight, count(*) AS n FROM pairs GROUP BY ALL", PX, PAIRS),
-    "boundary_pixels": q("SELECT m.image_id, m.x, m.y FROM mask m WHERE fg = 1 AND EXISTS (SELECT 1 FROM mask n WHERE n.image_id = m.image_id AND n.fg = 0 AND abs(n.x - m.x) + abs(n.y - m.y) = 1)", PX, GREY, MASK),
+    "boundary_pixels": q("SELECT m.image_id, m.x, m.y FROM mask m WHERE fg = 1 AND (SELECT count(*) FROM mask n WHERE n.image_id = m.image_id AND n.fg = 1 AND abs(n.x - m.x) + abs(n.y - m.y) = 1) < 4", PX, GREY, MASK),
     "mask_facts": q(
         "SELECT image_id, area, \"left\", top, \"right\", bottom, first_x, first_y, length FROM (SELECT image_id, count(*) AS area, min(x) AS \"left\", min(y) AS top, max(x) + 1 AS \"right\", max(y) + 1 AS bottom FROM mask WHERE fg = 1 GROUP BY image_id) JOIN (SELECT image_id, arg_min(x, y * 64 + x) AS first_x, arg_min(y, y * 64 + x) AS first_y, count(*) AS length FROM edge GROUP BY image_id) USING (image_id)",
-        PX, GREY, MASK, "edge AS (SELECT m.image_id, m.x, m.y FROM mask m WHERE fg = 1 AND EXISTS (SELECT 1 FROM mask n WHERE n.image_id = m.image_id AND n.fg = 0 AND abs(n.x - m.x) + abs(n.y - m.y) = 1))",
+        PX, GREY, MASK, "edge AS (SELECT m.image_id, m.x, m.y FROM mask m WHERE fg = 1 AND (SELECT count(*) FROM mask n WHERE n.image_id = m.image_id AND n.fg = 1 AND abs(n.x - m.x) + abs(n.y - m.y) = 1) < 4)",
     ),
     "mask_crop": q("SELECT m.image_id, m.x - l AS x, m.y - t AS y, fg FROM mask m JOIN (SELECT image_id, min(x) l, max(x) r, min(y) t, max(y) b FROM mask WHERE fg = 1 GROUP BY image_id) k ON m.image_id = k.image_id AND m.x BETWEEN l AND r AND m.y BETWEEN t AND b", PX, GREY, "mask AS (SELECT image_id, x, y, (v < 90)::INTEGER AS fg FROM gr)"),
     "mask_negative": q("SELECT image_id, x, y, 1 - fg AS fg FROM mask", PX, GREY, MASK),
