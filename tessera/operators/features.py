@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.colour import luma
 from tessera.functions.text import rounded_away
-from tessera.operators.pixels import COLUMN, ROW, sizes
+from tessera.operators.pixels import along_rows, down_columns, sizes
 
 SAMPLES = 200  # per side, of the bound on samples
 
@@ -45,12 +45,13 @@ def histogram_top(samples: DataFrame, k: int = 8) -> DataFrame:
     )
 
 
-LUMA = luma(F.col("r"), F.col("g"), F.col("b"))
+def luma_level() -> Column:
+    return luma(F.col("r"), F.col("g"), F.col("b"))
 
 
 def luma_percentiles(samples: DataFrame) -> DataFrame:
     """(image_id, p5, p95) from a histogram of 32 bins, by the bin's middle."""
-    bin_ = F.shiftright(F.greatest(F.lit(0), F.least(F.lit(255), LUMA)).cast("int"), 3)
+    bin_ = F.shiftright(F.greatest(F.lit(0), F.least(F.lit(255), luma_level())).cast("int"), 3)
     counts = samples.groupBy("image_id", bin_.alias("bin")).agg(F.count("*").alias("n"))
     up = Window.partitionBy("image_id").orderBy("bin")
     acc = counts.withColumn("acc", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy("image_id")))
@@ -73,10 +74,10 @@ def colourfulness(samples: DataFrame) -> DataFrame:
 
 def gradients(samples: DataFrame) -> DataFrame:
     """(image_id, mean_gradient, edge_density, flat_share, noise_level) of a 3x3 Sobel and Laplacian, borders skipped."""
-    cells = samples.select("image_id", "x", "y", LUMA.alias("c"))
-    rows = cells.withColumns({"l": F.lag("c").over(ROW), "r": F.lead("c").over(ROW)})
+    cells = samples.select("image_id", "x", "y", luma_level().alias("c"))
+    rows = cells.withColumns({"l": F.lag("c").over(along_rows()), "r": F.lead("c").over(along_rows())})
     names = ["l", "c", "r"]
-    full = rows.withColumns({f"t{n}": F.lag(n).over(COLUMN) for n in names} | {f"b{n}": F.lead(n).over(COLUMN) for n in names})
+    full = rows.withColumns({f"t{n}": F.lag(n).over(down_columns()) for n in names} | {f"b{n}": F.lead(n).over(down_columns()) for n in names})
     inner = full.filter("l is not null and r is not null and tc is not null and bc is not null")
     c = F.col
     gx = (c("tr") + 2 * c("r") + c("br")) - (c("tl") + 2 * c("l") + c("bl"))
@@ -93,7 +94,7 @@ def border_spread(samples: DataFrame) -> DataFrame:
     """(image_id, background_uniformity): spread of luma on a frame of a twelfth of the shorter side."""
     wide = F.greatest(F.lit(1), F.floor(F.least("dw", "dh") * 0.08 + 0.5).cast("int"))
     on = (F.col("x") < wide) | (F.col("y") < wide) | (F.col("x") >= F.col("dw") - wide) | (F.col("y") >= F.col("dh") - wide)
-    return samples.filter(on).groupBy("image_id").agg(F.stddev_pop(LUMA).alias("background_uniformity"))
+    return samples.filter(on).groupBy("image_id").agg(F.stddev_pop(luma_level()).alias("background_uniformity"))
 
 
 def image_features(pixels: DataFrame, side: int = SAMPLES) -> DataFrame:
@@ -102,7 +103,7 @@ def image_features(pixels: DataFrame, side: int = SAMPLES) -> DataFrame:
     n = F.count("*")
     shares = s.groupBy("image_id").agg(
         F.first("w").alias("width"), F.first("h").alias("height"), (F.count_if(F.col("a") < 250) / n).alias("transparent_share"),
-        (F.count_if(LUMA < 64) / n).alias("dark_share"), (F.count_if(LUMA > 192) / n).alias("light_share"),
+        (F.count_if(luma_level() < 64) / n).alias("dark_share"), (F.count_if(luma_level() > 192) / n).alias("light_share"),
     )
     p = luma_percentiles(s).select("image_id", (F.col("p95") - F.col("p5")).cast("double").alias("luminance_spread"))
     out = shares

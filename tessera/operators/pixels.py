@@ -6,14 +6,22 @@ image_id none of them needs a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions.colour import intensity
 
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("image_id", "x").orderBy("y")
-GREY = intensity(F.col("r"), F.col("g"), F.col("b"))
+
+def along_rows() -> WindowSpec:
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def down_columns() -> WindowSpec:
+    return Window.partitionBy("image_id", "x").orderBy("y")
+
+
+def grey_level() -> Column:
+    return intensity(F.col("r"), F.col("g"), F.col("b"))
 
 
 def sizes(pixels: DataFrame) -> DataFrame:
@@ -22,18 +30,18 @@ def sizes(pixels: DataFrame) -> DataFrame:
 
 
 def grey(pixels: DataFrame) -> DataFrame:
-    return pixels.select("image_id", "x", "y", GREY.alias("v"))
+    return pixels.select("image_id", "x", "y", grey_level().alias("v"))
 
 
 def fixed_threshold(pixels: DataFrame, value: int = 128) -> DataFrame:
     """Foreground is darker than ``value``."""
-    return pixels.select("image_id", "x", "y", (GREY < value).cast("int").alias("fg"))
+    return pixels.select("image_id", "x", "y", (grey_level() < value).cast("int").alias("fg"))
 
 
 def summed_area(pixels: DataFrame) -> DataFrame:
     """Inclusive sums of grey levels over the rectangle from the origin: along rows, then down columns."""
-    along = grey(pixels).withColumn("s", F.sum(F.col("v").cast("long")).over(ROW))
-    return along.select("image_id", "x", "y", "v", F.sum("s").over(COLUMN).alias("sat"))
+    along = grey(pixels).withColumn("s", F.sum(F.col("v").cast("long")).over(along_rows()))
+    return along.select("image_id", "x", "y", "v", F.sum("s").over(down_columns()).alias("sat"))
 
 
 def rectangle_sum(sat: DataFrame, left: Column, top: Column, right: Column, bottom: Column) -> DataFrame:
@@ -111,7 +119,7 @@ def apply_key(pixels: DataFrame) -> DataFrame:
 def boundary(mask: DataFrame) -> DataFrame:
     """Set pixels with a clear neighbour, one of four; beyond the image, and where a cell has no row, all is clear."""
     clear = F.lit(False)
-    for window, at in ((ROW, "x"), (COLUMN, "y")):
+    for window, at in ((along_rows(), "x"), (down_columns(), "y")):
         for step, shift in ((F.lag, -1), (F.lead, 1)):
             set_ = (step(at).over(window) == F.col(at) + shift) & (step("fg").over(window) == 1)
             clear = clear | ~F.coalesce(set_, F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.colour import difference, edge_weight, lab_distance, oklab, same_colour
-from tessera.operators.pixels import COLUMN, ROW
+from tessera.operators.pixels import along_rows, down_columns
 
 RGB = ["r", "g", "b"]
 
@@ -14,7 +14,7 @@ RGB = ["r", "g", "b"]
 def neighbours(cells: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each cell and its neighbour to the right or below: ``columns``, and the neighbour's as ``n_``."""
     found = []
-    for window, step in ((ROW, "x"), (COLUMN, "y")):
+    for window, step in ((along_rows(), "x"), (down_columns(), "y")):
         after = cells.withColumns({f"n_{c}": F.lead(c).over(window) for c in columns} | {"n_at": F.lead(step).over(window)})
         found.append(after.filter(F.col("n_at") == F.col(step) + 1).drop("n_at"))
     return found[0].union(found[1])
