@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import table, written
 
 SEED = "mix-1"
 #: Default weights: a source of n documents gets n ** TEMPER shares.
 TEMPER = 0.5
+#: A source with more than this share of all documents, one in HOT, is never shuffled by its name.
+HOT = 512
 
 
 def uniform(*parts: Column) -> Column:
@@ -25,23 +27,25 @@ def uniform(*parts: Column) -> Column:
 
 
 def target_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None) -> DataFrame:
-    """(source, rate): the mean number of copies of a source's documents.
+    """(m_source, rate, hot): the mean number of copies of a source's documents.
 
     A source's share of ``total`` (the number of documents, if none is given) is
     its weight's share; sources without a weight get none.  Null is a source of
-    its own, named "" in ``weights``.
+    its own, named "" in ``weights``.  A hot source has more than one document
+    in HOT, so there are fewer than HOT of them.
     """
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("m_source")).agg(F.count("*").alias("n"))
     if weights is None:
-        weighted = sizes.withColumn("weight", F.pow("n", F.lit(TEMPER)))
+        weighted = written(sizes.withColumn("weight", F.pow("n", F.lit(TEMPER))), "mix-sizes")
     else:
         named = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "m_source string, weight double")
-        weighted = sizes.join(named, "m_source", "left").fillna(0.0, ["weight"])
-    whole = weighted.agg(F.sum("weight").alias("weights"), F.sum("n").alias("all"))
-    out = F.lit(total) if total is not None else F.col("all")
-    return weighted.crossJoin(F.broadcast(whole)).select(  # one row of sums
-        "m_source", F.when(F.col("weights") > 0, F.col("weight") / F.col("weights") * out / F.col("n")).otherwise(0.0).alias("rate")
-    )
+        weighted = written(sizes.join(named, "m_source", "left").fillna(0.0, ["weight"]), "mix-sizes")
+    whole = weighted.agg(F.sum("weight").alias("weights"), F.sum("n").alias("all")).first()
+    if not whole["all"]:
+        return weighted.select("m_source", F.lit(0.0).alias("rate"), F.lit(False).alias("hot"))
+    out = whole["all"] if total is None else total
+    rate = F.col("weight") / F.lit(whole["weights"]) * F.lit(out) / F.col("n") if whole["weights"] else F.lit(0.0)
+    return weighted.select("m_source", rate.alias("rate"), (F.col("n") * HOT > whole["all"]).alias("hot"))
 
 
 def distribution(rate: Column) -> Column:
@@ -66,13 +70,14 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, total:
     """
     keep = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    source = F.coalesce("source", F.lit(""))
     rates = target_rates(docs, weights, total).withColumn("m_below", distribution(F.col("rate"))).drop("rate")
-    drawn = (
-        docs.select(*keep, F.coalesce("source", F.lit("")).alias("m_source"), uniform(F.lit(seed), ident).alias("m_u"))
-        .join(rates, "m_source")
-        .withColumn("m_n", F.size(F.filter("m_below", lambda c: c <= F.col("m_u"))))
-        .filter("m_n > 0")
-    )
+    hot = [r["m_source"] for r in rates.filter("hot").select("m_source").collect()]  # fewer than HOT
+    rows = docs.select(*keep, source.alias("m_source"), uniform(F.lit(seed), ident).alias("m_u"))
+    drawn = rows.filter(F.col("m_source").isin(hot)).join(F.broadcast(rates.filter("hot")), "m_source")
+    if not rates.filter("not hot").isEmpty():
+        drawn = drawn.unionByName(rows.filter(~F.col("m_source").isin(hot)).join(rates.filter("not hot"), "m_source"))
+    drawn = drawn.withColumn("m_n", F.size(F.filter("m_below", lambda c: c <= F.col("m_u")))).filter("m_n > 0")
     copies = drawn.select(*keep, F.explode(F.sequence(F.lit(0), F.col("m_n") - 1)).alias("copy"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))))
     return keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
