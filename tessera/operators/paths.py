@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.colour import hex_colour
 from tessera.operators.clusters import mask_labels
+from tessera.operators.curves import spline
 
 POINTS = "array<struct<x:double,y:double>>"
 #: Steps along the lattice, and the two pixels (dx, dy) whose border a step follows.
@@ -118,8 +119,12 @@ def thinned(points: list[tuple[int, int]], most: float = 1.0) -> list[tuple[int,
     return [*out, points[-1]] if len(points) > 1 else out
 
 
-def contours(layers: DataFrame, polygon: bool = False) -> DataFrame:
-    """paths of layers(image_id, z, ..., cells); a layer is a group, so that an image's layers are traced side by side."""
+def contours(layers: DataFrame, mode: str = "pixel", corner: float = 60, length: float = 4.0, rounds: int = 10, splice: float = 45) -> DataFrame:
+    """paths of layers(image_id, z, ..., cells) with ``cubic``, whether the points are a chain of cubics.
+
+    A layer is a group, so that an image's layers are traced side by side.
+    Angles are in degrees.
+    """
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -128,12 +133,15 @@ def contours(layers: DataFrame, polygon: bool = False) -> DataFrame:
             mask = np.zeros((ys.max() - ys.min() + 1, xs.max() - xs.min() + 1), bool)
             mask[ys - ys.min(), xs - xs.min()] = True
             for points, clockwise in outlines(mask):
-                if polygon:
+                if mode != "pixel":
                     points = thinned(without_stairs(points, clockwise))
-                found.append([{"x": float(x + xs.min()), "y": float(y + ys.min())} for x, y in points])
-        return pd.DataFrame({"image_id": key[0], "z": key[1], "path": range(len(found)), "points": found})
+                if mode == "spline":
+                    points = [(p.real, p.imag) for p in spline(points, math.radians(corner), length, rounds, math.radians(splice))]
+                if points:
+                    found.append([{"x": float(x + xs.min()), "y": float(y + ys.min())} for x, y in points])
+        return pd.DataFrame({"image_id": key[0], "z": key[1], "path": range(len(found)), "points": found, "cubic": mode == "spline"})
 
-    return layers.groupBy("image_id", "z").applyInPandas(kernel, f"image_id long, z int, path int, points {POINTS}")
+    return layers.groupBy("image_id", "z").applyInPandas(kernel, f"image_id long, z int, path int, points {POINTS}, cubic boolean")
 
 
 # --- cleaning and writing ------------------------------------------------------------------------
@@ -231,10 +239,16 @@ def path_texts(paths: DataFrame, level: int = 1, digits: int | None = 2) -> Data
 
     def text(subpaths: list) -> str:
         pen = Pen(level, digits)
-        for points in subpaths:
+        for points, cubic in ((p["points"], p["cubic"]) for p in subpaths):
             corners = [(p["x"], p["y"]) for p in points]
             if len(corners) < 2:
                 continue
+            if cubic:
+                pen.move(corners[0])
+                for k in range(1, len(corners) - 2, 3):
+                    pen.cubic(*corners[k : k + 3])
+                pen.close()
+                continue
             body = corners[1:-1] if corners[0] == corners[-1] else corners[1:]
             pen.move(corners[0])
             for p in body:
@@ -246,7 +260,7 @@ def path_texts(paths: DataFrame, level: int = 1, digits: int | None = 2) -> Data
     def texts(rows: pd.Series) -> pd.Series:
         return rows.map(text)
 
-    ordered = paths.groupBy("image_id", "z").agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "points"))), lambda p: p["points"]).alias("subpaths"))
+    ordered = paths.groupBy("image_id", "z").agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "points", "cubic"))), lambda p: F.struct(p["points"].alias("points"), p["cubic"].alias("cubic"))).alias("subpaths"))
     return ordered.select("image_id", "z", texts("subpaths").alias("d")).filter("d <> ''")
 
 
@@ -272,9 +286,10 @@ def svg_documents(texts: DataFrame, layers: DataFrame, sizes: DataFrame, level:
     return sizes.join(body, "image_id", "left").select("image_id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("</svg>\n")).alias("svg"))
 
 
-def vectorised(layers: DataFrame, sizes: DataFrame, polygon: bool = False, level: int = 1, digits: int = 2) -> DataFrame:
+def vectorised(layers: DataFrame, sizes: DataFrame, mode: str = "pixel", level: int = 1, digits: int = 2, **curve: float) -> DataFrame:
     """Layers to SVG: outlines, rounding and tidying (but at level 0), texts, documents."""
-    paths = contours(layers, polygon)
+    paths = contours(layers, mode, **curve)
     if level:
-        paths = paths.withColumn("points", tidied(quantised(F.col("points"), digits))).filter(F.size("points") > 1)
+        rounded = quantised(F.col("points"), digits)
+        paths = paths.withColumn("points", F.when(F.col("cubic"), rounded).otherwise(tidied(rounded))).filter(F.size("points") > 1)
     return svg_documents(path_texts(paths, level, digits), layers, sizes, level)

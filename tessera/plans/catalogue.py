@@ -207,8 +207,10 @@ on_pixels("watershed_mst_weights", lambda px: C.watershed_edges(px).groupBy("ima
 on_pixels("watershed_regions", lambda px: R.region_stats(C.watershed_labels(px, 128)))
 on_pixels("colour_cluster_layers", lambda px: noisy_layers(px).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))
 on_pixels("contours", lambda px: S.contours(C.binary_layers(P.fixed_threshold(px, 110), 2)))
-on_pixels("polygons", lambda px: S.contours(C.binary_layers(P.fixed_threshold(px, 110), 2), polygon=True))
+on_pixels("polygons", lambda px: S.contours(C.binary_layers(P.fixed_threshold(px, 110), 2), "polygon"))
+on_pixels("splines", lambda px: S.contours(C.binary_layers(P.fixed_threshold(px, 110), 2), "spline"))
+on_pixels("svg_stacked_spline", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), "spline", level=2))
 on_pixels("svg_binary", lambda px: S.vectorised(C.binary_layers(P.fixed_threshold(px, 110), 2), P.sizes(px)))
 on_pixels("svg_stacked_pixel", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), level=2))
-on_pixels("svg_stacked_polygon", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), polygon=True, level=1))
+on_pixels("svg_stacked_polygon", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), "polygon"))
 on_pixels("svg_stacked_plain", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), level=0))

@@ -28,7 +28,7 @@ class Settings:
     filter_speckle: int = 4
     color_precision: int = 6
     layer_difference: int = 16
-    mode: str = "polygon"
+    mode: str = "spline"
     corner_threshold: int = 60
     length_threshold: float = 4.0
     splice_threshold: int = 45
@@ -90,10 +90,11 @@ def painted(layers: DataFrame, s: Settings) -> DataFrame:
 
 
 def drawn(layers: DataFrame, px: DataFrame, s: Settings) -> DataFrame:
-    """(image_id, svg). Outlines are exact or polygons; other fits are refused."""
-    if s.mode == "spline" or s.hierarchical == "cutout":
-        raise NotImplementedError("curves and shared borders are not built yet")
-    return paths.vectorised(painted(layers, s), pixels.sizes(px), s.mode == "polygon", s.optimize, s.path_precision)
+    """(image_id, svg) of stacked layers; shared borders are refused."""
+    if s.hierarchical == "cutout":
+        raise NotImplementedError("shared borders are not built yet")
+    curve = {"corner": s.corner_threshold, "length": s.length_threshold, "splice": s.splice_threshold}
+    return paths.vectorised(painted(layers, s), pixels.sizes(px), s.mode, s.optimize, s.path_precision, **curve)
 
 
 def vectorise(px: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import clusters as C
+from tessera.operators import curves as V
 from tessera.operators import decisions as D
 from tessera.operators import features as X
 from tessera.operators import paths as S
@@ -150,9 +151,23 @@ def test_documents(spark):
     assert set(__import__("re").findall('fill="([^"]+)"', r.svg)) <= {"#C80A0A", "#0A0AC8"}
 
 
+def test_curves(spark):
+    arc = [100 * np.exp(1j * np.pi / 2 * k / 20) for k in range(21)]
+    found = V.chain(arc, 0.5)
+    assert 1 <= len(found) <= 3 and abs(found[0][0] - arc[0]) < 1e-9 and abs(found[-1][3] - arc[-1]) < 1e-9
+    t = np.linspace(0, 1, 50)
+    assert max(abs(np.abs(V.at(c, t)) - 100).max() for c in found) < 0.6
+    (r,) = vectorise(pixels(spark, 16, 8, three), Settings(filter_speckle=2)).collect()
+    assert "#0000FF" in r.svg and "#00FF00" in r.svg and "C" in r.svg.split("<path", 1)[1].upper() and "Z" in r.svg
+    disc = pixels(spark, 40, 40, lambda x, y: (0, 0, 0) if (x - 20) ** 2 + (y - 20) ** 2 < 225 else (255, 255, 255))
+    (p,) = S.contours(C.binary_layers(P.fixed_threshold(disc)), "spline").collect()
+    ring = np.array([complex(q.x, q.y) for q in p.points])
+    assert len(ring) % 3 == 1 and np.abs(np.abs(ring[::3] - 20 - 20j) - 15).max() < 1.6
+
+
 def test_transparent_background_is_left_out(spark):
     px = pixels(spark, 8, 8, lambda x, y: (255, 255, 255, 255) if 2 <= x < 6 and 2 <= y < 6 else (0, 0, 0, 0))
-    (r,) = vectorise(px, Settings(filter_speckle=1)).collect()
+    (r,) = vectorise(px, Settings(filter_speckle=1, mode="polygon")).collect()
     assert r.svg.count("<path") == 1 and "#FFFFFF" in r.svg
 
 
@@ -178,7 +193,7 @@ def test_session_keeps_its_segmentation(spark):
     a = s.render(Settings(filter_speckle=2, mode="pixel")).first().svg
     b = s.render(Settings(filter_speckle=2, mode="polygon", optimize=2)).first().svg
     assert s.made == 1 and a == vectorise(px, Settings(filter_speckle=2, mode="pixel")).first().svg and b
-    s.render(Settings(filter_speckle=1)).first()
+    s.render(Settings(filter_speckle=1, mode="pixel")).first()
     assert s.made == 2
     s.close()
 
