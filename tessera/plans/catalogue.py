@@ -12,6 +12,7 @@ from tessera.functions.colour import hex_colour, oklab
 from tessera.operators import clusters as C
 from tessera.operators import decisions as D
 from tessera.operators import features as X
+from tessera.operators import mosaic as M
 from tessera.operators import paths as S
 from tessera.operators import pixels as P
 from tessera.operators import regions as R
@@ -214,3 +215,10 @@ on_pixels("svg_binary", lambda px: S.vectorised(C.binary_layers(P.fixed_threshol
 on_pixels("svg_stacked_pixel", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), level=2))
 on_pixels("svg_stacked_polygon", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), "polygon"))
 on_pixels("svg_stacked_plain", lambda px: S.vectorised(noisy_layers(px), P.sizes(px), level=0))
+
+
+on_pixels("merge_similar", lambda px: R.region_stats(M.merged_similar(C.watershed_labels(px, 128), 60)))
+on_pixels("mosaic_segments", lambda px: M.border_segments(C.watershed_labels(px, 128)))
+on_pixels("mosaic_faces", lambda px: M.region_paths(C.watershed_labels(px, 128)).select("image_id", "z", "path", F.size("points").alias("n")))
+on_pixels("svg_cutout", lambda px: M.cutout(noisy_layers(px), P.sizes(px), "polygon"))
+on_pixels("svg_cutout_spline", lambda px: M.cutout(noisy_layers(px), P.sizes(px), "spline", level=2))

@@ -7,7 +7,7 @@ from dataclasses import astuple, dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import clusters, paths, pixels, regions
+from tessera.operators import clusters, mosaic, paths, pixels, regions
 
 # Other spellings of a choice.
 ALIASES = {
@@ -90,10 +90,11 @@ def painted(layers: DataFrame, s: Settings) -> DataFrame:
 
 
 def drawn(layers: DataFrame, px: DataFrame, s: Settings) -> DataFrame:
-    """(image_id, svg) of stacked layers; shared borders are refused."""
-    if s.hierarchical == "cutout":
-        raise NotImplementedError("shared borders are not built yet")
+    """(image_id, svg): layers stacked, or cut out as a flat partition."""
     curve = {"corner": s.corner_threshold, "length": s.length_threshold, "splice": s.splice_threshold}
+    if s.hierarchical == "cutout":
+        most = max(2, (255 - s.watershed_detail) // 8) if s.clustering == "watershed" else s.layer_difference
+        return mosaic.cutout(painted(layers, s), pixels.sizes(px), s.mode, most, s.optimize, s.path_precision, **curve)
     return paths.vectorised(painted(layers, s), pixels.sizes(px), s.mode, s.optimize, s.path_precision, **curve)
 
 

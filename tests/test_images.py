@@ -10,6 +10,7 @@ from tessera.operators import clusters as C
 from tessera.operators import curves as V
 from tessera.operators import decisions as D
 from tessera.operators import features as X
+from tessera.operators import mosaic as M
 from tessera.operators import paths as S
 from tessera.operators import pixels as P
 from tessera.plans.config import PRESETS, Session, Settings, vectorise
@@ -223,3 +224,41 @@ def test_answers_over_rules(spark):
     for answer, speckle in [('{"arguments": {"filter_speckle": 7}}', 7), ('{"filter_speckle": "9"}', 9), ('text {"function_calls": [{"arguments": {"filter_speckle": 500}}]} more', 128), ('{"success": false, "filter_speckle": 7}', 4), ("no object", 4)]:
         (r,) = D.merged_answer(D.answer_fields(rules.withColumn("answer", F.lit(answer)))).collect()
         assert r.filter_speckle == speckle and r.repaired
+
+
+def area(points):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:])) / 2
+
+
+def test_faces_cover_their_regions():
+    r = np.random.default_rng(7)
+    for size, kinds in ((6, 2), (9, 3), (12, 5)):
+        labels = r.integers(0, kinds, (size, size + 2))
+        segments = M.Borders(labels).segments()
+        edges = sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for p, _, _ in segments for a, b in zip(p, p[1:]))
+        assert edges == (labels[:, 1:] != labels[:, :-1]).sum() + (labels[1:] != labels[:-1]).sum() + 2 * sum(labels.shape)
+        for region, cycles in M.faces(segments).items():
+            total = 0
+            for cycle in cycles:
+                line = []
+                for k, forward in cycle:
+                    p = segments[k][0] if forward else segments[k][0][::-1]
+                    assert not line or line[-1] == p[0]
+                    line += p if not line else p[1:]
+                assert line[0] == line[-1]
+                total += area(line)
+            assert total == (labels == region).sum()
+
+
+def test_cutouts(spark):
+    px = pixels(spark, 16, 8, three)
+    for mode in ("pixel", "polygon", "spline"):
+        (r,) = vectorise(px, Settings(filter_speckle=2, hierarchical="cutout", mode=mode, color_precision=8)).collect()
+        assert r.svg.count("<path") == 3 and "Z" in r.svg
+
+
+def test_similar_regions_merge(spark):
+    px = pixels(spark, 8, 4, lambda x, y: (100 + x // 2, 100, 100) if x < 6 else (200, 0, 0))
+    labels = px.withColumn("region", F.expr("x div 2"))
+    got = {(r.region, r.r) for r in M.merged_similar(labels.drop("a"), 5).select("region", "r").distinct().collect()}
+    assert got == {(0, 101), (1, 200)}
