@@ -13,9 +13,11 @@ from tessera.operators import clusters as C
 from tessera.operators import decisions as D
 from tessera.operators import features as X
 from tessera.operators import mosaic as M
+from tessera.operators import palettes as A
 from tessera.operators import paths as S
 from tessera.operators import pixels as P
 from tessera.operators import regions as R
+from tessera.operators import watershed as W
 from tessera.plans.oracles import PALETTE, SIDE
 from tessera.sources import rasters
 
@@ -222,3 +224,6 @@ on_pixels("mosaic_segments", lambda px: M.border_segments(C.watershed_labels(px,
 on_pixels("mosaic_faces", lambda px: M.region_paths(C.watershed_labels(px, 128)).select("image_id", "z", "path", F.size("points").alias("n")))
 on_pixels("svg_cutout", lambda px: M.cutout(noisy_layers(px), P.sizes(px), "polygon"))
 on_pixels("svg_cutout_spline", lambda px: M.cutout(noisy_layers(px), P.sizes(px), "spline", level=2))
+on_pixels("watershed_layers", lambda px: W.watershed_layers(px).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))
+on_pixels("svg_watershed", lambda px: S.vectorised(W.watershed_layers(px, 100, 16), P.sizes(px), "polygon"))
+on_pixels("median_cut", lambda px: A.joined_neighbours(A.quantised_layers(noisy_layers(px), 6)).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))

@@ -7,7 +7,7 @@ from dataclasses import astuple, dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import clusters, mosaic, paths, pixels, regions
+from tessera.operators import clusters, mosaic, palettes, paths, pixels, regions, watershed
 
 # Other spellings of a choice.
 ALIASES = {
@@ -73,20 +73,18 @@ def segmented(px: DataFrame, s: Settings) -> DataFrame:
         mask = pixels.adaptive_threshold(px, s.binary_window, s.binary_percent) if s.binary_adaptive else pixels.fixed_threshold(px, s.binary_threshold)
         return clusters.binary_layers(mask, s.filter_speckle)
     if s.clustering == "watershed":
-        labels = clusters.watershed_labels(px, s.watershed_detail)
-        cells = labels.groupBy("image_id", F.col("region").alias("z")).agg(
-            *[F.expr(f"cast(sum({c}) div count(*) as int)").alias(c) for c in "rgb"], F.sort_array(F.collect_list(F.struct("y", "x"))).alias("cells")
-        )
-        return cells.filter(F.size("cells") >= s.filter_speckle**2)
+        return watershed.watershed_layers(px, s.watershed_detail, s.filter_speckle**2)
     return clusters.colour_layers(clusters.with_keyed(px), s.color_precision, s.layer_difference, s.filter_speckle)
 
 
 def painted(layers: DataFrame, s: Settings) -> DataFrame:
-    """Layers in the palette's colours, where there is one."""
-    if not s.palette:
-        return layers
-    snapped = regions.snapped(layers, list(s.palette))
-    return snapped.select("image_id", "z", *[F.col(f"p{c}").alias(c) for c in "rgb"], "cells")
+    """Layers in the palette's colours, or in few of their own, where that is asked for."""
+    if s.palette:
+        snapped = regions.snapped(layers, list(s.palette)).select("image_id", "z", *[F.col(f"p{c}").alias(c) for c in "rgb"], "cells")
+        return palettes.joined_neighbours(snapped)
+    if s.max_colors:
+        return palettes.joined_neighbours(palettes.quantised_layers(layers, s.max_colors))
+    return layers
 
 
 def drawn(layers: DataFrame, px: DataFrame, s: Settings) -> DataFrame:

@@ -11,8 +11,10 @@ from tessera.operators import curves as V
 from tessera.operators import decisions as D
 from tessera.operators import features as X
 from tessera.operators import mosaic as M
+from tessera.operators import palettes as A
 from tessera.operators import paths as S
 from tessera.operators import pixels as P
+from tessera.operators import watershed as W
 from tessera.plans.config import PRESETS, Session, Settings, vectorise
 from tessera.sources.rasters import exploded, image_rows
 from tessera.streaming.images import arriving_files, newest_requests
@@ -262,3 +264,45 @@ def test_similar_regions_merge(spark):
     labels = px.withColumn("region", F.expr("x div 2"))
     got = {(r.region, r.r) for r in M.merged_similar(labels.drop("a"), 5).select("region", "r").distinct().collect()}
     assert got == {(0, 101), (1, 200)}
+
+
+def test_watershed_layers(spark):
+    def scene(x, y):
+        return (250, 250, 250) if (x - 12) ** 2 + (y - 10) ** 2 < 36 else (30, 30, 30) if x < 20 else (30, 120 + y, 30)
+
+    layers = W.watershed_layers(pixels(spark, 32, 24, scene), 60, 4).collect()
+    cells = {r.z: {(c.x, c.y) for c in r.cells} for r in layers}
+    assert len(cells[0]) == 32 * 24
+    disc = {(x, y) for x in range(32) for y in range(24) if (x - 12) ** 2 + (y - 10) ** 2 < 36}
+    assert any(c == disc for c in cells.values())
+    (r,) = vectorise(pixels(spark, 16, 8, three), Settings(clustering="watershed", mode="pixel")).collect()
+    assert 'width="16" height="8"' in r.svg and "<path" in r.svg
+
+
+def test_tree_weights_are_the_smallest():
+    r = np.random.default_rng(5)
+    rgb = r.integers(0, 256, (7, 9, 3))
+    p, q, weight, keep = C.spanning_tree(rgb)
+    assert len(weight) == 62 and (np.diff(weight) >= 0).all() and (keep >= 0).all()
+    flat = rgb.reshape(-1, 3)
+    edges = sorted((int(np.abs(flat[i] - flat[j]).max()), i, j) for i in range(63) for j in (i + 1, i + 9) if j < 63 and (j - i == 9 or j % 9))
+    parent = list(range(63))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    total = []
+    for d, i, j in edges:
+        if find(i) != find(j):
+            parent[find(i)] = find(j)
+            total.append(d)
+    assert sorted(weight.tolist()) == total
+
+
+def test_few_colours(spark):
+    assert A.median_cut([((0, 0, 0), 5), ((10, 0, 0), 5), ((200, 0, 0), 5)], 2) == [(5, 0, 0), (200, 0, 0)] or len(A.median_cut([((0, 0, 0), 5), ((10, 0, 0), 5), ((200, 0, 0), 5)], 2)) == 2
+    assert len(A.median_cut([((i, i, i), 1) for i in range(50)], 8)) == 8
+    (r,) = vectorise(pixels(spark, 16, 8, three), Settings(filter_speckle=2, max_colors=2, mode="pixel")).collect()
+    assert len(set(__import__("re").findall('fill="([^"]+)"', r.svg))) <= 3
