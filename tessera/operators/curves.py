@@ -209,3 +209,61 @@ def spline(points: list[tuple[int, int]], corner: float, length: float, rounds:
         for c in chain(part):
             out += [*c[:1], *c[1:]] if not out else c[1:]
     return out
+
+
+# --- fewer cubics ----------------------------------------------------------------------------
+
+
+def leaving(c: Cubic) -> complex:
+    """Unit tangent at a cubic's start; zero for a cubic that is a point."""
+    return next((unit(p - c[0]) for p in c[1:] if abs(p - c[0]) >= 1e-9), 0j)
+
+
+def arriving(c: Cubic) -> complex:
+    return next((unit(c[3] - p) for p in (c[2], c[1], c[0]) if abs(c[3] - p) >= 1e-9), 0j)
+
+
+def bend(before: Cubic, after: Cubic) -> float:
+    """Angle between two cubics that meet; a straight angle where one is a point."""
+    a, b = arriving(before), leaving(after)
+    return math.acos(max(-1.0, min(1.0, a.real * b.real + a.imag * b.imag))) if a and b else math.pi
+
+
+def samples(run: list[Cubic], tolerance: float) -> np.ndarray:
+    """Points about a pixel apart, closer for a small tolerance; the ends exactly."""
+    gap = min(1.0, max(0.25, tolerance))
+    parts = [np.array([run[0][0]])]
+    for c in run:
+        n = min(512, max(1, math.ceil(sum(abs(b - a) for a, b in zip(c, c[1:])) / gap)))
+        parts.append(at(c, np.arange(1, n + 1) / n))
+    return np.concatenate(parts)
+
+
+def simplified(curves: list[Cubic], tolerance: float, corner: float, closed: bool) -> list[Cubic]:
+    """Smooth runs between corners fitted anew within ``tolerance``, where that takes fewer cubics; a ring is opened at its sharpest joint."""
+    if tolerance <= 0 or len(curves) < 2:
+        return curves
+    if closed:
+        bends = [bend(curves[k - 1], c) for k, c in enumerate(curves)]
+        seam = bends.index(max(bends))
+        curves = curves[seam:] + curves[:seam]
+    cuts = [0, *(k for k in range(1, len(curves)) if bend(curves[k - 1], curves[k]) >= corner), len(curves)]
+    out: list[Cubic] = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        run = curves[lo:hi]
+        start, end = leaving(run[0]), arriving(run[-1])
+        if len(run) > 1 and start and end:
+            fit = cubics(samples(run, tolerance), start, -end, tolerance)
+            if len(fit) < len(run):
+                fit[0] = (run[0][0], *fit[0][1:])
+                fit[-1] = (*fit[-1][:3], run[-1][3])
+                run = fit
+        out += run
+    return out
+
+
+def thinned_chain(points: list[complex], tolerance: float, corner: float) -> list[complex]:
+    """``simplified`` over 1 + 3n points."""
+    curves = [tuple(points[k : k + 4]) for k in range(0, len(points) - 3, 3)]
+    out = simplified(curves, tolerance, corner, points[0] == points[-1])  # type: ignore[arg-type]
+    return [out[0][0], *(p for c in out for p in c[1:])] if out else points

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.clusters import grid, per_image
-from tessera.operators.curves import chain, corners_of, spline
+from tessera.operators.curves import chain, corners_of, spline, thinned_chain
 from tessera.operators.paths import POINTS, thinned, without_stairs
 
 #: Steps east, south, west, north; and the pixel (dx, dy) to the right and to the left of a step from a lattice corner.
@@ -182,13 +182,15 @@ def border_segments(labels: DataFrame) -> DataFrame:
     return per_image(labels, kernel, f"segment int, region_right int, region_left int, points {POINTS}")
 
 
-def region_paths(labels: DataFrame, mode: str = "pixel", corner: float = 60, length: float = 4.0, splice: float = 45) -> DataFrame:
+def region_paths(labels: DataFrame, mode: str = "pixel", corner: float = 60, length: float = 4.0, splice: float = 45, simplify: float = 0.0) -> DataFrame:
     """paths(image_id, z, path, points, cubic), z the region: outlines out of borders that are each fitted once."""
 
     def kernel(pdf: pd.DataFrame) -> dict[str, list]:
         _, _, (region,) = grid(pdf.assign(region=pdf.region + 1), "region")
         segments = Borders(region - 1).segments()
         shapes = [fitted(p, mode, math.radians(corner), length, math.radians(splice)) for p, _, _ in segments]
+        if simplify > 0:
+            shapes = [(thinned_chain(p, simplify, math.radians(corner)), True) if curved and p else (p, curved) for p, curved in shapes]
         rows: dict[str, list] = {k: [] for k in ("z", "path", "points", "cubic")}
         for z, cycles in sorted(faces(segments).items()):
             for n, cycle in enumerate(cycles):

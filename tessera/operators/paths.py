@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.colour import hex_colour
 from tessera.operators.clusters import mask_labels
-from tessera.operators.curves import spline
+from tessera.operators.curves import spline, thinned_chain
 
 POINTS = "array<struct<x:double,y:double>>"
 #: Steps along the lattice, and the two pixels (dx, dy) whose border a step follows.
@@ -119,11 +119,12 @@ def thinned(points: list[tuple[int, int]], most: float = 1.0) -> list[tuple[int,
     return [*out, points[-1]] if len(points) > 1 else out
 
 
-def contours(layers: DataFrame, mode: str = "pixel", corner: float = 60, length: float = 4.0, rounds: int = 10, splice: float = 45) -> DataFrame:
+def contours(layers: DataFrame, mode: str = "pixel", corner: float = 60, length: float = 4.0, rounds: int = 10, splice: float = 45, simplify: float = 0.0) -> DataFrame:
     """paths of layers(image_id, z, ..., cells) with ``cubic``, whether the points are a chain of cubics.
 
     A layer is a group, so that an image's layers are traced side by side.
-    Angles are in degrees.
+    Angles are in degrees.  ``simplify`` is the distance within which cubics may
+    be fitted anew to have fewer.
     """
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +137,9 @@ def contours(layers: DataFrame, mode: str = "pixel", corner: float = 60, length:
                 if mode != "pixel":
                     points = thinned(without_stairs(points, clockwise))
                 if mode == "spline":
-                    points = [(p.real, p.imag) for p in spline(points, math.radians(corner), length, rounds, math.radians(splice))]
+                    line = spline(points, math.radians(corner), length, rounds, math.radians(splice))
+                    line = thinned_chain(line, simplify, math.radians(corner)) if line and simplify > 0 else line
+                    points = [(p.real, p.imag) for p in line]
                 if points:
                     found.append([{"x": float(x + xs.min()), "y": float(y + ys.min())} for x, y in points])
         return pd.DataFrame({"image_id": key[0], "z": key[1], "path": range(len(found)), "points": found, "cubic": mode == "spline"})

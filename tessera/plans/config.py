@@ -89,7 +89,7 @@ def painted(layers: DataFrame, s: Settings) -> DataFrame:
 
 def drawn(layers: DataFrame, px: DataFrame, s: Settings) -> DataFrame:
     """(image_id, svg): layers stacked, or cut out as a flat partition."""
-    curve = {"corner": s.corner_threshold, "length": s.length_threshold, "splice": s.splice_threshold}
+    curve = {"corner": s.corner_threshold, "length": s.length_threshold, "splice": s.splice_threshold, "simplify": s.simplify or 0.0}
     if s.hierarchical == "cutout":
         most = max(2, (255 - s.watershed_detail) // 8) if s.clustering == "watershed" else s.layer_difference
         return mosaic.cutout(painted(layers, s), pixels.sizes(px), s.mode, most, s.optimize, s.path_precision, **curve)

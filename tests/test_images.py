@@ -306,3 +306,20 @@ def test_few_colours(spark):
     assert len(A.median_cut([((i, i, i), 1) for i in range(50)], 8)) == 8
     (r,) = vectorise(pixels(spark, 16, 8, three), Settings(filter_speckle=2, max_colors=2, mode="pixel")).collect()
     assert len(set(__import__("re").findall('fill="([^"]+)"', r.svg))) <= 3
+
+
+def test_fewer_cubics():
+    t = np.linspace(0, 2 * np.pi, 25)
+    ring = (50 * np.exp(1j * t)).tolist()
+    many = [c for a, b in zip(ring, ring[1:]) for c in V.chain([a, b], 0.5)]
+    few = V.simplified(many, 1.0, np.pi / 3, True)
+    assert len(few) < len(many) and few[0][0] == few[-1][3]
+    u = np.linspace(0, 1, 20)
+    assert max(np.abs(np.abs(V.at(c, u)) - 50).max() for c in few) < 2
+    assert V.simplified(many, 0.0, 1.0, True) is many
+
+
+def test_simplified_documents_are_not_longer(spark):
+    px = pixels(spark, 40, 40, lambda x, y: (0, 0, 0) if (x - 20) ** 2 + (y - 20) ** 2 < 300 else (255, 255, 255))
+    plain, less = (len(vectorise(px, Settings(simplify=s)).first().svg) for s in (None, 2.0))
+    assert less <= plain
