@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.colour import luma
 from tessera.functions.text import rounded_away
-from tessera.operators.pixels import along_rows, down_columns, sizes
+from tessera.operators.pixels import along_rows, down_columns, with_size
 
 SAMPLES = 200  # per side, of the bound on samples
 
@@ -20,12 +20,11 @@ def sampled(pixels: DataFrame, side: int = SAMPLES) -> DataFrame:
     """
     scale = F.sqrt(F.col("w") * F.col("h") / float(side * side))
     small = [F.when(scale <= 1, F.col(c)).otherwise(F.greatest(F.lit(2), F.floor(F.col(c) / scale + 0.5).cast("int"))).alias(f"d{c}") for c in "wh"]
-    grid = sizes(pixels).select("image_id", "w", "h", *small)
     # x * w div dw = px  <=>  ceil(px * dw / w) <= x < ceil((px + 1) * dw / w)
     def cells(p: str, w: str) -> str:
         return f"filter(sequence(({p} * d{w} + {w} - 1) div {w} - 1, (({p} + 1) * d{w} + {w} - 1) div {w}), q -> q >= 0 and q < d{w} and q * {w} div d{w} = {p})"
 
-    placed = pixels.join(grid, "image_id").withColumn("sx", F.expr(cells("x", "w"))).withColumn("sy", F.expr(cells("y", "h")))
+    placed = with_size(pixels).select("*", *small).withColumn("sx", F.expr(cells("x", "w"))).withColumn("sy", F.expr(cells("y", "h")))
     shown = placed.filter((F.size("sx") > 0) & (F.size("sy") > 0)).drop("x", "y")
     across = shown.withColumn("x", F.explode("sx")).drop("sx")
     down = across.withColumn("y", F.explode("sy")).drop("sy")
@@ -64,52 +63,76 @@ def luma_percentiles(samples: DataFrame) -> DataFrame:
     return acc.groupBy("image_id").agg(at(0.05).alias("p5"), at(0.95).alias("p95"))
 
 
-def colourfulness(samples: DataFrame) -> DataFrame:
-    """(image_id, colorfulness) from means and spreads of the opponent channels."""
+def opponents() -> list[Column]:
+    """Sums for ``colourful``: means of the opponent channels and of their squares."""
     rg, yb = F.col("r") - F.col("g"), 0.5 * (F.col("r") + F.col("g")) - F.col("b")
-    m = samples.groupBy("image_id").agg(F.avg(rg).alias("m1"), F.avg(yb).alias("m2"), F.avg(rg * rg).alias("s1"), F.avg(yb * yb).alias("s2"))
+    return [F.avg(rg).alias("m1"), F.avg(yb).alias("m2"), F.avg(rg * rg).alias("s1"), F.avg(yb * yb).alias("s2")]
+
+
+def colourful() -> Column:
     v = [F.greatest(F.lit(0.0), F.col(f"s{k}") - F.col(f"m{k}") * F.col(f"m{k}")) for k in (1, 2)]
-    return m.select("image_id", (F.sqrt(v[0] + v[1]) + 0.3 * F.sqrt(F.col("m1") * F.col("m1") + F.col("m2") * F.col("m2"))).alias("colorfulness"))
+    return (F.sqrt(v[0] + v[1]) + 0.3 * F.sqrt(F.col("m1") * F.col("m1") + F.col("m2") * F.col("m2"))).alias("colorfulness")
 
 
-def gradients(samples: DataFrame) -> DataFrame:
-    """(image_id, mean_gradient, edge_density, flat_share, noise_level) of a 3x3 Sobel and Laplacian, borders skipped."""
-    cells = samples.select("image_id", "x", "y", luma_level().alias("c"))
-    rows = cells.withColumns({"l": F.lag("c").over(along_rows()), "r": F.lead("c").over(along_rows())})
-    names = ["l", "c", "r"]
-    full = rows.withColumns({f"t{n}": F.lag(n).over(down_columns()) for n in names} | {f"b{n}": F.lead(n).over(down_columns()) for n in names})
-    inner = full.filter("l is not null and r is not null and tc is not null and bc is not null")
+def colourfulness(samples: DataFrame) -> DataFrame:
+    """(image_id, colorfulness) from means and spreads of the opponent channels."""
+    return samples.groupBy("image_id").agg(*opponents()).select("image_id", colourful())
+
+
+def with_gradients(samples: DataFrame) -> DataFrame:
+    """``samples`` with ``grad`` and ``lap`` of a 3x3 Sobel and Laplacian of luma; null on the rim."""
+    near = samples.withColumn("tc_", luma_level())
+    near = near.withColumns({"tl_": F.lag("tc_").over(along_rows()), "tr_": F.lead("tc_").over(along_rows())})
+    up = {f"u{n}": F.lag(f"t{n}_").over(down_columns()) for n in "lcr"}
+    down = {f"d{n}": F.lead(f"t{n}_").over(down_columns()) for n in "lcr"}
+    full = near.withColumns(up | down)
     c = F.col
-    gx = (c("tr") + 2 * c("r") + c("br")) - (c("tl") + 2 * c("l") + c("bl"))
-    gy = (c("bl") + 2 * c("bc") + c("br")) - (c("tl") + 2 * c("tc") + c("tr"))
-    made = inner.select("image_id", (F.sqrt(gx * gx + gy * gy) / 8).alias("g"), F.abs((c("tc") + c("bc") + c("l") + c("r")) - 4 * c("c")).alias("lap"))
-    flat = F.col("g") < 24
-    return made.groupBy("image_id").agg(
-        F.avg("g").alias("mean_gradient"), (F.count_if(F.col("g") > 48) / F.count("*")).alias("edge_density"), (F.count_if(flat) / F.count("*")).alias("flat_share"),
-        F.coalesce(F.avg(F.when(flat, F.col("lap"))), F.lit(0.0)).alias("noise_level"),
-    )
+    gx = (c("ur") + 2 * c("tr_") + c("dr")) - (c("ul") + 2 * c("tl_") + c("dl"))
+    gy = (c("dl") + 2 * c("dc") + c("dr")) - (c("ul") + 2 * c("uc") + c("ur"))
+    made = {"grad": F.sqrt(gx * gx + gy * gy) / 8, "lap": F.abs((c("uc") + c("dc") + c("tl_") + c("tr_")) - 4 * c("tc_"))}
+    return full.withColumns(made).drop("tc_", "tl_", "tr_", *up, *down)
 
 
-def border_spread(samples: DataFrame) -> DataFrame:
-    """(image_id, background_uniformity): spread of luma on a frame of a twelfth of the shorter side."""
+def gradient_facts() -> list[Column]:
+    """Over the samples that are not on the rim."""
+    g, flat = F.col("grad"), F.col("grad") < 24
+    n = F.count("grad")
+    return [
+        F.coalesce(F.avg(g), F.lit(0.0)).alias("mean_gradient"), F.coalesce(F.try_divide(F.count_if(g > 48), n), F.lit(0.0)).alias("edge_density"),
+        F.coalesce(F.try_divide(F.count_if(flat), n), F.lit(0.0)).alias("flat_share"), F.coalesce(F.avg(F.when(flat, F.col("lap"))), F.lit(0.0)).alias("noise_level"),
+    ]
+
+
+def gradients(samples: DataFrame) -> DataFrame:
+    """(image_id, mean_gradient, edge_density, flat_share, noise_level)."""
+    return with_gradients(samples).groupBy("image_id").agg(*gradient_facts())
+
+
+def on_border() -> Column:
+    """Whether a sample is on a frame of a twelfth of the shorter side."""
     wide = F.greatest(F.lit(1), F.floor(F.least("dw", "dh") * 0.08 + 0.5).cast("int"))
-    on = (F.col("x") < wide) | (F.col("y") < wide) | (F.col("x") >= F.col("dw") - wide) | (F.col("y") >= F.col("dh") - wide)
-    return samples.filter(on).groupBy("image_id").agg(F.stddev_pop(luma_level()).alias("background_uniformity"))
+    return (F.col("x") < wide) | (F.col("y") < wide) | (F.col("x") >= F.col("dw") - wide) | (F.col("y") >= F.col("dh") - wide)
+
+
+def border_spread(samples: DataFrame) -> DataFrame:
+    """(image_id, background_uniformity): spread of luma on the frame."""
+    return samples.groupBy("image_id").agg(F.stddev_pop(F.when(on_border(), luma_level())).alias("background_uniformity"))
 
 
 def image_features(pixels: DataFrame, side: int = SAMPLES) -> DataFrame:
-    """All features.  Images of two samples across have no inner pixels; their gradient features are zero."""
+    """All features: one aggregation over the samples, and one each for the two histograms.
+
+    Images of two samples across have no inner pixels; their gradient features are zero.
+    """
     s = sampled(pixels, side)
     n = F.count("*")
-    shares = s.groupBy("image_id").agg(
+    main = with_gradients(s).groupBy("image_id").agg(
         F.first("w").alias("width"), F.first("h").alias("height"), (F.count_if(F.col("a") < 250) / n).alias("transparent_share"),
         (F.count_if(luma_level() < 64) / n).alias("dark_share"), (F.count_if(luma_level() > 192) / n).alias("light_share"),
-    )
+        F.stddev_pop(F.when(on_border(), luma_level())).alias("background_uniformity"), *opponents(), *gradient_facts(),
+    ).withColumn("colorfulness", colourful())
     p = luma_percentiles(s).select("image_id", (F.col("p95") - F.col("p5")).cast("double").alias("luminance_spread"))
-    out = shares
-    for part in (histogram_top(s), p, colourfulness(s), border_spread(s)):
-        out = out.join(part, "image_id")
-    out = out.join(gradients(s), "image_id", "left").fillna(0.0, ["mean_gradient", "edge_density", "flat_share", "noise_level"])
+    out = main.join(histogram_top(s), "image_id").join(p, "image_id")
     return out.withColumn("megapixels", F.col("width") * F.col("height") / 1000000).withColumn("aspect_ratio", F.col("width") / F.col("height")).select(*FEATURES)
 
 

@@ -29,6 +29,12 @@ def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
 
+def with_size(pixels: DataFrame) -> DataFrame:
+    """``pixels`` with their image's w and h; where an image stands together, this needs no shuffle."""
+    image = Window.partitionBy("image_id")
+    return pixels.withColumns({"w": F.max("x").over(image) + 1, "h": F.max("y").over(image) + 1})
+
+
 def grey(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "x", "y", grey_level().alias("v"))
 
@@ -64,17 +70,14 @@ def rectangle_sum(sat: DataFrame, left: Column, top: Column, right: Column, bott
 def adaptive_threshold(pixels: DataFrame, window: int = 0, percent: float = 15.0) -> DataFrame:
     """Foreground is not lighter than the window's mean less ``percent``; window 0 is an eighth of the shorter side.
 
-    Sums along each row's window and then down each column's: two sliding
-    frames, whose bounds are the clipped window itself.
+    The window is clipped to the image, and its sum looked up in the summed areas.
     """
     factor = 1.0 - min(100.0, max(0.0, percent)) / 100.0
     if window:
         half = F.lit(window // 2)
-        sized = summed_area(pixels).join(sizes(pixels), "image_id")
     else:
         half = F.expr("greatest(1, least(w, h) div 8) div 2")
-        sized = summed_area(pixels).join(sizes(pixels), "image_id")
-    box = sized.withColumns({
+    box = with_size(summed_area(pixels)).withColumns({
         "x0": F.greatest(F.lit(0), F.col("x") - half), "x1": F.least(F.col("w") - 1, F.col("x") + half),
         "y0": F.greatest(F.lit(0), F.col("y") - half), "y1": F.least(F.col("h") - 1, F.col("y") + half),
     })
@@ -87,7 +90,7 @@ def key_decision(pixels: DataFrame) -> DataFrame:
     """(image_id, keyed): whether five sampled rows hold enough transparent pixels; a row that is sampled twice counts twice."""
     rows = F.array(F.lit(0), F.expr("h div 4"), F.expr("h div 2"), F.expr("3 * h div 4"), F.col("h") - 1)
     times = F.size(F.filter(rows, lambda q: q == F.col("y")))
-    clear = pixels.join(sizes(pixels), "image_id").groupBy("image_id").agg(F.first("w").alias("w"), F.sum(F.when(F.col("a") == 0, times).otherwise(0)).alias("n"))
+    clear = with_size(pixels).groupBy("image_id").agg(F.first("w").alias("w"), F.sum(F.when(F.col("a") == 0, times).otherwise(0)).alias("n"))
     return clear.select("image_id", (F.col("n") >= F.floor(F.col("w") * 2 * 0.2)).alias("keyed"))
 
 
