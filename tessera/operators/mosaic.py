@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.clusters import grid, per_image
 from tessera.operators.curves import chain, corners_of, spline, thinned_chain
-from tessera.operators.paths import POINTS, thinned, without_stairs
+from tessera.operators.paths import PATHS, POINTS, path_texts, quantised, svg_documents, thinned, without_stairs
 
 #: Steps east, south, west, north; and the pixel (dx, dy) to the right and to the left of a step from a lattice corner.
 MOVES = ((1, 0), (0, 1), (-1, 0), (0, -1))
@@ -183,15 +183,16 @@ def border_segments(labels: DataFrame) -> DataFrame:
 
 
 def region_paths(labels: DataFrame, mode: str = "pixel", corner: float = 60, length: float = 4.0, splice: float = 45, simplify: float = 0.0) -> DataFrame:
-    """paths(image_id, z, path, points, cubic), z the region: outlines out of borders that are each fitted once."""
+    """paths of labels(image_id, x, y, region, r, g, b), z the region: outlines out of borders that are each fitted once."""
 
     def kernel(pdf: pd.DataFrame) -> dict[str, list]:
         _, _, (region,) = grid(pdf.assign(region=pdf.region + 1), "region")
+        paints = {int(k): (int(r), int(g), int(b)) for k, r, g, b in pdf.drop_duplicates("region")[["region", "r", "g", "b"]].itertuples(index=False)}
         segments = Borders(region - 1).segments()
         shapes = [fitted(p, mode, math.radians(corner), length, math.radians(splice)) for p, _, _ in segments]
         if simplify > 0:
             shapes = [(thinned_chain(p, simplify, math.radians(corner)), True) if curved and p else (p, curved) for p, curved in shapes]
-        rows: dict[str, list] = {k: [] for k in ("z", "path", "points", "cubic")}
+        rows: dict[str, list] = {k: [] for k in ("z", "r", "g", "b", "path", "points", "cubic")}
         for z, cycles in sorted(faces(segments).items()):
             for n, cycle in enumerate(cycles):
                 line: list[complex] = []
@@ -203,12 +204,14 @@ def region_paths(labels: DataFrame, mode: str = "pixel", corner: float = 60, len
                     points = points if forward else points[::-1]
                     line += points if not line else points[1:]
                 rows["z"].append(z)
+                for c, v in zip("rgb", paints[z]):
+                    rows[c].append(v)
                 rows["path"].append(n)
                 rows["points"].append([{"x": p.real, "y": p.imag} for p in line])
                 rows["cubic"].append(cubic)
         return rows
 
-    return per_image(labels, kernel, f"z int, path int, points {POINTS}, cubic boolean")
+    return per_image(labels, kernel, PATHS.removeprefix("image_id long, "))
 
 
 def labels_of_layers(layers: DataFrame) -> DataFrame:
@@ -220,11 +223,8 @@ def labels_of_layers(layers: DataFrame) -> DataFrame:
 
 def cutout(layers: DataFrame, sizes: DataFrame, mode: str = "pixel", most: int = 16, level: int = 1, digits: int = 2, **curve: float) -> DataFrame:
     """(image_id, svg) of layers as a flat partition without gaps or overlaps."""
-    from tessera.operators.paths import path_texts, quantised, svg_documents
-
     labels = merged_similar(labels_of_layers(layers), most)
     paths = region_paths(labels, mode, **curve)
     if level:
         paths = paths.withColumn("points", quantised(F.col("points"), digits))
-    paints = labels.groupBy("image_id", F.col("region").alias("z")).agg(*[F.first(c).alias(c) for c in "rgb"])
-    return svg_documents(path_texts(paths, level, digits), paints, sizes, level)
+    return svg_documents(path_texts(paths, level, digits), sizes, level)

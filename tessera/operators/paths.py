@@ -1,8 +1,9 @@
 """Outlines of layers, their simplification, and SVG.
 
-paths(image_id, z, path, points): the outlines of a layer in order, as lattice
-points whose last repeats the first; texts and documents are put together by
-ordered aggregation.
+paths(image_id, z, r, g, b, path, points, cubic): the outlines of a layer in
+order and its paint.  Points are corners whose last repeats the first, or a chain
+of cubics.  Texts and documents are put together by ordered aggregation; paints
+travel with the outlines, so that layers are made once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tessera.operators.clusters import mask_labels
 from tessera.operators.curves import spline, thinned_chain
 
 POINTS = "array<struct<x:double,y:double>>"
+PATHS = f"image_id long, z int, r int, g int, b int, path int, points {POINTS}, cubic boolean"
 #: Steps along the lattice, and the two pixels (dx, dy) whose border a step follows.
 STEPS = {"N": ((0, -1), (-1, -1), (0, -1)), "E": ((1, 0), (0, 0), (0, -1)), "S": ((0, 1), (-1, 0), (0, 0)), "W": ((-1, 0), (-1, 0), (-1, -1))}
 
@@ -142,9 +144,10 @@ def contours(layers: DataFrame, mode: str = "pixel", corner: float = 60, length:
                     points = [(p.real, p.imag) for p in line]
                 if points:
                     found.append([{"x": float(x + xs.min()), "y": float(y + ys.min())} for x, y in points])
-        return pd.DataFrame({"image_id": key[0], "z": key[1], "path": range(len(found)), "points": found, "cubic": mode == "spline"})
+        paint = {c: int(pdf[c].iloc[0]) for c in "rgb"}
+        return pd.DataFrame({"image_id": key[0], "z": key[1], **paint, "path": range(len(found)), "points": found, "cubic": mode == "spline"})
 
-    return layers.groupBy("image_id", "z").applyInPandas(kernel, f"image_id long, z int, path int, points {POINTS}, cubic boolean")
+    return layers.groupBy("image_id", "z").applyInPandas(kernel, PATHS)
 
 
 # --- cleaning and writing ------------------------------------------------------------------------
@@ -238,7 +241,7 @@ class Pen:
 
 
 def path_texts(paths: DataFrame, level: int = 1, digits: int | None = 2) -> DataFrame:
-    """(image_id, z, d): each layer's path text, its outlines in order."""
+    """(image_id, z, fill, d): each layer's colour and path text, its outlines in order."""
 
     def text(subpaths: list) -> str:
         pen = Pen(level, digits)
@@ -263,14 +266,13 @@ def path_texts(paths: DataFrame, level: int = 1, digits: int | None = 2) -> Data
     def texts(rows: pd.Series) -> pd.Series:
         return rows.map(text)
 
-    ordered = paths.groupBy("image_id", "z").agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "points", "cubic"))), lambda p: F.struct(p["points"].alias("points"), p["cubic"].alias("cubic"))).alias("subpaths"))
-    return ordered.select("image_id", "z", texts("subpaths").alias("d")).filter("d <> ''")
+    fill = hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("fill")
+    ordered = paths.groupBy("image_id", "z", fill).agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "points", "cubic"))), lambda p: F.struct(p["points"].alias("points"), p["cubic"].alias("cubic"))).alias("subpaths"))
+    return ordered.select("image_id", "z", "fill", texts("subpaths").alias("d")).filter("d <> ''")
 
 
-def svg_documents(texts: DataFrame, layers: DataFrame, sizes: DataFrame, level: int = 1) -> DataFrame:
+def svg_documents(shapes: DataFrame, sizes: DataFrame, level: int = 1) -> DataFrame:
     """(image_id, svg): layers bottom first; at level 2, runs of one fill share a group."""
-    fills = layers.select("image_id", "z", hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("fill"))
-    shapes = texts.join(fills, ["image_id", "z"])
     plain = F.concat(F.lit('<path d="'), F.col("d"), F.lit('" fill="'), F.col("fill"), F.lit('"/>\n'))
     if level == 2:
         order = Window.partitionBy("image_id").orderBy("z")
@@ -295,4 +297,4 @@ def vectorised(layers: DataFrame, sizes: DataFrame, mode: str = "pixel", level:
     if level:
         rounded = quantised(F.col("points"), digits)
         paths = paths.withColumn("points", F.when(F.col("cubic"), rounded).otherwise(tidied(rounded))).filter(F.size("points") > 1)
-    return svg_documents(path_texts(paths, level, digits), layers, sizes, level)
+    return svg_documents(path_texts(paths, level, digits), sizes, level)
