@@ -16,6 +16,7 @@ from tessera.operators import paths as S
 from tessera.operators import pixels as P
 from tessera.operators import watershed as W
 from tessera.plans.config import PRESETS, Session, Settings, vectorise
+from tessera.sources.files import palette_file, preview_size, scene_pixels, write_documents
 from tessera.sources.rasters import exploded, image_rows
 from tessera.streaming.images import arriving_files, newest_requests
 
@@ -323,3 +324,19 @@ def test_simplified_documents_are_not_longer(spark):
     px = pixels(spark, 40, 40, lambda x, y: (0, 0, 0) if (x - 20) ** 2 + (y - 20) ** 2 < 300 else (255, 255, 255))
     plain, less = (len(vectorise(px, Settings(simplify=s)).first().svg) for s in (None, 2.0))
     assert less <= plain
+
+
+def test_files_and_scenes(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("#ff0000, 00f\n\n 112233")
+    assert palette_file(spark, str(tmp_path / "p.txt")) == ((255, 0, 0), (0, 0, 255), (17, 34, 51))
+    (tmp_path / "q.txt").write_text("#ff0000 nope")
+    with pytest.raises(ValueError, match="nope"):
+        palette_file(spark, str(tmp_path / "q.txt"))
+    px = scene_pixels(spark, 2, 48, 32)
+    assert px.count() == 2 * 48 * 32
+    svgs = vectorise(px, Settings(mode="polygon"))
+    write_documents(svgs, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out"), wholetext=True)
+    assert sorted(r.value for r in back.select("value").collect()) == sorted(r.svg for r in svgs.collect())
+    (r,) = spark.range(1).select(preview_size(F.lit(1000), F.lit(10), 100, 100).alias("s")).collect()
+    assert tuple(r.s) == (100, 1)
