@@ -62,6 +62,12 @@ def grid(pdf: pd.DataFrame, *columns: str) -> tuple[int, int, list[np.ndarray]]:
     return w, h, planes
 
 
+def setting(pdf: pd.DataFrame, name: str, default):
+    """A group's own value of a setting, where its rows carry one."""
+    value = pdf[name].iloc[0] if name in pdf else default
+    return default if pd.isna(value) else value
+
+
 def per_image(pixels: DataFrame, kernel: Callable[[pd.DataFrame], dict[str, list]], schema: str) -> DataFrame:
     """Run ``kernel`` on each image's rows; it returns the columns of ``schema`` but for image_id."""
 
@@ -264,13 +270,22 @@ def layered(r: Regions, difference: int, least: int) -> list[tuple[list[int], tu
 def colour_layers(pixels: DataFrame, precision: int = 6, difference: int = 16, speckle: int = 4) -> DataFrame:
     """(image_id, z, r, g, b, cells) of pixels(image_id, x, y, r, g, b, a, keyed): z from the bottom, cells as (y, x).
 
-    ``keyed`` marks pixels that belong to no layer.
+    ``keyed`` marks pixels that belong to no layer.  Images may bring their own
+    color_precision, layer_difference and filter_speckle, and a clustering of
+    "binary" with a binary_threshold, as columns.
     """
 
     def kernel(pdf: pd.DataFrame) -> dict[str, list]:
         w, _, (r, g, b, keyed) = grid(pdf, "r", "g", "b", "keyed")
-        regions = scanned(np.stack([r, g, b], 2), precision, difference == 0, keyed == 1)
-        layers = layered(regions, difference, speckle * speckle)
+        least = int(setting(pdf, "filter_speckle", speckle)) ** 2
+        if setting(pdf, "clustering", "") == "binary":
+            labels = mask_labels((r + g + b) // 3 < int(setting(pdf, "binary_threshold", 128))).ravel()
+            found = [np.flatnonzero(labels == k).tolist() for k in np.flatnonzero(np.bincount(labels) >= max(1, least)) if k]
+            layers = [(p, (0, 0, 0)) for p in found]
+        else:
+            apart = int(setting(pdf, "layer_difference", difference))
+            regions = scanned(np.stack([r, g, b], 2), int(setting(pdf, "color_precision", precision)), apart == 0, keyed == 1)
+            layers = layered(regions, apart, least)
         cells = [[{"y": i // w, "x": i % w} for i in sorted(p)] for p, _ in layers]
         return {"z": list(range(len(layers))), **{c: [paint[k] for _, paint in layers] for k, c in enumerate("rgb")}, "cells": cells}
 

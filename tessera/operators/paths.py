@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.colour import hex_colour
-from tessera.operators.clusters import mask_labels
+from tessera.operators.clusters import mask_labels, setting
 from tessera.operators.curves import spline, thinned_chain
 
 POINTS = "array<struct<x:double,y:double>>"
@@ -126,26 +126,29 @@ def contours(layers: DataFrame, mode: str = "pixel", corner: float = 60, length:
 
     A layer is a group, so that an image's layers are traced side by side.
     Angles are in degrees.  ``simplify`` is the distance within which cubics may
-    be fitted anew to have fewer.
+    be fitted anew to have fewer.  Layers may bring their own fit_mode,
+    corner_threshold and simplify as columns.
     """
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
+        how, sharp = setting(pdf, "fit_mode", mode), math.radians(setting(pdf, "corner_threshold", corner))
+        within = setting(pdf, "simplify", simplify)
         for cells in pdf.cells:
             ys, xs = np.array([c["y"] for c in cells]), np.array([c["x"] for c in cells])
             mask = np.zeros((ys.max() - ys.min() + 1, xs.max() - xs.min() + 1), bool)
             mask[ys - ys.min(), xs - xs.min()] = True
             for points, clockwise in outlines(mask):
-                if mode != "pixel":
+                if how != "pixel":
                     points = thinned(without_stairs(points, clockwise))
-                if mode == "spline":
-                    line = spline(points, math.radians(corner), length, rounds, math.radians(splice))
-                    line = thinned_chain(line, simplify, math.radians(corner)) if line and simplify > 0 else line
+                if how == "spline":
+                    line = spline(points, sharp, length, rounds, math.radians(splice))
+                    line = thinned_chain(line, within, sharp) if line and within > 0 else line
                     points = [(p.real, p.imag) for p in line]
                 if points:
                     found.append([{"x": float(x + xs.min()), "y": float(y + ys.min())} for x, y in points])
         paint = {c: int(pdf[c].iloc[0]) for c in "rgb"}
-        return pd.DataFrame({"image_id": key[0], "z": key[1], **paint, "path": range(len(found)), "points": found, "cubic": mode == "spline"})
+        return pd.DataFrame({"image_id": key[0], "z": key[1], **paint, "path": range(len(found)), "points": found, "cubic": how == "spline"})
 
     return layers.groupBy("image_id", "z").applyInPandas(kernel, PATHS)
 

@@ -18,6 +18,7 @@ from tessera.operators import paths as S
 from tessera.operators import pixels as P
 from tessera.operators import regions as R
 from tessera.operators import watershed as W
+from tessera.plans.auto import auto_vectorise
 from tessera.plans.oracles import PALETTE, SIDE
 from tessera.sources import rasters
 
@@ -228,3 +229,4 @@ on_pixels("watershed_layers", lambda px: W.watershed_layers(px).select("image_id
 on_pixels("svg_watershed", lambda px: S.vectorised(W.watershed_layers(px, 100, 16), P.sizes(px), "polygon"))
 on_pixels("median_cut", lambda px: A.joined_neighbours(A.quantised_layers(noisy_layers(px), 6)).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))
 on_pixels("simplify_curves", lambda px: S.contours(C.binary_layers(P.fixed_threshold(px, 110), 2), "spline", simplify=2.0).select("image_id", "z", "path", F.size("points").alias("n")))
+on_pixels("svg_auto", lambda px: auto_vectorise(px, "compact", side=SIDE))

@@ -15,6 +15,7 @@ from tessera.operators import palettes as A
 from tessera.operators import paths as S
 from tessera.operators import pixels as P
 from tessera.operators import watershed as W
+from tessera.plans.auto import auto_vectorise, tuned
 from tessera.plans.config import PRESETS, Session, Settings, vectorise
 from tessera.sources.files import palette_file, preview_size, scene_pixels, write_documents
 from tessera.sources.rasters import exploded, image_rows
@@ -340,3 +341,14 @@ def test_files_and_scenes(spark, tmp_path):
     assert sorted(r.value for r in back.select("value").collect()) == sorted(r.svg for r in svgs.collect())
     (r,) = spark.range(1).select(preview_size(F.lit(1000), F.lit(10), 100, 100).alias("s")).collect()
     assert tuple(r.s) == (100, 1)
+
+
+def test_each_image_has_its_own_settings(spark):
+    scan = pixels(spark, 40, 40, lambda x, y: (0, 0, 0) if 8 <= x < 30 and 10 <= y < 30 else (255, 255, 255), image=1)
+    poster = pixels(spark, 40, 40, lambda x, y: ((200, 30, 30), (30, 30, 200))[x // 20], image=2)
+    px = scan.union(poster)
+    got = {r.image_id: r for r in tuned(px).collect()}
+    assert got[1].clustering == "binary" and got[2].clustering == "color-cluster"
+    svgs = {r.image_id: r.svg for r in auto_vectorise(px).collect()}
+    assert svgs[1].count("<path") == 1 and 'fill="#000000"' in svgs[1]
+    assert "#C81E1E" in svgs[2] and "#1E1EC8" in svgs[2]
