@@ -85,7 +85,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     guess = F.ceil(F.length(plain_text()) / 4).cast("long")
     counted = with_token_counts(docs.select("doc_id", "source", "lang", plain_text().alias("text"), guess.alias("guess"), F.md5(plain_text()).alias("digest")))
     counts = written(counted.drop("text"), "token-counts")
-    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    first = written(counts.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "first-copies")
     later = written(counts.join(first, "digest").filter("doc_id > first_id").drop("first_id"), "later-copies")
     rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("1-arrived", inserts(counts, "guess-4", "guess").unionByName(inserts(counts, "word-bpe-49k", "guess")))
