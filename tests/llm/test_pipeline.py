@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm.near_copies import one_of_each
+from tessera.llm.near_copies import SKETCH, copy_links, one_of_each
 from tessera.llm.simhash import shingle_hashes
 from tests.llm.fixtures import empty, frame, words
 
@@ -62,6 +62,18 @@ def test_large_group_of_near_copies(spark):
     assert [r.doc_id for r in one_of_each(spark.createDataFrame(docs, SCHEMA)).collect()] == [0]
 
 
+def test_large_bucket_of_many_small_groups(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(700):
+        fp, sketch = r.integers(-(1 << 62), 1 << 62), r.integers(1, 1 << 32, SKETCH, dtype=np.uint32)
+        for k in range(2):
+            sketch[k] += 1
+            rows.append((2 * i + k, int(fp) ^ k, [5], bytearray(sketch.tobytes())))
+    links = copy_links(spark.createDataFrame(rows, "set_key long, fp long, samples array<long>, sketch binary"), 0.8)
+    assert sorted((x.a, x.b) for x in links.collect()) == [(2 * i, 2 * i + 1) for i in range(700)]
+
+
 def test_stages_in_order(spark, tmp_path):
     docs = corpus()
     spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
