@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm.near_copies import SKETCH, copy_links, one_of_each
+from tessera.llm.near_copies import FAR, SKETCH, bucket_edges, copy_links, one_of_each
 from tessera.llm.simhash import shingle_hashes
 from tests.llm.fixtures import empty, frame, words
 
@@ -74,6 +74,21 @@ def test_large_bucket_of_many_small_groups(spark):
     assert sorted((x.a, x.b) for x in links.collect()) == [(2 * i, 2 * i + 1) for i in range(700)]
 
 
+def test_differing_bits_may_crowd_anywhere():
+    sketches = np.full((2, SKETCH), 7, np.uint32)
+    for shift in range(0, 64, 16):
+        for n in (6, 11, 16):
+            assert bucket_edges(np.array([1, 2]), np.array([0, ((1 << n) - 1) << shift], np.uint64), sketches, 0.8) == [(1, 2)]
+    assert bucket_edges(np.array([1, 2]), np.array([0, (1 << (FAR + 1)) - 1], np.uint64), sketches, 0.8) == []
+
+
+def test_repeated_shingles_do_not_part_a_pair(spark):
+    base = words(120, 4)
+    docs = [(1, base, "en", "s", 0), (2, base + " one phrase said again" * 60, "en", "s", 0)]
+    assert similarity(docs[0][1], docs[1][1]) >= 0.8
+    assert [r.doc_id for r in one_of_each(spark.createDataFrame(docs, SCHEMA)).collect()] == [1]
+
+
 def test_stages_in_order(spark, tmp_path):
     docs = corpus()
     spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
