@@ -1,9 +1,12 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks of text at block-level tags.  The first pass decides
-what it can from each block's length, link density and share of stop words, and
-from the part of the page it stands in; short or middling blocks stay open.  The
-second pass gives each open block the label of its nearest decided neighbours.
+what it can from each block's length, link density and share of stop words;
+parts that are marked as asides are bad, and short or middling blocks stay open.
+The second pass gives each open block the label of its nearest decided
+neighbours.  <article> and <main> are evidence for it only: neighbours are
+sought within the same one, and its end counts as no neighbour if it holds a
+good block.
 """
 
 from __future__ import annotations
@@ -70,7 +73,7 @@ class Block:
     link_chars: int
     tag: str
     aside: bool
-    article: bool
+    article: int  # which <article> or <main> it stands in, the innermost; 0: none
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -78,12 +81,12 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links = at = 0
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, whether in an aside, whether in an article
-    anchors = 0
+    open_tags: list[tuple[str, bool, int]] = []  # tag, whether in an aside, number of the article
+    anchors = articles = 0
     block_tag = "body"
 
-    def state() -> tuple[bool, bool]:
-        return (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
+    def state() -> tuple[bool, int]:
+        return (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, 0)
 
     def flush() -> None:
         nonlocal parts, links
@@ -131,7 +134,10 @@ def blocks_of(page: str) -> list[Block]:
         attrs = found["attrs"]
         named = tag not in ("html", "body", "article", "main") and attrs and any(ASIDE_NAMES.search(next(g for g in m.groups("") if g)) for m in NAMED.finditer(attrs) if any(m.groups()))
         aside = aside or (tag in ASIDE_TAGS and not (tag == "header" and article)) or bool(named) or bool(attrs and HIDDEN.search(attrs))
-        open_tags.append((tag, aside, article or tag in ("article", "main")))
+        if tag in ("article", "main"):
+            articles += 1
+            article = articles
+        open_tags.append((tag, aside, article))
         if tag in BLOCK_TAGS:
             block_tag = tag
         anchors += tag == "a"
@@ -141,9 +147,9 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block, marked: bool) -> str:
-    """good, bad, or open ("near" for middling, "short" for short blocks). ``marked``: the page marks its article."""
-    if b.aside or (marked and not b.article):
+def first_pass(b: Block) -> str:
+    """good, bad, or open ("near" for middling, "short" for short blocks)."""
+    if b.aside:
         return "bad"
     density = b.link_chars / len(b.text)
     if density > MOST_LINKS:
@@ -158,36 +164,35 @@ def first_pass(b: Block, marked: bool) -> str:
         return "good" if len(b.text) > LONG else "near"
     if stops >= FEW_STOPS:
         return "near"
-    return "short" if marked else "bad"
+    return "short" if b.article else "bad"
+
+
+def nearest(blocks: list[Block], first: list[str]) -> list[str]:
+    """The decided label before each block, of the same article or, outside of articles, of none; "" where there is none."""
+    out, last = [], {}
+    for b, label in zip(blocks, first):
+        out.append(last.get(b.article, ""))
+        if label in ("good", "bad"):
+            last[b.article] = label
+    return out
 
 
 def labels_of(blocks: list[Block]) -> list[bool]:
     """Which blocks are main text."""
-    marked = any(b.article and not b.aside for b in blocks)
-    first = [first_pass(b, marked) for b in blocks]
-    n = len(blocks)
-    before, after = [""] * n, [""] * n
-    last = ""
-    for i in range(n):
-        before[i] = last
-        last = first[i] if first[i] in ("good", "bad") else last
-    last = ""
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = first[i] if first[i] in ("good", "bad") else last
-    anything = "good" in first
+    first = [first_pass(b) for b in blocks]
+    before, after = nearest(blocks, first), nearest(blocks[::-1], first[::-1])[::-1]
+    holding = {b.article for b, label in zip(blocks, first) if label == "good"}
     out = []
-    for i, b in enumerate(blocks):
-        if first[i] in ("good", "bad"):
-            out.append(first[i] == "good")
-        elif marked:  # within the page's own article an open block's decided neighbours are those of the article
-            out.append(True)
-        elif not anything:
-            out.append(first[i] == "near")
+    for b, label, left, right in zip(blocks, first, before, after):
+        if label in ("good", "bad"):
+            out.append(label == "good")
+        elif not holding:  # nothing decided good on the whole page: its articles if any, else middling blocks
+            out.append(label == "near" or b.article > 0)
         else:
-            sides = {before[i] or "bad", after[i] or "bad"}
-            heading = b.tag in HEADING and after[i] == "good"
-            out.append(sides == {"good"} or (first[i] == "near" and "good" in sides) or heading)
+            end = "good" if b.article and b.article in holding else "bad"
+            sides = {left or end, right or end}
+            heading = b.tag in HEADING and right == "good"
+            out.append(sides == {"good"} or (label == "near" and "good" in sides) or heading)
     return out
 
 

@@ -23,6 +23,22 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+TEASER = "<article class=card><h3><a href=x>Another story of the day</a></h3><p>A few lines on it.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<div><h1>Title</h1><p>{LONG}</p><p>Tiny one.</p><p>{LONG}</p></div><div>{TEASER}{TEASER}</div>", f"Title\n\n{LONG}\n\nTiny one.\n\n{LONG}"),
+        (f"<div>{TEASER}</div><p>{LONG}</p><p>{LONG}</p>", f"{LONG}\n\n{LONG}"),
+        (f"<div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>", f"Title\n\n{LONG}\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><p><a href=x>More of this and that</a></p><p>Photo: someone</p><p><a href=y>Buy it</a></p><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
+    ],
+)
+def test_two_passes_decide_with_and_without_articles(page, want):
+    assert main_text(page) == want
+
+
 def test_table(spark):
     schema = "page_id long, url string, html string, text int, n_chars string"
     data = [(1, "u", f"<article><p>{LONG}</p></article>", 5, "x"), (1, "u", None, 5, "x"), (None, None, "", 5, "x")]
