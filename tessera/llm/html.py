@@ -57,7 +57,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|\bstyle\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -76,6 +77,15 @@ class Block:
     article: int  # which <article> or <main> it stands in, the innermost; 0: none
 
 
+def hidden(attrs: str) -> bool:
+    """Whether a tag's attributes hide it: hidden, aria-hidden="true" or style with display: none."""
+    for m in ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order; what stands in skipped elements and comments of the markup is no text."""
     out: list[Block] = []
@@ -133,7 +143,7 @@ def blocks_of(page: str) -> list[Block]:
         aside, article = state()
         attrs = found["attrs"]
         named = tag not in ("html", "body", "article", "main") and attrs and any(ASIDE_NAMES.search(next(g for g in m.groups("") if g)) for m in NAMED.finditer(attrs) if any(m.groups()))
-        aside = aside or (tag in ASIDE_TAGS and not (tag == "header" and article)) or bool(named) or bool(attrs and HIDDEN.search(attrs))
+        aside = aside or (tag in ASIDE_TAGS and not (tag == "header" and article)) or bool(named) or bool(attrs and hidden(attrs))
         if tag in ("article", "main"):
             articles += 1
             article = articles

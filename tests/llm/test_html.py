@@ -39,6 +39,18 @@ def test_two_passes_decide_with_and_without_articles(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "attrs,gone",
+    [
+        ("class='overflow-hidden'", False), ("class=visually-hidden-focusable", False), ('aria-hidden="false"', False), ("title='hidden'", False), ("data-style='display:none'", False),
+        ("hidden", True), ("class=a hidden=''", True), ("HIDDEN=until-found", True), ("aria-hidden=true", True), ("style='color:red; display : none'", True),
+    ],
+)
+def test_hidden_elements(attrs, gone):
+    assert main_text(f"<body><article {attrs}><p>{LONG}</p></article>") == ("" if gone else LONG)
+    assert main_text(f"<body {attrs}><p>{LONG}</p>") == ("" if gone else LONG)
+
+
 def test_table(spark):
     schema = "page_id long, url string, html string, text int, n_chars string"
     data = [(1, "u", f"<article><p>{LONG}</p></article>", 5, "x"), (1, "u", None, 5, "x"), (None, None, "", 5, "x")]
