@@ -38,12 +38,15 @@ READINGS = {
 SIGNS = re.escape("".join(READINGS))
 
 CANDIDATE = re.compile(
-    r"(?<!\w)[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?!\w)"  # letters set apart
-    rf"|(?<![\w{SIGNS}])(?=[{SIGNS}]*[^\W\d_])(?=[^\W\d_]*[{SIGNS}])[^\W_{SIGNS}]*(?:[{SIGNS}]+[^\W\d_]+)+[{SIGNS}]*(?!\w)"  # signs among letters
+    rf"(?<![\w{SIGNS}])(?:[^\W\d_]|[{SIGNS}])(?:[ .\-_*](?:[^\W\d_]|[{SIGNS}])){{2,}}(?!\w)"  # letters and signs set apart
+    rf"|(?<![\w{SIGNS}])(?=[{SIGNS}]*[^\W\d_])(?=[^\W\d_]*[{SIGNS}])(?:[^\W\d_]|[{SIGNS}])++(?!\w)"  # signs among letters, or at the end
     r"|(?<!\w)[^\W\d_]*([^\W\d_])\1{2,}[^\W\d_]*(?!\w)"  # a letter three times and more
 )
-LONGEST = 40  # characters of a disguised word; longer finds are keys and junk, left as they stand
-SEPARATORS = re.compile(r"[ .\-_*]")
+LONGEST = 40  # characters of an unbroken find with signs; longer ones are keys and junk, left as they stand
+# Fixed values, log costs: a separator dropped or meant, a sign that stands for itself within a word, at its end, or set apart.
+DROPPED, MEANT = -0.1, -1.2
+ITSELF, PUNCTUATION, AT_END, APART = -9.0, "!|+(", -4.0, -6.0
+SEPARATORS = frozenset(" .-_*")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
 
@@ -91,31 +94,42 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 
 
 def restored_word(written_as: str, model: np.ndarray) -> str:
-    """The most likely reading of a disguised word (lower case).
+    """The most likely reading of a disguised word, or of a phrase of letters set apart (lower case).
 
     Each character may be read as itself, as a letter it stands for, or as a
-    repetition of the letter before it, at a cost of the channel.
+    repetition of the letter before it, and each separator as nothing or as the
+    end of a word, at a cost of the channel.
     """
-    apart = SEPARATORS.sub("", written_as)
-    chars = apart if len(apart) * 2 - 1 == len(written_as) else written_as
-    paths: dict[tuple[int, int], tuple[float, str, str]] = {(0, 0): (0.0, "", "")}  # last two symbols -> score, text, last as written
-    for c in chars:
-        steps: dict[tuple[int, int], tuple[float, str, str]] = {}
-
-        def take(state: tuple[int, int], score: float, text: str) -> None:
-            if state not in steps or score > steps[state][0]:
-                steps[state] = (score, text, c)  # noqa: B023
-
-        readings = [(c, -0.1)] if c.isalpha() else [(c, -9.0), *((x, -0.7) for x in READINGS.get(c, ""))]
-        for (a, b), (score, text, last) in paths.items():
+    apart = len(written_as) > 2 and written_as[1] in SEPARATORS
+    end = len(written_as.rstrip("".join(READINGS)))
+    Node = tuple  # (node before, letter): paths share what they have in common
+    paths: dict[tuple[int, int], tuple[float, Node | None, str]] = {(0, 0): (0.0, None, "")}  # last two symbols -> score, node, last as written
+    for i, c in enumerate(written_as):
+        steps: dict[tuple[int, int], tuple[float, Node | None, str]] = {}
+        between = apart and i % 2 == 1
+        if between:
+            readings = [(" ", MEANT)]
+        elif c.isalpha():
+            readings = [(c, -0.1)]
+        else:
+            itself = (-0.5 if c in PUNCTUATION else AT_END) if i >= end and not apart else (AT_END if c in PUNCTUATION else APART) if apart else ITSELF
+            readings = [(c, itself), *((x, -0.7) for x in READINGS.get(c, ""))]
+        for (a, b), (score, node, last) in paths.items():
             for letter, cost in readings:
                 s = SYMBOLS.get(letter, OTHER_LETTER if letter.isalpha() else 0)
-                take((b, s), score + cost + float(model[a, b, s]), text + letter)
-            if last == c and text:
-                take((a, b), score - 1.0, text)  # written once more than meant
+                now = score + cost + (float(model[a, b, s]) if b or s or i < end else 0.0)  # a word ends once
+                if (b, s) not in steps or now > steps[b, s][0]:
+                    steps[b, s] = (now, (node, letter), c if not between else "")
+            stay = score + DROPPED if between else score - 1.0 if last == c and node else None  # or written once more than meant
+            if stay is not None and ((a, b) not in steps or stay > steps[a, b][0]):
+                steps[a, b] = (stay, node, last if between else c)
         paths = steps
-    best = max(((score + float(model[a, b, 0]), text) for (a, b), (score, text, _) in paths.items()), default=(0.0, written_as))
-    return best[1]
+    node = max(((score + (float(model[a, b, 0]) if b else 0.0), n) for (a, b), (score, n, _) in paths.items()), key=lambda x: x[0])[1]
+    letters = []
+    while node:
+        node, letter = node
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 class Restorer:
@@ -126,8 +140,11 @@ class Restorer:
 
     def word(self, found: re.Match) -> str:
         w = found[0]
-        if len(w) > LONGEST:
+        apart = len(w) > 2 and w[1] in SEPARATORS
+        if not any(map(str.isalpha, w)) or (len(w) > LONGEST and not apart and not w.isalpha()):
             return w
+        if len(w) > LONGEST:  # not worth keeping
+            return restored_word(w, self.model)
         if w not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()

@@ -44,6 +44,18 @@ def test_restoring(spark):
     assert r("a" * 200 + "0x") == "a" * 200 + "0x"
 
 
+def test_restoring_signs_at_the_end_and_phrases_set_apart(spark):
+    docs, _ = documents()
+    said = [(f"you {a} are {b} grass",) for a, b in zip(BAD * 200, BAD[::-1] * 200)]
+    r = Restorer(log_model(trigram_counts(spark.createDataFrame(said + [(t,) for _, t in docs], "text string"))))
+    phrase = "you grubnik are snolfet grass"
+    for written, meant in [
+        ("gra$$", "grass"), ("gra55", "grass"), ("gra5$!", "grass!"), ("g r u 8 n 1 k", "grubnik"), ("5 n 0 l f 3 t", "snolfet"), ("gr" + "u" * 60 + "bnik", "grubnik"),
+        ("y o u g r u b n i k", "you grubnik"), (" ".join(phrase.replace(" ", "")), phrase), ("1 0 1 0", "1 0 1 0"), ("grass!", "grass!"),
+    ]:
+        assert r(written) == meant
+
+
 def test_held_out_rows(spark, tmp_path):
     docs, labels = documents()
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
