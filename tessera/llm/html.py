@@ -3,6 +3,8 @@
 A page is cut into blocks of text at block-level tags.  The first pass decides
 what it can from each block's length, link density and share of stop words;
 parts that are marked as asides are bad, and short or middling blocks stay open.
+A mark is a tag, a whole class name, or a part of a compound one; the last kind
+gives way if no other block of the page is good.
 The second pass gives each open block the label of its nearest decided
 neighbours.  <article> and <main> are evidence for it only: neighbours are
 sought within the same one, and its end counts as no neighbour if it holds a
@@ -31,12 +33,14 @@ BLOCK_TAGS = frozenset(
 ASIDE_TAGS = frozenset("nav header footer aside form menu dialog button select iframe object svg template".split())
 SKIPPED = "head|script|style|noscript|textarea|title|svg|template|iframe|object|math"
 # The same by class, id or role.
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|cookie|cookies|consent|disclaimer|disqus|footer|header"
-    r"|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|popup|promo|promoted|related|replies|respond|search|share|sharing|sidebar|signup|social"
-    r"|sponsor|sponsored|subscribe|toolbar|widget|contentinfo|complementary|alert)(?:$|[\s_-])",
-    re.I,
+ASIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer header masthead menu modal nav"
+    " navbar navigation newsletter notice notices popup promo promoted related replies respond search share sharing sidebar signup social sponsor sponsored subscribe"
+    " toolbar widget contentinfo complementary alert".split()
 )
+# Parts of a compound name by which it speaks of something else, or of the page's layout.
+NOT_ASIDE = frozenset("no not non without with has free hide hidden off less skip fixed sticky".split())
+NAME_PARTS = re.compile(r"[-_]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - {"br", "html", "body", "option"}
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -68,12 +72,15 @@ SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.10, 0.22
 
 
+COMPOUND, MARKED = 1, 2
+
+
 @dataclass
 class Block:
     text: str
     link_chars: int
     tag: str
-    aside: bool
+    aside: int  # 0: none, COMPOUND: by a part of a compound name alone, MARKED: by a tag, a whole name or as hidden
     article: int  # which <article> or <main> it stands in, the innermost; 0: none
 
 
@@ -86,17 +93,34 @@ def hidden(attrs: str) -> bool:
     return False
 
 
+def name_mark(attrs: str, article: bool) -> int:
+    """Whether a tag's class, id or role names an aside: as a whole name, or as a part of a compound name.
+
+    A header within an article is the article's own.
+    """
+    mark = 0
+    for m in NAMED.finditer(attrs):
+        for name in html.unescape(m[1] or m[2] or m[3] or "").lower().split():
+            parts = set(NAME_PARTS.split(name))
+            found = (parts & ASIDE_NAMES) - ({"header"} if article else set())
+            if name in found:
+                return MARKED
+            if found and not parts & NOT_ASIDE:
+                mark = COMPOUND
+    return mark
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order; what stands in skipped elements and comments of the markup is no text."""
     out: list[Block] = []
     parts: list[str] = []
     links = at = 0
-    open_tags: list[tuple[str, bool, int]] = []  # tag, whether in an aside, number of the article
+    open_tags: list[tuple[str, int, int]] = []  # tag, how far in an aside, number of the article
     anchors = articles = 0
     block_tag = "body"
 
-    def state() -> tuple[bool, int]:
-        return (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, 0)
+    def state() -> tuple[int, int]:
+        return open_tags[-1][1:] if open_tags else (0, 0)
 
     def flush() -> None:
         nonlocal parts, links
@@ -142,8 +166,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         aside, article = state()
         attrs = found["attrs"]
-        named = tag not in ("html", "body", "article", "main") and attrs and any(ASIDE_NAMES.search(next(g for g in m.groups("") if g)) for m in NAMED.finditer(attrs) if any(m.groups()))
-        aside = aside or (tag in ASIDE_TAGS and not (tag == "header" and article)) or bool(named) or bool(attrs and hidden(attrs))
+        if (tag in ASIDE_TAGS and not (tag == "header" and article)) or (attrs and hidden(attrs)):
+            aside = MARKED
+        elif attrs and tag not in ("html", "body", "article", "main"):
+            aside = max(aside, name_mark(attrs, article > 0))
         if tag in ("article", "main"):
             articles += 1
             article = articles
@@ -157,14 +183,10 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> str:
-    """good, bad, or open ("near" for middling, "short" for short blocks)."""
-    if b.aside:
-        return "bad"
+def first_pass(b: Block, marks: int = COMPOUND) -> str:
+    """good, bad, or open ("near" for middling, "short" for short blocks); marks as strong as ``marks`` count."""
     density = b.link_chars / len(b.text)
-    if density > MOST_LINKS:
-        return "bad"
-    if "©" in b.text and len(b.text) < LONG:
+    if b.aside >= marks or density > MOST_LINKS or ("©" in b.text and len(b.text) < LONG):
         return "bad"
     words = WORDS.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
@@ -190,6 +212,8 @@ def nearest(blocks: list[Block], first: list[str]) -> list[str]:
 def labels_of(blocks: list[Block]) -> list[bool]:
     """Which blocks are main text."""
     first = [first_pass(b) for b in blocks]
+    if "good" not in first and any(b.aside == COMPOUND for b in blocks):  # a compound name gives way where all the prose bears it
+        first = [first_pass(b, MARKED) for b in blocks]
     before, after = nearest(blocks, first), nearest(blocks[::-1], first[::-1])[::-1]
     holding = {b.article for b, label in zip(blocks, first) if label == "good"}
     out = []

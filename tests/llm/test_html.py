@@ -1,3 +1,6 @@
+import re
+from html.parser import HTMLParser
+
 import pytest
 
 from tessera.llm.html import extracted, main_text
@@ -51,6 +54,57 @@ def test_hidden_elements(attrs, gone):
     assert main_text(f"<body {attrs}><p>{LONG}</p>") == ("" if gone else LONG)
 
 
+@pytest.mark.parametrize(
+    "name,gone",
+    [
+        ("content no-sidebar", False), ("post ad-free", False), ("two-columns with-menu", False), ("has-sidebar", False), ("download-area", False),
+        ("ad", True), ("post comments", True), ("site-footer", True), ("left_sidebar", True), ("cookie-notice", True),
+    ],
+)
+def test_class_names(name, gone):
+    assert main_text(f"<body><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div>") == (LONG if gone else f"{LONG}\n\n{LONG}")
+
+
+def test_compound_names_give_way_where_all_prose_bears_them():
+    assert main_text(f"<article><div class='article-header'><p>{LONG}</p></div></article>") == LONG
+    assert main_text(f"<body><nav>a</nav><div class='widget-page'><p>{LONG}</p></div>") == LONG
+    assert main_text(f"<body><nav>a</nav><div class='comments'><p>{LONG}</p></div>") == ""
+
+
+class Plain(HTMLParser):
+    """What stands in <article>, as a user of the standard library would take it: enough for the given pages."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1", "br"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_plain_second_way_agrees_on_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = extracted(pages).collect()
+    assert len(got) == len(html) == 250
+    for r in got:
+        plain = Plain()
+        plain.feed(html[r["page_id"]])
+        plain.close()
+        assert r["text"] == "\n\n".join(t for t in (re.sub(r"\s+", " ", b).strip() for b in plain.blocks) if t)
+
+
 def test_table(spark):
     schema = "page_id long, url string, html string, text int, n_chars string"
     data = [(1, "u", f"<article><p>{LONG}</p></article>", 5, "x"), (1, "u", None, 5, "x"), (None, None, "", 5, "x")]
