@@ -23,7 +23,9 @@ from tessera.llm.common import bounded_batches, plain_text, table, written
 BUCKETS = 1 << 14
 #: Documents that the scorer is trained on, at most; chosen by a hash.
 MOST_TRAINING_ROWS = 20_000
-ROUNDS = 200  # of expectation-maximisation
+ROUNDS = 500  # of expectation-maximisation, at most
+#: Votes (bad, none, good) that each heuristic is imagined to have cast on good text and on junk.
+IMAGINED = np.array([[0.1, 1.0, 1.0], [1.0, 1.0, 0.1]])
 
 SIGNS = rb"#$%&*|{}<>=~^@_\\`"
 CAPITALS = bytes(range(65, 91))
@@ -45,7 +47,7 @@ def measures(text: str) -> dict[str, float]:
         "signs": (len(raw) - len(raw.translate(None, SIGNS))) / max(1, len(raw)),
         "capitals": (len(raw) - len(raw.translate(None, CAPITALS))) / letters,
         "echo": sum(map(str.__eq__, words, words[1:])) / n,
-        "phrases_again": 1 - len(set(triples)) / max(1, len(triples)),
+        "phrases_again": 1 - len(set(triples)) / len(triples) if triples else 0.0,
         "bars": raw.count(b"|") / n,
         "different": len(set(words)) / n,
         "stops": (raw.count(b".") + raw.count(b",") + raw.count(b";")) / n,
@@ -84,7 +86,7 @@ def hashed_features(text: str, m: dict[str, float]) -> list[int]:
     """Buckets of the text's word shapes, by how much of the text they make, and of its measures by steps."""
     shapes: Counter[bytes] = Counter()
     for word, n in Counter(text.encode("utf-8", "surrogatepass").translate(SHAPE).split()).items():
-        shapes[RUNS.sub(rb"\1", word)[:12]] += n
+        shapes[RUNS.sub(rb"\1", word)] += n
     total = max(1, sum(shapes.values()))
     names = [b"%s@%d" % (s, int(np.log2(total / n))) for s, n in shapes.most_common()]
     names += [f"{k}={int(20 * v) if v < 1 else 20 + int(np.log2(v) * 2)}".encode() for k, v in m.items() if k != "words"]
@@ -109,34 +111,29 @@ def signals(docs: DataFrame) -> DataFrame:
 def posteriors(counts: dict[str, int]) -> tuple[dict[str, float], np.ndarray]:
     """P(good | pattern) for each pattern, and P(vote | class) for each heuristic, by expectation-maximisation.
 
-    Junk comes in kinds that different heuristics recognise, so the classes are
-    good text and, for each heuristic, the junk it was made for; within a class
-    votes are taken as independent.  The start gives a pattern to good text if
-    no vote is bad, else in equal parts to the kinds whose heuristics say so.
+    The classes are good text and junk; within a class votes are taken as
+    independent.  The start is each pattern's share of good votes, and from
+    there the counts decide: a heuristic that cries wolf among documents that
+    the others agree on ends with the same vote shares in both classes, and its
+    vote no longer counts.  Two imagined votes for each class hold that good
+    text is seldom called bad and junk seldom called good.
     """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     seen = np.array([["-0+".index(c) for c in p] for p in patterns]).reshape(len(patterns), -1)
     one_hot = np.eye(3)[seen]  # pattern, heuristic, vote
-    bad = one_hot[:, :, 0]
-    alarms = bad.sum(1, keepdims=True)
-    belongs = np.hstack([alarms == 0, bad / np.maximum(alarms, 1)])  # pattern, class
-    kinds = belongs.shape[1]
-    # imagined votes: good text sets off few alarms, and a kind of junk its own
-    held = np.full((kinds, seen.shape[1], 3), 0.5)
-    held[0, :, 0] = 0.05
-    held[np.arange(1, kinds), np.arange(kinds - 1), 0] = 5.0
+    bad, good = one_hot[:, :, 0].sum(1), one_hot[:, :, 2].sum(1)
+    p = (1 + good) / (2 + good + bad)
     for _ in range(ROUNDS):
-        before = belongs
-        share = (n @ belongs + 1) / (n.sum() + kinds)
-        mass = np.einsum("p,pk,phv->khv", n, belongs, one_hot) + held
+        belongs = np.stack([p, 1 - p], 1)  # pattern, class
+        share = (n @ belongs + 1) / (n.sum() + 2)
+        mass = np.einsum("p,pk,phv->khv", n, belongs, one_hot) + IMAGINED[:, None]
         accuracy = mass / mass.sum(2, keepdims=True)
         logs = np.log(share) + np.einsum("phv,khv->pk", one_hot, np.log(accuracy))
-        belongs = np.exp(logs - logs.max(1, keepdims=True))
-        belongs /= belongs.sum(1, keepdims=True)
-        if np.abs(belongs - before).max(initial=0) < 1e-9:
+        before, p = p, 1 / (1 + np.exp(np.clip(logs[:, 1] - logs[:, 0], -700, 700)))
+        if np.abs(p - before).max(initial=0) < 1e-9:
             break
-    return dict(zip(patterns, belongs[:, 0].tolist())), accuracy
+    return dict(zip(patterns, p.tolist())), accuracy
 
 
 def trained(rows: list[tuple[list[int], float]], epochs: int = 12) -> tuple[np.ndarray, float]:
@@ -182,8 +179,10 @@ def quality_scores(docs: DataFrame) -> DataFrame:
     total = sum(counts.values())
     sample = made.select("pattern", "features")
     if total > MOST_TRAINING_ROWS:
-        share = 0.95 * MOST_TRAINING_ROWS / total
-        sample = made.filter(F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 24)) < int(share * (1 << 24))).select("pattern", "features").limit(MOST_TRAINING_ROWS)
+        share = 1.05 * MOST_TRAINING_ROWS / total
+        drawn = F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 24))
+        # the hash decides alone, so that a rerun trains on the same rows
+        sample = made.withColumn("drawn", drawn).filter(F.col("drawn") < int(share * (1 << 24))).orderBy("drawn", "doc_id", "features").limit(MOST_TRAINING_ROWS).select("pattern", "features")
     w, b = trained([(r["features"], good[r["pattern"]]) for r in sample.collect()])  # MOST_TRAINING_ROWS at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
