@@ -107,9 +107,10 @@ def plan_slots(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int,
 
 
 def pack(pieces_df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Seat each row of ``pieces_df`` (doc_id, piece, length, ids_crc32, ...): adds sequence_id and offset.
+    """Seat each row of ``pieces_df`` (p_row, length, ...): adds sequence_id and offset, drops p_row.
 
-    ``pieces_df`` is read three times and should be a written table.
+    ``p_row`` tells the rows apart, repeated ones too.  ``pieces_df`` is read
+    three times and must be a written table.
     """
     spark = pieces_df.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces_df.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
@@ -122,12 +123,12 @@ def pack(pieces_df: DataFrame, window: int = WINDOW) -> DataFrame:
     salts = [(n, max(1, -(-c * GROUPS // max(total, 1)))) for n, c in histogram.items()]
     dealt = pieces_df.join(
         F.broadcast(spark.createDataFrame(salts, "s_length long, n_salts long")), F.col("length") == F.col("s_length")
-    ).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("n_salts")))
+    ).withColumn("salt", F.pmod(F.xxhash64("p_row"), F.col("n_salts")))
     base, seen = [], {}
     for r in sorted(dealt.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()):
         base.append((r["length"], r["salt"], seen.get(r["length"], 0)))
         seen[r["length"]] = seen.get(r["length"], 0) + r["n"]
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "salt").orderBy("p_row")
     ranked = (
         dealt.withColumn("place", F.row_number().over(order) - 1)
         .join(F.broadcast(spark.createDataFrame(base, "b_length long, b_salt long, base long")), (F.col("length") == F.col("b_length")) & (F.col("salt") == F.col("b_salt")))
@@ -136,7 +137,7 @@ def pack(pieces_df: DataFrame, window: int = WINDOW) -> DataFrame:
     slots = F.broadcast(spark.createDataFrame(plan, SLOTS))
     i = F.col("rank") - F.col("lo")
     return ranked.join(slots, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
-        *pieces_df.columns,
+        *[c for c in pieces_df.columns if c != "p_row"],
         (F.col("first_sequence") + F.floor(i / F.col("copies"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + (i % F.col("copies")) * F.col("length")).cast("long").alias("offset"),
     )
@@ -150,7 +151,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     columns are not read.  An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    return pack(written(pieces(docs, tokenizer or default_path(), window), "pieces"), window)
+    cut = pieces(docs, tokenizer or default_path(), window).withColumn("p_row", F.monotonically_increasing_id())
+    return pack(written(cut, "pieces"), window)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
