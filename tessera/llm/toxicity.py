@@ -1,20 +1,21 @@
 """Toxicity scores of restored text.
 
-Obfuscated words (digits and signs for letters, letters set apart, letters
-repeated) are decoded as a noisy channel: every reading of the written
-characters forms a lattice, and Viterbi's algorithm picks the most likely path
-under a character trigram model counted over the whole corpus.  Words and word
-beginnings of the restored text are weighed by how strongly the labelled rows
-tie them to the toxic label; a logistic curve turns a text's weights into a
-score.
+Disguised words (digits and signs for letters, letters and pieces set apart,
+letters repeated) are decoded as a noisy channel: each written character opens
+edges of a lattice (itself, a letter it stands for, nothing, the end of a word),
+and Viterbi's algorithm picks the most likely path under a character trigram
+model counted over the whole corpus.  Words and word beginnings of the restored
+text are weighed by how strongly the labelled rows tie them to the toxic label;
+a logistic curve turns a text's weights into a score.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,25 +36,34 @@ READINGS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c",
 }
-SIGNS = re.escape("".join(READINGS))
-
-CANDIDATE = re.compile(
-    rf"(?<![\w{SIGNS}])(?:[^\W\d_]|[{SIGNS}])(?:[ .\-_*](?:[^\W\d_]|[{SIGNS}])){{2,}}(?!\w)"  # letters and signs set apart
-    rf"|(?<![\w{SIGNS}])(?=[{SIGNS}]*[^\W\d_])(?=[^\W\d_]*[{SIGNS}])(?:[^\W\d_]|[{SIGNS}])++(?!\w)"  # signs among letters, or at the end
-    r"|(?<!\w)[^\W\d_]*([^\W\d_])\1{2,}[^\W\d_]*(?!\w)"  # a letter three times and more
-)
-LONGEST = 40  # characters of an unbroken find with signs; longer ones are keys and junk, left as they stand
-# Fixed values, log costs: a separator dropped or meant, a sign that stands for itself within a word, at its end, or set apart.
-DROPPED, MEANT = -0.1, -1.2
-ITSELF, PUNCTUATION, AT_END, APART = -9.0, "!|+(", -4.0, -6.0
-SEPARATORS = frozenset(" .-_*")
+SEPARATORS = " .-_*"
+PUNCTUATION = "!|+("
+
+# The channel: log probabilities of what may have been written for what was meant.
+SAME, STANDS_FOR, AGAIN = math.log(0.9), math.log(0.5), math.log(0.37)  # a letter as it is, a sign for a letter, a character once more
+ITSELF, ALONE, AT_END, POINT = -9.0, -6.0, -4.0, -0.5  # a sign that is none: within a word, set apart, at the end, at the end as punctuation
+# A separator (dropped, meant as the end of a word): between single characters, other white space, other separators.
+SET_APART, SPACE, JOINT = (math.log(0.9), math.log(0.3)), (-3.0, -0.05), (-1.2, -0.4)
+
+EDGES = "".join(set(string.punctuation) - set(READINGS)) + "…“”„«»¿¡–—"  # around words; no part of a disguise there
+
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = range(3, 9)
+PIECES = re.compile(rf"(?:[^\W\d_]|[{re.escape(''.join(READINGS) + SEPARATORS)}])+")
+TWICE = re.compile(r"(.)\1")
+THRICE = re.compile(r"(.)\1\1")
+RUN = re.compile(r"(.)\1+")
+PREFIXES = range(3, 9)  # lengths of the word beginnings that are features
+NOTHING: dict[str, float] = {}
+
+# Characters that may be read alike count as one when disguises of known words are looked up.
+ALIKE = str.maketrans({"l": "i"} | {c: "i" if r[0] == "l" else r[0] for c, r in READINGS.items()} | dict.fromkeys(SEPARATORS))
 
 #: Labelled rows that the weights are learned from, at most; chosen by a hash of their id.
 MOST_TRAINING_ROWS = 50_000
-#: Weights that are kept, at most, strongest evidence first.
-MOST_WEIGHTS = 20_000
+#: Training rows with a feature and the toxic label, at least, before it is tried as a weight.
+LEAST_ROWS = 3
+#: A text's weights are summed up to this; the curve is flat long before.
+MOST_EVIDENCE = 30.0
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -63,15 +73,28 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     for c, i in SYMBOLS.items():
         lut[ord(c)] = i
 
+    lut[0] = -(SIZE**3) * 2  # stands between texts: no cell holds it
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**3, np.int64)
+
+        def add(joined: str) -> None:
+            nonlocal total
+            s = lut[np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), 0x1FFFF)]
+            cell = (s[:-2] * SIZE + s[1:-1]) * SIZE + s[2:]
+            total += np.bincount(cell[cell >= 0], minlength=SIZE**3)
+
         for batch in batches:
+            waiting, size = [], 0
             for text in batch.column(0).to_pylist():
                 for at in range(0, len(text), 1 << 20):  # a slice overlaps the next by the two characters of a trigram
-                    part = "  " * (at == 0) + text[max(0, at - 2) : at + (1 << 20)].lower() + " "
-                    code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
-                    s = lut[np.minimum(code, 0x1FFFF)]
-                    total += np.bincount((s[:-2] * SIZE + s[1:-1]) * SIZE + s[2:], minlength=SIZE**3)
+                    part = "  " * (at == 0) + text[max(0, at - 2) : at + (1 << 20)].lower().replace("\x00", " ") + " "
+                    waiting.append(part)
+                    size += len(part)
+                    if size > 1 << 20:
+                        add("\x00".join(waiting))
+                        waiting, size = [], 0
+            add("\x00".join(waiting) + "\x00\x00")
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
@@ -93,71 +116,200 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def restored_word(written_as: str, model: np.ndarray) -> str:
-    """The most likely reading of a disguised word, or of a phrase of letters set apart (lower case).
+def lattice(written: str) -> list[list[tuple[str, float]]]:
+    """For each character as written, lower case, what may have been meant, with the channel's log probability.
 
-    Each character may be read as itself, as a letter it stands for, or as a
-    repetition of the letter before it, and each separator as nothing or as the
-    end of a word, at a cost of the channel.
+    A letter, " " for the end of a word, "" for nothing; a sign may stand for itself.
     """
-    apart = len(written_as) > 2 and written_as[1] in SEPARATORS
-    end = len(written_as.rstrip("".join(READINGS)))
-    Node = tuple  # (node before, letter): paths share what they have in common
-    paths: dict[tuple[int, int], tuple[float, Node | None, str]] = {(0, 0): (0.0, None, "")}  # last two symbols -> score, node, last as written
-    for i, c in enumerate(written_as):
-        steps: dict[tuple[int, int], tuple[float, Node | None, str]] = {}
-        between = apart and i % 2 == 1
-        if between:
-            readings = [(" ", MEANT)]
-        elif c.isalpha():
-            readings = [(c, -0.1)]
+    end = len(written.rstrip("".join(READINGS) + SEPARATORS))
+    edges, last = [], ""
+    for i, c in enumerate(written):
+        if c in SEPARATORS:
+            single = all(len(re.split(r"[ .\-_*]", side)[k]) == 1 for side, k in ((written[max(0, i - 2) : i], -1), (written[i + 1 : i + 3], 0)))
+            dropped, meant = SET_APART if single else SPACE if c == " " else JOINT
+            edges.append([(" ", meant), ("", dropped)])
+            continue
+        if c.isalpha():
+            steps = [(c, SAME)]
         else:
-            itself = (-0.5 if c in PUNCTUATION else AT_END) if i >= end and not apart else (AT_END if c in PUNCTUATION else APART) if apart else ITSELF
-            readings = [(c, itself), *((x, -0.7) for x in READINGS.get(c, ""))]
-        for (a, b), (score, node, last) in paths.items():
-            for letter, cost in readings:
-                s = SYMBOLS.get(letter, OTHER_LETTER if letter.isalpha() else 0)
-                now = score + cost + (float(model[a, b, s]) if b or s or i < end else 0.0)  # a word ends once
-                if (b, s) not in steps or now > steps[b, s][0]:
-                    steps[b, s] = (now, (node, letter), c if not between else "")
-            stay = score + DROPPED if between else score - 1.0 if last == c and node else None  # or written once more than meant
-            if stay is not None and ((a, b) not in steps or stay > steps[a, b][0]):
-                steps[a, b] = (stay, node, last if between else c)
-        paths = steps
-    node = max(((score + (float(model[a, b, 0]) if b else 0.0), n) for (a, b), (score, n, _) in paths.items()), key=lambda x: x[0])[1]
+            alone = (i == 0 or written[i - 1] in SEPARATORS) and (i + 1 == len(written) or written[i + 1] in SEPARATORS)
+            point = c in PUNCTUATION
+            itself = (AT_END if point else ALONE) if alone else (POINT if point else AT_END) if i >= end else ITSELF
+            steps = [(c, itself), *((x, STANDS_FOR) for x in READINGS.get(c, ""))]
+        if c == last:
+            steps.append(("", AGAIN))
+        last = c
+        edges.append(steps)
+    return edges
+
+
+def symbol(c: str) -> int:
+    return SYMBOLS.get(c, OTHER_LETTER if c.isalpha() else 0)
+
+
+def decoded(written: str, model: np.ndarray) -> str:
+    """The most likely path through the lattice of ``written``: channel and character model together.
+
+    Of several breaks in a row the model counts one.
+    """
+    Node = tuple  # (node before, character): paths share what they have in common
+    paths: dict[tuple[int, int], tuple[float, Node | None]] = {(0, 0): (0.0, None)}  # last two symbols -> score, node
+    for steps in lattice(written):
+        onward: dict[tuple[int, int], tuple[float, Node | None]] = {}
+        for (a, b), (score, node) in paths.items():
+            for c, cost in steps:
+                if c:
+                    s = symbol(c)
+                    state, now, then = ((b, s), score + cost + float(model[a, b, s]), (node, c)) if b or s else ((a, b), score + cost, (node, c))
+                else:
+                    state, now, then = (a, b), score + cost, node
+                if state not in onward or now > onward[state][0]:
+                    onward[state] = (now, then)
+        paths = onward
+    node = max(((score + (float(model[a, b, 0]) if b else 0.0), n) for (a, b), (score, n) in paths.items()), key=lambda x: x[0])[1]
     letters = []
     while node:
-        node, letter = node
-        letters.append(letter)
+        node, c = node
+        letters.append(c)
     return "".join(reversed(letters))
 
 
-class Restorer:
-    """Puts the readings of disguised words into a text; keeps those already decoded."""
+def may_mean(written: str, word: str) -> bool:
+    """Whether some path through the lattice reads ``word`` without a break."""
+    at = {0}
+    for steps in lattice(written):
+        at = {k + len(c) for k in at for c, _ in steps if not c or word.startswith(c, k)}
+    return len(word) in at
 
-    def __init__(self, model: np.ndarray, most: int = 200_000):
-        self.model, self.most, self.known = model, most, {}
 
-    def word(self, found: re.Match) -> str:
-        w = found[0]
-        apart = len(w) > 2 and w[1] in SEPARATORS
-        if not any(map(str.isalpha, w)) or (len(w) > LONGEST and not apart and not w.isalpha()):
-            return w
-        if len(w) > LONGEST:  # not worth keeping
-            return restored_word(w, self.model)
-        if w not in self.known:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[w] = restored_word(w, self.model)
-        return self.known[w]
+def folded(written: str) -> str:
+    """The text with characters that may be read alike made one, separators dropped and repetitions written once."""
+    return RUN.sub(r"\1", written.translate(ALIKE))
 
-    def __call__(self, text: str) -> str:
-        return CANDIDATE.sub(self.word, text.lower())
 
+class Restorer(dict):
+    """Puts the readings of disguised words into a text: token -> token restored, kept from when it is first met.
+
+    Always decoded: tokens with signs, separators or a letter three times among
+    letters, and runs of single characters.  Letters written twice, and words
+    in pieces, are too common for that: they are decoded where they may stand
+    for one of ``lexicon``.
+    """
+
+    def __init__(self, model: np.ndarray, lexicon: Iterable[str] = (), most: int = 300_000):
+        super().__init__()
+        self.model, self.most = model, most
+        self.lexicon: dict[str, list[str]] = {}  # folded -> words
+        for w in sorted(lexicon):
+            self.lexicon.setdefault(folded(w), []).append(w)
+        self.starts = {f[:k] for f in self.lexicon for k in range(1, len(f))}
+        # the first one or two characters, as written, of what may fold to a start
+        alike: dict[str, str] = {}
+        for c in [*map(chr, range(97, 123)), *READINGS]:
+            alike[folded(c)] = alike.get(folded(c), "") + c
+        self.openings = set()
+        for f in self.starts:
+            firsts = alike.get(f[0], f[0])
+            seconds = firsts + SEPARATORS + (alike.get(f[1], f[1]) if len(f) > 1 else "")
+            self.openings.update(firsts, (x + y for x in firsts for y in seconds))
+        self.folds: dict[str, str] = {}  # of the tokens met that may begin a word in pieces
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= self.most:
+            self.clear()
+        self[token] = out = self.restored(token)
+        return out
+
+    def read(self, written: str) -> str:
+        """The best path, or the known word that differs from it in repetitions alone and is a path as well."""
+        best = decoded(written, self.model)
+        if " " not in best:
+            for word in self.lexicon.get(folded(written), ()):
+                if RUN.sub(r"\1", word) == RUN.sub(r"\1", best) and may_mean(written, word):
+                    return word
+        return best
+
+    def twice(self, word: str) -> bool:
+        """Whether a word of letters may be a known one with letters repeated."""
+        known = self.lexicon.get(folded(word))
+        return known is not None and word not in known
+
+    def restored(self, token: str) -> str:
+        """A token (lower case, no white space) with its disguised words restored."""
+        if token[:2] in self.openings and (fold := folded(token)) in self.starts:
+            if len(self.folds) >= self.most:
+                self.folds.clear()
+            self.folds[token] = fold
+        if not token.isalpha():
+            core = token.strip(EDGES)
+            if not core.isalpha():
+                return PIECES.sub(self.piece, token)
+            return token.replace(core, self.restored(core), 1)
+        if TWICE.search(token) and (THRICE.search(token) or self.twice(token)):
+            return self.read(token)
+        return token
+
+    def piece(self, found: re.Match) -> str:
+        """A run of letters, signs and separators within a token."""
+        whole = found[0]
+        core = whole.strip(SEPARATORS)
+        if core.isalpha():
+            return self.read(core) if TWICE.search(core) and (THRICE.search(core) or self.twice(core)) else whole
+        return self.read(core) if any(map(str.isalpha, core)) else whole
+
+    def spans(self, tokens: list[str], kinds: set[str]) -> list[tuple[int, int]]:
+        """Runs of tokens that are read as one: three or more single characters, or pieces that may make a known word."""
+        found = []
+        single = bytes([len(t) == 1 for t in tokens])
+        if b"\1\1\1" in single:
+            found = [m.span() for m in re.finditer(rb"\x01{3,}", single) if any(map(str.isalpha, tokens[m.start() : m.end()]))]
+        if not self.folds or kinds.isdisjoint(self.folds):
+            return found
+        taken = {i for lo, hi in found for i in range(lo, hi)}
+        after = 0
+        for i, t in enumerate(tokens):
+            if t not in self.folds or i < after or i in taken:
+                continue
+            fold, k = self.folds[t], i + 1
+            while k < len(tokens) and fold in self.starts and k not in taken:
+                longer = RUN.sub(r"\1", fold + folded(tokens[k]))
+                if len(longer) == len(fold):
+                    break
+                fold, k = longer, k + 1
+                if fold in self.lexicon:
+                    found.append((i, k))
+                    after = k
+                    break
+        return sorted(found)
+
+    def read_spans(self, tokens: list[str], spans: list[tuple[int, int]]) -> tuple[list[str], list[str]]:
+        """The tokens outside of ``spans``, as they are, and what the spans read."""
+        outside, at = [], 0
+        for lo, hi in spans:
+            outside += tokens[at:lo]
+            at = hi
+        return outside + tokens[at:], [self.read(" ".join(tokens[lo:hi])) for lo, hi in spans]
+
+    def words(self, text: str) -> set[str]:
+        """The distinct words of the restored text."""
+        tokens = text.lower().split()
+        kinds = set(tokens)
+        units = set(map(self.__getitem__, kinds))
+        if spans := self.spans(tokens, kinds):
+            outside, read = self.read_spans(tokens, spans)
+            units = {*map(self.__getitem__, set(outside)), *read}
+        out = set(filter(str.isalpha, units))
+        for u in units - out:
+            out.update(WORD.findall(u))
+        return out
 
-def features_of(word: str) -> list[str]:
-    """A word as a whole, and its beginnings."""
-    return ["=" + word, *(word[:k] for k in PREFIXES if k <= len(word))]
+    def __call__(self, text: str) -> str:
+        """The whole text, restored; white space becomes one space."""
+        tokens = text.lower().split()
+        restored = list(map(self.__getitem__, tokens))
+        for lo, hi in reversed(self.spans(tokens, set(tokens))):
+            restored[lo:hi] = [self.read(" ".join(tokens[lo:hi]))]
+        return " ".join(restored)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,11 +321,13 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select(F.col("doc_id").alias("l_id"), "toxic")
     n = known.count()
     if n > MOST_TRAINING_ROWS:
-        share = 0.97 * MOST_TRAINING_ROWS / n
-        known = known.filter(F.pmod(F.xxhash64("l_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-        known = known.limit(MOST_TRAINING_ROWS)
+        drawn = F.pmod(F.xxhash64("l_id"), F.lit(1 << 20))
+        # the hash decides alone, so that a rerun trains on the same rows
+        known = known.withColumn("l_drawn", drawn).filter(F.col("l_drawn") < int(1.05 * MOST_TRAINING_ROWS / n * (1 << 20)) + 1)
+        known = known.orderBy("l_drawn", "l_id").limit(MOST_TRAINING_ROWS).drop("l_drawn")
     # at most MOST_TRAINING_ROWS rows of 16 bytes
-    return docs.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select(plain_text().alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col("doc_id").alias("l_id"), plain_text().alias("text"))
+    return texts.join(F.broadcast(known), "l_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def learned_weights(train: DataFrame, model: np.ndarray) -> dict[str, float]:
@@ -181,35 +335,38 @@ def learned_weights(train: DataFrame, model: np.ndarray) -> dict[str, float]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(model)
+        kinds = (0, *PREFIXES)  # 0: the word as a whole
+        seen = {k: (Counter(), Counter()) for k in kinds}  # texts of each label that hold a feature
+        texts = [0, 0]
+
+        def rows() -> pa.RecordBatch:
+            features, counts = [""], [[texts[0]], [texts[1]]]
+            for k in kinds:
+                names = list(seen[k][0] | seen[k][1])
+                features += ["=" + w for w in names] if k == 0 else names
+                for label in (0, 1):
+                    counts[label] += [seen[k][label][w] for w in names]
+                    seen[k][label].clear()
+            texts[:] = [0, 0]
+            return pa.RecordBatch.from_arrays([pa.array(features, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["feature", "clean", "toxic"])
 
-        def rows(seen: dict[str, list[int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())],
-                ["feature", "clean", "toxic"],
-            )
-
-        seen: dict[str, list[int]] = {}
-        whole = [0, 0]
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole[toxic] += 1
-                for f in {f for w in set(WORD.findall(restore(text))) for f in features_of(w)}:
-                    if f in seen:
-                        seen[f][toxic] += 1
-                    else:
-                        seen[f] = [1 - toxic, toxic]
-            if len(seen) > 400_000:
-                yield rows(seen)
-                seen = {}
-        seen[""] = whole  # the number of texts
-        yield rows(seen)
+                texts[toxic] += 1
+                words = restore.words(text)
+                seen[0][toxic].update(words)
+                for k in PREFIXES:
+                    seen[k][toxic].update({w[:k] for w in words if len(w) >= k})
+            if sum(len(c) for pair in seen.values() for c in pair) > 600_000:
+                yield rows()
+        yield rows()
 
     sums = written(train.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "feature-counts")
     whole = sums.filter("feature = ''").first()
     if not whole or not whole["toxic"] or not whole["clean"]:
         return {}
     n0, n1 = whole["clean"], whole["toxic"]
-    tried = sums.filter("toxic >= 3").count()
+    tried = sums.filter(F.col("toxic") >= LEAST_ROWS).count()
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (n1 + 1.0)) - F.log(b / (n0 + 1.0))
     share = n1 / (n0 + n1)
@@ -217,30 +374,53 @@ def learned_weights(train: DataFrame, model: np.ndarray) -> dict[str, float]:
     p = k / n
     evidence = 2 * (k * F.log(p / share) + F.when(k < n, (n - k) * F.log((1 - p) / (1 - share))).otherwise(0.0))
     strong = (
-        sums.filter("feature <> '' and toxic >= 3").select("feature", odds.alias("odds"), evidence.alias("evidence"))
+        sums.filter((F.col("feature") != "") & (F.col("toxic") >= LEAST_ROWS)).select("feature", odds.alias("odds"), evidence.alias("evidence"))
         .filter((F.col("odds") > 2.0) & (F.col("evidence") > 2 * math.log(max(tried, 2))))
-        .orderBy(F.desc("evidence"), "feature").limit(MOST_WEIGHTS)
     )
-    return {r["feature"]: r["odds"] for r in strong.collect()}  # MOST_WEIGHTS at most
+    return {r["feature"]: r["odds"] for r in strong.collect()}  # bounded by the training rows: each stands in LEAST_ROWS of them and more
 
 
-class Evidence:
-    """The summed weights of a restored text's distinct words, each by its strongest feature."""
+class Evidence(dict):
+    """The summed weights of a restored text's distinct words, each by its strongest feature.
 
-    def __init__(self, model: np.ndarray, weights: dict[str, float], most: int = 300_000):
-        self.restore, self.weights, self.most, self.known = Restorer(model), weights, most, {}
+    token -> the words of its restored form that have a weight, kept from when it is first met.
+    """
 
-    def of_word(self, word: str) -> float:
-        if word not in self.known:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[word] = max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0)
-        return self.known[word]
+    def __init__(self, model: np.ndarray, weights: dict[str, float], most: int = 600_000):
+        super().__init__()
+        self.restore, self.weights, self.most = Restorer(model, [f[1:] for f in weights if f[0] == "="]), weights, most
+        self.stems = {f[: PREFIXES[0]] for f in weights if f[0] != "="}
+
+    def __missing__(self, token: str) -> dict[str, float]:
+        if len(self) >= self.most:
+            self.clear()
+        core = token.strip(EDGES)
+        self[token] = found = self[core] if core and core != token else self.of_unit(self.restore.restored(token))
+        return found
+
+    def of_unit(self, unit: str) -> dict[str, float]:
+        """The words with a weight in a restored token or run."""
+        found = NOTHING
+        for w in (unit,) if unit.isalpha() else WORD.findall(unit):
+            weight = self.weights.get("=" + w, 0.0)
+            if w[: PREFIXES[0]] in self.stems:
+                weight = max(weight, *(self.weights.get(w[:k], 0.0) for k in PREFIXES if k <= len(w)))
+            if weight:
+                found = found | {w: weight}
+        return found
 
     def __call__(self, text: str) -> tuple[float, float]:
         """The sum, and the strongest word's weight."""
-        found = [w for w in map(self.of_word, set(WORD.findall(self.restore(text)))) if w]
-        return (min(30.0, math.fsum(found)), max(found)) if found else (0.0, 0.0)
+        tokens = text.lower().split()
+        kinds = set(tokens)
+        known = list(filter(None, map(self.__getitem__, kinds)))
+        if spans := self.restore.spans(tokens, kinds):
+            outside, read = self.restore.read_spans(tokens, spans)
+            known = [*filter(None, map(self.__getitem__, set(outside))), *map(self.of_unit, read)]
+        found: dict[str, float] = {}
+        for words in known:
+            found |= words
+        return (min(MOST_EVIDENCE, math.fsum(found.values())), max(found.values())) if found else (0.0, 0.0)
 
 
 def logistic_curve(counts: Counter[tuple[float, float, int]]) -> tuple[float, float, float]:

@@ -1,10 +1,13 @@
+import math
+import random
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
 
-from tessera.llm.toxicity import SIZE, SYMBOLS, Restorer, log_model, op5_toxicity, scored, trigram_counts
+from tessera.llm.toxicity import OTHER_LETTER, SIZE, SYMBOLS, Evidence, Restorer, decoded, lattice, learned_weights, log_model, may_mean, op5_toxicity, scored, trigram_counts
 from tests.llm.fixtures import empty, frame, rows, words
 
 BAD = ["grubnik", "snolfet"]
@@ -41,7 +44,8 @@ def test_restoring(spark):
     r = Restorer(model)
     for written, meant in [("gru8nik", "grubnik"), ("5nolfet", "snolfet"), ("g r u b n i k", "grubnik"), ("snoooolfet", "snolfet"), ("sn0lf3t", "snolfet"), ("plain", "plain")]:
         assert r(written) == meant
-    assert r("a" * 200 + "0x") == "a" * 200 + "0x"
+    assert r("gr" + "u" * 500 + "bn1k") == "grubnik"
+    assert r("sn0lf3t" * 30) == "snolfet" * 30
 
 
 def test_restoring_signs_at_the_end_and_phrases_set_apart(spark):
@@ -56,6 +60,64 @@ def test_restoring_signs_at_the_end_and_phrases_set_apart(spark):
         assert r(written) == meant
 
 
+@pytest.fixture(scope="module")
+def model(spark):
+    docs, _ = documents()
+    said = [(f"you {a} are {b} grass",) for a, b in zip(BAD * 200, BAD[::-1] * 200)]
+    return log_model(trigram_counts(spark.createDataFrame(said + [(t,) for _, t in docs], "text string")))
+
+
+@pytest.mark.parametrize(
+    "written,meant",
+    [
+        ("g r u 8 n i k", "grubnik"), ("gr ub nik", "grubnik"), ("g rubnik", "grubnik"), ("grub-nik", "grubnik"), ("g  r  u  b  n  i  k", "grubnik"), ("gruubnik", "grubnik"),
+        ("grub\nnik", "grubnik"), ("g.r.u.b.n.i.k", "grubnik"), ("gr_ub n1k", "grubnik"), ("ggrr uubb nniikk", "grubnik"), ("you gru8 nik are", "you grubnik are"), ("g r u b n i k g r a $ $", "grubnik grass"),
+        ("(gr-ubnik),", "(grubnik),"), ("you are grass", "you are grass"),
+    ],
+)
+def test_disguises_of_known_words(model, written, meant):
+    assert Restorer(model, [*BAD, "grass"])(written) == meant
+    if "grubnik" in meant:
+        assert Evidence(model, {"=grubnik": 5.0})(written) == (5.0, 5.0)
+
+
+def test_viterbi_against_every_path(model):
+    r = random.Random(5)
+
+    def plain(path: str) -> float:
+        """The character model's log probability of a text; breaks in a row count once."""
+        symbols = [0, 0] + [SYMBOLS.get(c, OTHER_LETTER if c.isalpha() else 0) for c in path]
+        once = symbols[:2] + [s for was, s in zip(symbols[1:], symbols[2:]) if s or was]
+        if once[-1]:
+            once.append(0)
+        return sum(float(model[x]) for x in zip(once, once[1:], once[2:]))
+
+    for _ in range(300):
+        written = "".join(r.choice("grubnik  .-15$!@0") for _ in range(r.randint(1, 7)))
+        scores = {}
+        for steps in product(*lattice(written)):
+            path = "".join(c for c, _ in steps)
+            scores[path] = max(scores.get(path, -1e9), sum(x for _, x in steps) + plain(path))
+        got = decoded(written, model)
+        assert abs(scores[got] - max(scores.values())) < 1e-3, (written, got)
+        assert all(may_mean(written, p) for p in scores if " " not in p)
+
+
+def test_weights_against_plain_counts(spark):
+    docs, labels = documents()
+    texts = [(t, lab[2]) for (_, t), lab in zip(docs, labels)]
+    got = learned_weights(spark.createDataFrame(texts, "text string, toxic int"), np.zeros((SIZE, SIZE, SIZE), np.float32))
+    r, seen = Restorer(np.zeros((SIZE, SIZE, SIZE), np.float32)), [Counter(), Counter()]
+    for t, toxic in texts:
+        words_ = set("".join(c if c.isalpha() else " " for c in r(t)).split())
+        seen[toxic].update({"=" + w for w in words_} | {w[:k] for w in words_ for k in range(3, 9) if len(w) >= k})
+    n = [sum(x[1] == k for x in texts) for k in (0, 1)]
+    for f, odds in got.items():
+        a, b = seen[1][f], seen[0][f]
+        assert a >= 3 and abs(odds - (math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1)))) < 1e-9
+    assert {"=" + w for w in BAD} <= set(got)
+
+
 def test_held_out_rows(spark, tmp_path):
     docs, labels = documents()
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
