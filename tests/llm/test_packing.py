@@ -1,15 +1,26 @@
 import random
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from tessera.llm.packing import pack_documents, plan_slots
-from tessera.llm.tokens import default_path, part_ids
+from tessera.llm.tokens import PartIds, default_path, part_ids
 from tests.llm.fixtures import empty, frame, rows
 
 
+def best_fit_decreasing(lengths, window):
+    """How many sequences a plain best fit over single pieces takes."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect_left(free, n)
+        left = free.pop(at) if at < len(free) else window
+        insort(free, left - n)
+    return len(free)
+
+
 def test_plan_seats_every_piece_once_and_tightly():
     r = random.Random(3)
     for window in (16, 100, 4096):
@@ -25,8 +36,14 @@ def test_plan_seats_every_piece_once_and_tightly():
                 assert start == at
                 at += length
             assert at <= window
-        total = sum(k * n for k, n in counts.items())
-        assert len(used) <= -(-total // window) * 1.25 + 1
+        assert len(used) <= best_fit_decreasing([k for k, n in counts.items() for _ in range(n)], window)
+
+
+def test_repeated_rows_and_ties(spark):
+    rows_ = [(7, "the same words again")] * 300 + [(i, "of one length") for i in range(200)]
+    got = pack_documents(spark.createDataFrame(rows_, "doc_id long, text string"), window=64).collect()
+    assert len(got) == len({(r.sequence_id, r.offset) for r in got}) == 500
+    assert len({r.sequence_id for r in got}) == best_fit_decreasing([r.length for r in got], 64)
 
 
 def test_documents_against_the_tokenizer(spark):
@@ -58,3 +75,19 @@ def test_part_ids_equal_whole_ids():
     cache = part_ids(default_path())
     for t in ["It's we'RE DON'T", "á Á H̱ ẖ", "ΣΑΣ", "x\x1dy", "<|startoftext|> <|STARTOFTEXT|>", "½ ② ٣ 12", "", "   z", "İstanbul", "emoji 🙂🙂 __init__"]:
         assert cache.ids(t) == cache.encoded(t), t
+
+
+def test_part_ids_of_any_characters():
+    cache, r = part_ids(default_path()), random.Random(2)
+    kinds = [*map(chr, range(1, 0x250)), *"\u0300\u0301Σς\u1e9eİı\u2028\u3000一٠Ⅰ😀가ᄀ\u212b\u212a\xad\u200d\ufe0f", "'s", "'LL", "<|endoftext|>", "###", "  ", "the"]
+    for _ in range(3000):
+        t = "".join(r.choice(kinds) for _ in range(r.randint(1, 14)))
+        assert cache.ids(t) == cache.encoded(t), t
+
+
+def test_other_vocabularies_encode_whole_texts():
+    import public_tokenizers
+
+    cache = PartIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not cache.by_parts
+    assert cache.ids("Two  words, 12!") == np.array(cache.tokenizer.encode("Two  words, 12!", add_special_tokens=False).ids, "<u4").tobytes()
