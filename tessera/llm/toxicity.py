@@ -57,6 +57,7 @@ NOTHING: dict[str, float] = {}
 
 # Characters that may be read alike count as one when disguises of known words are looked up.
 ALIKE = str.maketrans({"l": "i"} | {c: "i" if r[0] == "l" else r[0] for c, r in READINGS.items()} | dict.fromkeys(SEPARATORS))
+ALIKE_BYTES = bytes(ord(ALIKE.get(c) or chr(c)) for c in range(128)) + bytes(range(128, 256))
 
 #: Labelled rows that the weights are learned from, at most; chosen by a hash of their id.
 MOST_TRAINING_ROWS = 50_000
@@ -184,7 +185,8 @@ def may_mean(written: str, word: str) -> bool:
 
 def folded(written: str) -> str:
     """The text with characters that may be read alike made one, separators dropped and repetitions written once."""
-    return RUN.sub(r"\1", written.translate(ALIKE))
+    written = written.encode().translate(ALIKE_BYTES, SEPARATORS.encode()).decode() if written.isascii() else written.translate(ALIKE)
+    return RUN.sub(r"\1", written) if TWICE.search(written) else written
 
 
 class Restorer(dict):
@@ -202,16 +204,21 @@ class Restorer(dict):
         self.lexicon: dict[str, list[str]] = {}  # folded -> words
         for w in sorted(lexicon):
             self.lexicon.setdefault(folded(w), []).append(w)
-        self.starts = {f[:k] for f in self.lexicon for k in range(1, len(f))}
-        # the first one or two characters, as written, of what may fold to a start
+        self.starts: dict[str, str] = {}  # what a known word begins with, folded -> characters, as written, that may follow
         alike: dict[str, str] = {}
         for c in [*map(chr, range(97, 123)), *READINGS]:
             alike[folded(c)] = alike.get(folded(c), "") + c
-        self.openings = set()
-        for f in self.starts:
-            firsts = alike.get(f[0], f[0])
-            seconds = firsts + SEPARATORS + (alike.get(f[1], f[1]) if len(f) > 1 else "")
-            self.openings.update(firsts, (x + y for x in firsts for y in seconds))
+        for f in self.lexicon:
+            for k in range(1, len(f)):
+                same, after = alike.get(f[k - 1], f[k - 1]), alike.get(f[k], f[k])
+                self.starts[f[:k]] = self.starts.get(f[:k], SEPARATORS) + same + after
+        # the first characters, three at most, as written, of what may fold to a start
+        letters = {*"".join(self.lexicon), *map(chr, range(97, 123)), *READINGS, *SEPARATORS[1:]}
+        self.openings, longer = set(), {""}
+        for _ in range(3):
+            longer = {x + c for x in longer for c in letters if folded(x + c) in self.starts} if self.starts else set()
+            self.openings |= longer
+        self.folded: dict[str, str] = {}  # of tokens met after those
         self.folds: dict[str, str] = {}  # of the tokens met that may begin a word in pieces
 
     def __missing__(self, token: str) -> str:
@@ -236,7 +243,7 @@ class Restorer(dict):
 
     def restored(self, token: str) -> str:
         """A token (lower case, no white space) with its disguised words restored."""
-        if token[:2] in self.openings and (fold := folded(token)) in self.starts:
+        if token[:3] in self.openings and (fold := folded(token)) in self.starts:
             if len(self.folds) >= self.most:
                 self.folds.clear()
             self.folds[token] = fold
@@ -263,19 +270,27 @@ class Restorer(dict):
         single = bytes([len(t) == 1 for t in tokens])
         if b"\1\1\1" in single:
             found = [m.span() for m in re.finditer(rb"\x01{3,}", single) if any(map(str.isalpha, tokens[m.start() : m.end()]))]
-        if not self.folds or kinds.isdisjoint(self.folds):
+        folds, starts = self.folds, self.starts
+        first = [i for i, t in enumerate(tokens) if t in folds] if folds else []
+        if not first:
             return found
         taken = {i for lo, hi in found for i in range(lo, hi)}
-        after = 0
-        for i, t in enumerate(tokens):
-            if t not in self.folds or i < after or i in taken:
+        after, n = 0, len(tokens)
+        for i in first:
+            fold, k = folds[tokens[i]], i + 1
+            if k == n or tokens[k][0] not in starts[fold] or i < after or i in taken:
                 continue
-            fold, k = self.folds[t], i + 1
-            while k < len(tokens) and fold in self.starts and k not in taken:
-                longer = RUN.sub(r"\1", fold + folded(tokens[k]))
-                if len(longer) == len(fold):
+            while k < n and fold in starts and tokens[k][0] in starts[fold] and k not in taken:
+                more = self.folded.get(tokens[k])
+                if more is None:
+                    if len(self.folded) >= self.most:
+                        self.folded.clear()
+                    more = self.folded[tokens[k]] = folded(tokens[k])
+                if fold.endswith(more[:1]):
+                    more = more[1:]
+                if not more:
                     break
-                fold, k = longer, k + 1
+                fold, k = fold + more, k + 1
                 if fold in self.lexicon:
                     found.append((i, k))
                     after = k
@@ -342,10 +357,10 @@ def learned_weights(train: DataFrame, model: np.ndarray) -> dict[str, float]:
         def rows() -> pa.RecordBatch:
             features, counts = [""], [[texts[0]], [texts[1]]]
             for k in kinds:
-                names = list(seen[k][0] | seen[k][1])
+                names = list({**seen[k][0], **seen[k][1]})
                 features += ["=" + w for w in names] if k == 0 else names
                 for label in (0, 1):
-                    counts[label] += [seen[k][label][w] for w in names]
+                    counts[label] += map(seen[k][label].__getitem__, names)
                     seen[k][label].clear()
             texts[:] = [0, 0]
             return pa.RecordBatch.from_arrays([pa.array(features, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["feature", "clean", "toxic"])
@@ -389,7 +404,7 @@ class Evidence(dict):
     def __init__(self, model: np.ndarray, weights: dict[str, float], most: int = 600_000):
         super().__init__()
         self.restore, self.weights, self.most = Restorer(model, [f[1:] for f in weights if f[0] == "="]), weights, most
-        self.stems = {f[: PREFIXES[0]] for f in weights if f[0] != "="}
+        self.stems = {f[:k] for f in weights if f[0] != "=" for k in PREFIXES if k <= len(f)}
 
     def __missing__(self, token: str) -> dict[str, float]:
         if len(self) >= self.most:
@@ -403,8 +418,10 @@ class Evidence(dict):
         found = NOTHING
         for w in (unit,) if unit.isalpha() else WORD.findall(unit):
             weight = self.weights.get("=" + w, 0.0)
-            if w[: PREFIXES[0]] in self.stems:
-                weight = max(weight, *(self.weights.get(w[:k], 0.0) for k in PREFIXES if k <= len(w)))
+            for k in PREFIXES:
+                if k > len(w) or w[:k] not in self.stems:
+                    break
+                weight = max(weight, self.weights.get(w[:k], 0.0))
             if weight:
                 found = found | {w: weight}
         return found
@@ -466,8 +483,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
 def scored(docs: DataFrame, labels: DataFrame, name: str = "toxicity") -> DataFrame:
     """``docs`` with all its columns and a column ``name`` (0 to 1); a column of that name is replaced.
 
-    Null text counts as empty; repeated rows get the same score.  Without any
-    labelled toxic or clean training row every text gets the same low score.
+    Null text counts as empty; repeated rows get the same score; a null doc_id
+    has no label; other columns are kept whatever their names; an empty table
+    gives no rows.  Without any labelled toxic or clean training row every text
+    gets the same low score.
     """
     bounded_batches(docs.sparkSession)
     model, weights, (by_total, by_most, offset) = fit(docs, labels)
