@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import discarded, written
 
 
 def tree_edges(members: list[int], fan: int = 8) -> list[tuple[int, int]]:
@@ -19,11 +19,13 @@ def component_labels(links: DataFrame) -> DataFrame:
     Returns (node, label) for every node of a link; label is the smallest node
     that can be reached.  Each round a node takes the smallest label among its
     neighbours and then that label's own label, so chains shorten by halves.
-    No link or label comes to the driver, only whether a round changed one.
+    No link or label comes to the driver, only whether a round changed one.  The
+    table of a round is deleted once the next one stands.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = written(both, "links")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    before = labels
     while True:
         heard = (
             edges.join(labels.select(F.col("node").alias("b"), "label"), "b")
@@ -35,6 +37,8 @@ def component_labels(links: DataFrame) -> DataFrame:
             "node", "was", F.least("next", "far").alias("label")
         )
         step = written(jumped, "labels")
-        labels = step.select("node", "label")
+        discarded(before)
+        before, labels = step, step.select("node", "label")
         if step.filter("was <> label").isEmpty():
+            discarded(edges)
             return labels

@@ -48,39 +48,45 @@ def target_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     return weighted.select("m_source", rate.alias("rate"), (F.col("n") * HOT > whole["all"]).alias("hot"))
 
 
-def distribution(rate: Column) -> Column:
-    """P(X <= j) for j = 0, 1, ... of a Poisson variable, as far as its values differ from 1."""
+def drawn_copies(rate: Column, u: Column) -> Column:
+    """How many of P(X <= j), j = 0, 1, ..., of a Poisson variable do not exceed ``u``: its inverse at u.
+
+    Looked at as far as the values differ from 1; the work for a document is in
+    proportion to its rate, as its copies are.
+    """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("out"))
+    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), (F.exp(-rate) <= u).cast("int").alias("n"))
 
     def step(acc: Column, j: Column) -> Column:
         log_p = acc["log_p"] + F.log(rate / j)
         total = acc["sum"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("sum"), F.concat(acc["out"], F.array(total)).alias("out"))
+        return F.struct(log_p.alias("log_p"), total.alias("sum"), (acc["n"] + (total <= u).cast("int")).alias("n"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["out"])).otherwise(F.array(F.lit(1.0)))
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["n"])).otherwise(0)
 
 
 def replicated(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: str = SEED) -> DataFrame:
     """``docs`` with its columns, each row as often as drawn, and ``copy`` (from 0) and ``shuffle_key``; in a global random order.
 
-    Null doc_ids are drawn alike, and so are repeated rows; columns named copy
-    or shuffle_key are replaced; no rows give no rows.  Rows are dealt to ranges
-    of shuffle_key and sorted in them.
+    Null doc_ids are drawn alike, and so are repeated rows; null and empty texts
+    are rows like any others; columns named copy or shuffle_key are replaced, all
+    others kept whatever their names; no rows give no rows.  Rows are dealt to
+    ranges of shuffle_key and sorted in them.
     """
     keep = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     source = F.coalesce("source", F.lit(""))
-    rates = target_rates(docs, weights, total).withColumn("m_below", distribution(F.col("rate"))).drop("rate")
+    rates = target_rates(docs, weights, total)
     hot = [r["m_source"] for r in rates.filter("hot").select("m_source").collect()]  # fewer than HOT
-    rows = docs.select(*keep, source.alias("m_source"), uniform(F.lit(seed), ident).alias("m_u"))
+    rows = docs.select(F.struct(*keep).alias("row"), ident.alias("ident"), source.alias("m_source"), uniform(F.lit(seed), ident).alias("m_u"))
     drawn = rows.filter(F.col("m_source").isin(hot)).join(F.broadcast(rates.filter("hot")), "m_source")
     if not rates.filter("not hot").isEmpty():
         drawn = drawn.unionByName(rows.filter(~F.col("m_source").isin(hot)).join(rates.filter("not hot"), "m_source"))
-    drawn = drawn.withColumn("m_n", F.size(F.filter("m_below", lambda c: c <= F.col("m_u")))).filter("m_n > 0")
-    copies = drawn.select(*keep, F.explode(F.sequence(F.lit(0), F.col("m_n") - 1)).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))))
-    return keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    drawn = drawn.withColumn("m_n", drawn_copies(F.col("rate"), F.col("m_u"))).filter("m_n > 0")
+    copies = drawn.select("row", "ident", F.explode(F.sequence(F.lit(0), F.col("m_n") - 1)).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("ident"), F.col("copy").cast("string"))))
+    dealt = keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select(*[F.col("row")[c].alias(c) for c in keep], "copy", "shuffle_key")
 
 
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

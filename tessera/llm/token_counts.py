@@ -2,9 +2,10 @@
 
 Every change to a document is a signed row: an insert adds its count, a delete
 takes it away, a revision adds the difference.  A batch's rows are summed to
-one row for each key and committed under the batch's own name; committing it
-again puts the same sums in the same place, so totals, the sums over all
-commits, never count a batch twice.
+one row for each key and added to a running table of totals; a log entry under
+the batch's name then makes the new table the current one.  A batch whose entry
+stands is not added again, and one that broke off before its entry left the old
+table current.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, plain_text, shared_dir, table, written
+from tessera.llm.common import bounded_batches, file_system, plain_text, shared_dir, table, written
 from tessera.llm.tokens import default_path, part_ids
 
 KEYS = ("source", "lang", "tokenizer_version")
-COMMIT = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
+LOG = "version long, batch string, totals string"
+TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
 def with_token_counts(docs: DataFrame, tokenizer: str | None = None, name: str = "n_tokens") -> DataFrame:
@@ -53,24 +54,44 @@ def revisions(counts: DataFrame, version: str, old: str, new: str) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that all executors share, one commit for each batch."""
+    """Totals in a folder that all executors share, and the log of the batches that made them.  One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def commit(self, batch: str, changes: DataFrame) -> None:
-        """Put a batch's sums in its place.  A retry, also of a commit that broke off, replaces what stands there."""
-        sums = changes.groupBy(*KEYS).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    def log(self) -> DataFrame:
+        """(version, batch, totals) of each commit: the batch's name, and the folder of the totals after it."""
+        fs, at = file_system(self.spark, f"{self.path}/log")
+        return self.spark.read.schema(LOG).json(f"{self.path}/log/*") if fs.exists(at) else self.spark.createDataFrame([], LOG)
 
     def totals(self) -> DataFrame:
-        """The sums over all commits; keys whose documents are all gone are left out.  Null is a key like any other."""
-        try:
-            commits = self.spark.read.schema(COMMIT).option("basePath", self.path).parquet(f"{self.path}/batch=*")
-        except AnalysisException:
-            commits = self.spark.createDataFrame([], COMMIT)
-        sums = commits.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.filter("n_docs <> 0 or n_tokens <> 0")
+        """(source, lang, tokenizer_version, n_docs, n_tokens) after the last commit, without keys whose documents are all gone.
+
+        Null is a key like any other; before any commit there are no rows.
+        """
+        last = self.log().orderBy(F.desc("version")).first()
+        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/{last['totals']}") if last else self.spark.createDataFrame([], TOTALS)
+
+    def commit(self, batch: str, changes: DataFrame) -> bool:
+        """Add a batch of signed rows to the totals, unless it is in them already; whether it was added.
+
+        An empty batch is logged like any other.  The totals before the last
+        ones are deleted, so that a reader of the last ones is not disturbed.
+        """
+        log = self.log()
+        if not log.filter(F.col("batch") == batch).isEmpty():
+            return False
+        past = log.orderBy(F.desc("version")).limit(2).collect()
+        both = changes.select(*KEYS, "n_docs", "n_tokens").unionByName(self.totals())
+        sums = both.groupBy(*KEYS).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
+        name, version = f"totals-{uuid.uuid4().hex}", past[0]["version"] + 1 if past else 1
+        sums.filter("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.path}/{name}")
+        # the entry appears as a whole, and a second writer of the same version fails
+        self.spark.createDataFrame([(version, batch, name)], LOG).coalesce(1).write.json(f"{self.path}/log/{version:012d}")
+        if len(past) > 1:
+            fs, at = file_system(self.spark, f"{self.path}/{past[1]['totals']}")
+            fs.delete(at, True)
+        return True
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +99,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Documents arrive with counts guessed from their length; the word BPE's real
     counts revise them; then later copies of a text are deleted, by real counts,
-    under both versions.
+    under both versions.  Null text counts as empty; of equal texts the smallest
+    doc_id stays, a null one always, and so do rows that repeat it; an empty
+    table gives no rows.
     """
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     guess = F.ceil(F.length(plain_text()) / 4).cast("long")
     counted = with_token_counts(docs.select("doc_id", "source", "lang", plain_text().alias("text"), guess.alias("guess"), F.md5(plain_text()).alias("digest")))
     counts = written(counted.drop("text"), "token-counts")
-    first = written(counts.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "first-copies")
+    first = written(counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first-copies")
     later = written(counts.join(first, "digest").filter("doc_id > first_id").drop("first_id"), "later-copies")
     rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("1-arrived", inserts(counts, "guess-4", "guess").unionByName(inserts(counts, "word-bpe-49k", "guess")))

@@ -41,3 +41,12 @@ def test_weights_reach_their_targets(spark):
 
 def test_empty_table(spark):
     assert replicated(empty(spark)).collect() == []
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["doc_id", "source", "hot", "m_source", "m_u", "m_n", "rate", "ident", "row", "copy", "shuffle_key"]
+    df = spark.createDataFrame([(i, "s", *[f"{n}{i}" for n in names[2:]]) for i in range(20)], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = replicated(df, total=200)
+    assert got.columns == names
+    for r in got.collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names[2:-2]) and isinstance(r["copy"], int)

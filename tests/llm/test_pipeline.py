@@ -101,3 +101,27 @@ def test_stages_in_order(spark, tmp_path):
     assert now.count() > 0
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert np.all(out.groupby("sequence_id").length.sum() <= 4096)
+
+
+NAMES = ["hot", "m_source", "m_u", "m_times", "m_id", "m_digest", "_x", "spans", "base_spans", "key", "toxic", "l_id", "m_toxicity", "score", "row", "own_id", "m_n", "rate", "set_key"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    docs = [(*r, *[f"{n}{r[0]}" for n in NAMES]) for r in corpus()[:40]]
+    now = spark.createDataFrame(docs, SCHEMA + "".join(f", {n} string" for n in NAMES))
+    columns = now.columns
+    spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[n] == f"{n}{r.doc_id}" for n in NAMES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == 40
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

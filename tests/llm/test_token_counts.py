@@ -1,6 +1,8 @@
 import uuid
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm.common import shared_dir
@@ -29,6 +31,26 @@ def test_batches_count_once(spark):
     assert {(x.source, x.n_docs, x.n_tokens) for x in r.totals().collect()} == {(None, 1, 1), ("b", 1, 3)}
 
 
+def test_a_commit_that_breaks_off_leaves_the_totals(spark):
+    r = Rollup(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    one = spark.createDataFrame([("a", "en", "v1", 1, 10)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
+    assert r.commit("1", one) and not r.commit("1", one)
+    broken = one.withColumn("n_tokens", F.expr("if(n_tokens = 10, raise_error('lost'), 1)").cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        r.commit("2", broken)
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 1, 10)]
+    assert r.commit("2", one) and r.commit("3", one.filter("false")) and r.commit("4", one)
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 3, 30)]
+    assert [x.batch for x in r.log().orderBy("version").collect()] == ["1", "2", "3", "4"]
+    assert op6_totals_of_nothing(spark) == []
+
+
+def op6_totals_of_nothing(spark):
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    empty(spark).write.parquet(f"{path}/documents.parquet")
+    return op6_token_counts(spark, path).collect()
+
+
 def test_query_against_plain_sums(spark, tmp_path):
     frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in op6_token_counts(spark, str(tmp_path)).collect()}
