@@ -120,20 +120,38 @@ def border_spread(samples: DataFrame) -> DataFrame:
 
 
 def image_features(pixels: DataFrame, side: int = SAMPLES) -> DataFrame:
-    """All features: one aggregation over the samples, and one each for the two histograms.
+    """All features, in one aggregation over the samples.
 
-    Images of two samples across have no inner pixels; their gradient features are zero.
+    The luma histogram is 32 counts, the colour histogram a set of (bucket, how
+    many) of 4096 at most.  Images of two samples across have no inner pixels;
+    their gradient features are zero.
     """
-    s = sampled(pixels, side)
+    bucket = F.shiftright("r", 4) * 256 + F.shiftright("g", 4) * 16 + F.shiftright("b", 4)
+    level = F.shiftright(F.greatest(F.lit(0), F.least(F.lit(255), luma_level())).cast("int"), 3)
+    s = with_gradients(sampled(pixels, side)).withColumn("bucket", bucket)
+    s = s.withColumn("alike", F.count("*").over(Window.partitionBy("image_id", "bucket")))
     n = F.count("*")
-    main = with_gradients(s).groupBy("image_id").agg(
+    main = s.groupBy("image_id").agg(
         F.first("w").alias("width"), F.first("h").alias("height"), (F.count_if(F.col("a") < 250) / n).alias("transparent_share"),
         (F.count_if(luma_level() < 64) / n).alias("dark_share"), (F.count_if(luma_level() > 192) / n).alias("light_share"),
         F.stddev_pop(F.when(on_border(), luma_level())).alias("background_uniformity"), *opponents(), *gradient_facts(),
+        n.alias("n"), F.array(*[F.count_if(level == k) for k in range(32)]).alias("levels"), F.transform(F.collect_set(F.struct("bucket", "alike")), lambda x: x["alike"]).alias("buckets"),
     ).withColumn("colorfulness", colourful())
-    p = luma_percentiles(s).select("image_id", (F.col("p95") - F.col("p5")).cast("double").alias("luminance_spread"))
-    out = main.join(histogram_top(s), "image_id").join(p, "image_id")
-    return out.withColumn("megapixels", F.col("width") * F.col("height") / 1000000).withColumn("aspect_ratio", F.col("width") / F.col("height")).select(*FEATURES)
+
+    def percentile(p: float) -> Column:
+        target = F.floor(F.col("n") * p + 0.5)
+        none = F.struct(F.lit(0).cast("long").alias("acc"), F.lit(0).alias("bins"))
+        # the bins that fall short of the target come before the one that meets it
+        short = F.aggregate("levels", none, lambda s, k: F.struct((s["acc"] + k).alias("acc"), (s["bins"] + (s["acc"] + k < target).cast("int")).alias("bins")), lambda s: s["bins"])
+        return F.when(short < 32, short * 8 + 4).otherwise(255)
+
+    top = F.aggregate(F.slice(F.sort_array("buckets", asc=False), 1, 8), F.lit(0).cast("long"), lambda s, k: s + k)
+    made = {
+        "quantized_colors": F.size("buckets"), "palette_share_top8": top / F.col("n"), "dominant_color_share": F.array_max("buckets") / F.col("n"),
+        "luminance_spread": (percentile(0.95) - percentile(0.05)).cast("double"),
+        "megapixels": F.col("width") * F.col("height") / 1000000, "aspect_ratio": F.col("width") / F.col("height"),
+    }
+    return main.withColumns(made).select(*FEATURES)
 
 
 FEATURES = ["image_id", "width", "height", "megapixels", "aspect_ratio", "quantized_colors", "palette_share_top8", "dominant_color_share", "edge_density", "mean_gradient", "flat_share", "noise_level", "colorfulness", "transparent_share", "luminance_spread", "dark_share", "light_share", "background_uniformity"]

@@ -53,37 +53,58 @@ def summed_area(pixels: DataFrame) -> DataFrame:
 def rectangle_sum(sat: DataFrame, left: Column, top: Column, right: Column, bottom: Column) -> DataFrame:
     """``sat`` (image_id, x, y, sat, ...) with ``total`` over each row's inclusive rectangle, clipped to the image.
 
-    The four corners are looked up in the image's own table, gathered as rows of
-    an array: lookups do not multiply rows, and an image is the largest group.
+    A rectangle needs two rows of the summed areas: the one above it and its
+    last.  They are joined by image and row, each as one array, so that a pixel
+    meets two lines of its image, never the whole of it.
     """
     lines = sat.groupBy("image_id", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "sat"))), lambda p: p["sat"]).alias("line"))
-    tables = lines.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "line"))), lambda p: p["line"]).alias("table"))
+    last = F.max("y").over(Window.partitionBy("image_id"))
+    own = sat.select(F.struct(*sat.columns).alias("row"), "image_id", left.alias("x0"), right.alias("x1"), (top - 1).alias("above"), F.least(bottom, last).alias("below"))
 
-    def at(x: Column, y: Column) -> Column:
-        line = F.get("table", F.least(y, F.size("table") - 1))
-        return F.when((x < 0) | (y < 0), F.lit(0).cast("long")).otherwise(F.get(line, F.least(x, F.size(line) - 1)))
+    def at(line: str, x: Column) -> Column:
+        return F.when((x < 0) | F.col(line).isNull(), F.lit(0).cast("long")).otherwise(F.get(line, F.least(x, F.size(line) - 1)))
 
-    total = at(right, bottom) - at(left - 1, bottom) - at(right, top - 1) + at(left - 1, top - 1)
-    return sat.join(tables, "image_id").withColumn("total", total).drop("table")
+    both = own
+    for name in ("above", "below"):
+        both = both.join(lines.select("image_id", F.col("y").alias(name), F.col("line").alias(f"line_{name}")), ["image_id", name], "left")
+    total = at("line_below", F.col("x1")) - at("line_below", F.col("x0") - 1) - at("line_above", F.col("x1")) + at("line_above", F.col("x0") - 1)
+    return both.select(*[F.col("row")[c].alias(c) for c in sat.columns], total.alias("total"))
+
+
+def box_sums(sized: DataFrame, half: Column) -> DataFrame:
+    """``sized`` (image_id, x, y, v, w, h) with ``total`` over the square of ``half`` pixels on each side, clipped to the image.
+
+    Along rows, then down columns: in each the running sums of one line stand in
+    an array, and a sum is the difference of two of them.
+    """
+    now = sized.withColumn("s", F.col("v").cast("long"))
+    for window, line, at, size in ((along_rows(), "y", "x", "w"), (down_columns(), "x", "y", "h")):
+        run = now.withColumn("run", F.sum("s").over(window))
+        lines = run.groupBy("image_id", line).agg(F.first("w").alias("w"), F.first("h").alias("h"), F.sort_array(F.collect_list(F.struct(at, "v", "run"))).alias("cells"))
+        lines = lines.withColumn("half", half)
+
+        def cell(p: Column) -> Column:
+            to = F.get("cells", F.least(F.col(size) - 1, p[at] + F.col("half")))["run"]  # noqa: B023
+            before = F.get("cells", p[at] - F.col("half") - 1)["run"]  # noqa: B023
+            return F.struct(p[at].alias(at), p["v"].alias("v"), (to - F.coalesce(before, F.lit(0))).alias("s"))  # noqa: B023
+
+        now = lines.select("image_id", line, "w", "h", F.inline(F.transform("cells", cell)))
+    return now.withColumnRenamed("s", "total")
 
 
 def adaptive_threshold(pixels: DataFrame, window: int = 0, percent: float = 15.0) -> DataFrame:
     """Foreground is not lighter than the window's mean less ``percent``; window 0 is an eighth of the shorter side.
 
-    The window is clipped to the image, and its sum looked up in the summed areas.
+    The window is clipped to the image.
     """
     factor = 1.0 - min(100.0, max(0.0, percent)) / 100.0
-    if window:
-        half = F.lit(window // 2)
-    else:
-        half = F.expr("greatest(1, least(w, h) div 8) div 2")
-    box = with_size(summed_area(pixels)).withColumns({
-        "x0": F.greatest(F.lit(0), F.col("x") - half), "x1": F.least(F.col("w") - 1, F.col("x") + half),
-        "y0": F.greatest(F.lit(0), F.col("y") - half), "y1": F.least(F.col("h") - 1, F.col("y") + half),
-    })
-    summed = rectangle_sum(box, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    count = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
-    return summed.select("image_id", "x", "y", (F.col("v") * count <= F.col("total") * factor).cast("int").alias("fg"))
+    half = F.lit(window // 2) if window else F.expr("greatest(1, least(w, h) div 8) div 2").cast("int")
+    summed = box_sums(with_size(grey(pixels)), half).withColumn("half", half)
+
+    def extent(at: str, size: str) -> Column:
+        return F.least(F.col(size) - 1, F.col(at) + F.col("half")) - F.greatest(F.lit(0), F.col(at) - F.col("half")) + 1
+
+    return summed.select("image_id", "x", "y", (F.col("v") * extent("x", "w") * extent("y", "h") <= F.col("total") * factor).cast("int").alias("fg"))
 
 
 def key_decision(pixels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from tessera.operators import pixels as P
 from tessera.operators import regions as R
 from tessera.operators import watershed as W
 from tessera.plans.auto import auto_vectorise
-from tessera.plans.oracles import PALETTE, SIDE
+from tessera.plans.oracles import PALETTE, SMALL_SIDE
 from tessera.sources import rasters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,7 @@ def mask_by(px: DataFrame, condition: str) -> DataFrame:
 
 
 def features(px: DataFrame) -> DataFrame:
-    return X.image_features(px, SIDE)
+    return X.image_features(px)
 
 
 QUERIES["pixels_from_embeddings"] = rasters.embedding_pixels
@@ -61,7 +61,7 @@ on_pixels("packed_images", lambda px: rasters.image_rows(px).select("image_id",
 on_pixels("intensity", P.grey)
 on_pixels("threshold_fixed", P.fixed_threshold)
 on_pixels("sat", lambda px: P.summed_area(px).select("image_id", "x", "y", "sat"))
-on_pixels("region_sum", lambda px: P.rectangle_sum(P.summed_area(px), F.col("x"), F.col("y"), F.col("x") + 7, F.col("y") + 7).filter("x % 8 = 0 and y % 8 = 0").select("image_id", "x", "y", "total"))
+on_pixels("region_sum", lambda px: P.rectangle_sum(P.summed_area(px), F.col("x"), F.col("y"), F.col("x") + 7, F.col("y") + 7).select("image_id", "x", "y", "total"))
 on_pixels("threshold_adaptive", P.adaptive_threshold)
 on_pixels("key_decision", P.key_decision)
 on_pixels("unused_colour", P.unused_colour)
@@ -84,12 +84,12 @@ on_pixels("oklab_convert", lambda px: R.region_stats(labels(px)).select("image_i
 on_pixels("palette_snap", lambda px: R.snapped(R.region_stats(labels(px)).select("image_id", "region", *[F.col(f"mean_{c}").alias(c) for c in "rgb"]), PALETTE).select("image_id", "region", "pr", "pg", "pb"))
 on_pixels("hex_format", lambda px: R.region_stats(labels(px)).select("image_id", "region", hex_colour(F.col("mean_r"), F.col("mean_g"), F.col("mean_b")).alias("hex")))
 on_pixels("lattice_nodes", lambda px: R.lattice_nodes(labels(px)))
-on_pixels("downsample_nn", lambda px: X.sampled(px, SIDE).select("image_id", "x", "y", "r", "g", "b", "a"))
-on_pixels("colour_histogram_topk", lambda px: X.histogram_top(X.sampled(px, SIDE)))
-on_pixels("luma_percentiles", lambda px: X.luma_percentiles(X.sampled(px, SIDE)))
-on_pixels("colourfulness", lambda px: X.colourfulness(X.sampled(px, SIDE)))
-on_pixels("sobel_laplacian", lambda px: X.gradients(X.sampled(px, SIDE)))
-on_pixels("border_stddev", lambda px: X.border_spread(X.sampled(px, SIDE)))
+on_pixels("downsample_nn", lambda px: X.sampled(px, SMALL_SIDE).select("image_id", "x", "y", "r", "g", "b", "a"))
+on_pixels("colour_histogram_topk", lambda px: X.histogram_top(X.sampled(px)))
+on_pixels("luma_percentiles", lambda px: X.luma_percentiles(X.sampled(px)))
+on_pixels("colourfulness", lambda px: X.colourfulness(X.sampled(px)))
+on_pixels("sobel_laplacian", lambda px: X.gradients(X.sampled(px)))
+on_pixels("border_stddev", lambda px: X.border_spread(X.sampled(px)))
 on_pixels("image_features", features)
 on_pixels("class_scores", lambda px: D.class_scores(features(px)).select("image_id", "line_art", "flat_art", "photo"))
 on_pixels("heuristic_decision", lambda px: D.heuristic_decision(features(px)))
@@ -229,4 +229,4 @@ on_pixels("watershed_layers", lambda px: W.watershed_layers(px).select("image_id
 on_pixels("svg_watershed", lambda px: S.vectorised(W.watershed_layers(px, 100, 16), P.sizes(px), "polygon"))
 on_pixels("median_cut", lambda px: A.joined_neighbours(A.quantised_layers(noisy_layers(px), 6)).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))
 on_pixels("simplify_curves", lambda px: S.contours(C.binary_layers(P.fixed_threshold(px, 110), 2), "spline", simplify=2.0).select("image_id", "z", "path", F.size("points").alias("n")))
-on_pixels("svg_auto", lambda px: auto_vectorise(px, "compact", side=SIDE))
+on_pixels("svg_auto", lambda px: auto_vectorise(px, "compact"))

@@ -33,9 +33,12 @@ def lin(c: str) -> str:
     return f"(CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow(({c} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END)"
 
 
-def lab_of(r: str, g: str, b: str) -> tuple[str, str, str]:
-    from tessera.functions.colour import TO_LAB, TO_LMS
+# Linear RGB to cone response, and its cube root to lightness and two axes.
+TO_LMS = ((0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005))
+TO_LAB = ((0.2104542553, 0.7936177850, -0.0040720468), (1.9779984951, -2.4285922050, 0.4505937099), (0.0259040371, 0.7827717662, -0.8086757660))
+
 
+def lab_of(r: str, g: str, b: str) -> tuple[str, str, str]:
     lms = [f"cbrt({' + '.join(f'{k}::DOUBLE * {lin(c)}' for k, c in zip(row, (r, g, b)))})" for row in TO_LMS]
     return tuple("(" + " + ".join(f"({k})::DOUBLE * {m}" for k, m in zip(row, lms)) + ")" for row in TO_LAB)  # type: ignore[return-value]
 
@@ -44,12 +47,18 @@ L, A, B = lab_of("mean_r", "mean_g", "mean_b")
 PALETTE = [(200, 10, 10), (10, 10, 200), (10, 200, 10), (240, 220, 30), (128, 128, 128), (20, 20, 20), (245, 245, 245), (120, 60, 160)]
 PL, PA, PB = lab_of("pr", "pg", "pb")
 
-SIDE = 32
-SAMPLED = f"""dims AS (
-  SELECT *, sqrt(w * h / {float(SIDE * SIDE)}::DOUBLE) AS s FROM sizes),
+SMALL_SIDE = 32  # of the reduction that downsample_nn shows; the features look at 200 a side
+
+
+def sampled_sql(side: int) -> str:
+    return f"""dims AS (
+  SELECT *, sqrt(w * h / {float(side * side)}::DOUBLE) AS s FROM sizes),
 small AS (SELECT image_id, w, h, CASE WHEN s <= 1 THEN w ELSE greatest(2, floor(w / s + 0.5)::INTEGER) END AS dw, CASE WHEN s <= 1 THEN h ELSE greatest(2, floor(h / s + 0.5)::INTEGER) END AS dh FROM dims),
 grid AS (SELECT image_id, w, h, dw, dh, i::INTEGER AS x, j::INTEGER AS y, (i * w // dw)::INTEGER AS px, (j * h // dh)::INTEGER AS py FROM small, range(0, dw) t(i), range(0, dh) u(j)),
 smp AS (SELECT g.image_id, g.w, g.h, g.dw, g.dh, g.x, g.y, p.r, p.g, p.b, p.a FROM grid g JOIN px p ON p.image_id = g.image_id AND p.x = g.px AND p.y = g.py)"""
+
+
+SAMPLED = sampled_sql(200)
 HIST = """bk AS (SELECT image_id, (r // 16) * 256 + (g // 16) * 16 + b // 16 AS k, count(*) AS n FROM smp GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, k) AS rank FROM bk),
 hist AS (SELECT image_id, count(*)::INTEGER AS quantized_colors, sum(CASE WHEN rank <= 8 THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE AS palette_share_top8, max(n)::DOUBLE / sum(n)::DOUBLE AS dominant_color_share FROM rk GROUP BY image_id)"""
@@ -124,6 +133,24 @@ def q(select: str, *parts: str) -> str:
 CAND = "cand AS (SELECT * FROM (VALUES (0, 255, 0, 0), (1, 0, 255, 0), (2, 0, 0, 255), (3, 255, 255, 0), (4, 0, 255, 255), (5, 255, 0, 255)) t(o, r, g, b) UNION ALL SELECT 6 + i * 49 + j * 7 + k, i * 37, j * 37, k * 37 FROM range(0, 7) a(i), range(0, 7) b(j), range(0, 7) c(k))"
 FREE = "free AS (SELECT i.image_id, c.* FROM (SELECT DISTINCT image_id FROM px) i, cand c WHERE NOT EXISTS (SELECT 1 FROM px p WHERE p.image_id = i.image_id AND p.r = c.r AND p.g = c.g AND p.b = c.b))"
 
+
+
+def components_sql(reach: int) -> str:
+    """Components of dark pixels: runs of each row, joined where they meet in the next row (``reach`` 1: also at corners)."""
+    return f"""WITH RECURSIVE {PX}, {GREY},
+dark AS (SELECT image_id, x, y, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS k FROM gr WHERE v < 110),
+runs AS (SELECT image_id, y, min(x) AS x0, max(x) AS x1, y * 100000 + min(x) AS run FROM dark GROUP BY image_id, y, k),
+meet AS (SELECT p.image_id, p.run AS a, q.run AS b FROM runs p JOIN runs q ON p.image_id = q.image_id AND q.y = p.y + 1 AND q.x0 <= p.x1 + {reach} AND q.x1 >= p.x0 - {reach}),
+both_ways AS (SELECT * FROM meet UNION SELECT image_id, b, a FROM meet),
+reached AS (
+  SELECT image_id, run, run AS other FROM runs
+  UNION SELECT r.image_id, r.run, e.b FROM reached r JOIN both_ways e ON e.image_id = r.image_id AND e.a = r.other),
+least AS (SELECT image_id, run, min(other) AS root FROM reached GROUP BY image_id, run),
+numbered AS (SELECT image_id, root, row_number() OVER (PARTITION BY image_id ORDER BY root) AS component FROM (SELECT DISTINCT image_id, root FROM least))
+SELECT image_id, component, sum(x1 - x0 + 1)::BIGINT AS area, min(x0) AS "left", min(y) AS top, max(x1) + 1 AS "right", max(y) + 1 AS bottom
+FROM runs JOIN least USING (image_id, run) JOIN numbered USING (image_id, root) GROUP BY image_id, component"""
+
+
 ORACLES: dict[str, str] = {
     "pixels_from_embeddings": q("SELECT * FROM px", PX),
     "pixels_from_events": "SELECT user_id // 64 AS image_id, hour(ts)::INTEGER AS x, (user_id % 64)::INTEGER AS y, least(255, 16 * count(*))::INTEGER AS r, least(255, 16 * count(*))::INTEGER AS g, least(255, 16 * count(*))::INTEGER AS b, 255 AS a FROM events GROUP BY user_id, hour(ts)",
@@ -131,7 +158,7 @@ ORACLES: dict[str, str] = {
     "intensity": q("SELECT * FROM gr", PX, GREY),
     "threshold_fixed": q("SELECT * FROM mask", PX, GREY, MASK),
     "sat": q("SELECT image_id, x, y, sat::BIGINT AS sat FROM sat", PX, GREY, SAT),
-    "region_sum": q("SELECT g.image_id, g.x, g.y, sum(o.v)::BIGINT AS total FROM gr g JOIN gr o ON g.image_id = o.image_id AND o.x BETWEEN g.x AND g.x + 7 AND o.y BETWEEN g.y AND g.y + 7 WHERE g.x % 8 = 0 AND g.y % 8 = 0 GROUP BY ALL", PX, GREY),
+    "region_sum": q("SELECT g.image_id, g.x, g.y, sum(o.v)::BIGINT AS total FROM gr g JOIN gr o ON g.image_id = o.image_id AND o.x BETWEEN g.x AND g.x + 7 AND o.y BETWEEN g.y AND g.y + 7 GROUP BY ALL", PX, GREY),
     "threshold_adaptive": q(
         """SELECT image_id, x, y, (v * cnt <= tot * 0.85::DOUBLE)::INTEGER AS fg FROM (
         SELECT b.image_id, b.x, b.y, b.v, (x1 - x0 + 1) * (y1 - y0 + 1) AS cnt, p.sat - coalesce(l.sat, 0) - coalesce(u.sat, 0) + coalesce(c.sat, 0) AS tot FROM box b
@@ -183,7 +210,9 @@ ORACLES: dict[str, str] = {
         "SELECT image_id, x, y, degree FROM (SELECT c.image_id, c.x, c.y, (a <> b)::INT + (b <> e)::INT + (e <> d)::INT + (d <> a)::INT AS degree FROM (SELECT c.image_id, c.x, c.y, coalesce(p.region, -1) a, coalesce(q.region, -1) b, coalesce(r.region, -1) d, coalesce(s.region, -1) e FROM c LEFT JOIN lab p ON p.image_id = c.image_id AND p.x = c.x - 1 AND p.y = c.y - 1 LEFT JOIN lab q ON q.image_id = c.image_id AND q.x = c.x AND q.y = c.y - 1 LEFT JOIN lab r ON r.image_id = c.image_id AND r.x = c.x - 1 AND r.y = c.y LEFT JOIN lab s ON s.image_id = c.image_id AND s.x = c.x AND s.y = c.y) c) WHERE degree >= 3",
         PX, LABELS, SIZES, "c AS (SELECT image_id, i::INTEGER AS x, j::INTEGER AS y FROM sizes, range(0, w + 1) t(i), range(0, h + 1) u(j))",
     ),
-    "downsample_nn": q("SELECT image_id, x, y, r, g, b, a FROM smp", PX, SIZES, SAMPLED),
+    "downsample_nn": q("SELECT image_id, x, y, r, g, b, a FROM smp", PX, SIZES, sampled_sql(SMALL_SIDE)),
+    "connected_components": components_sql(0),
+    "connected_components_diagonal": components_sql(1),
     "colour_histogram_topk": q("SELECT * FROM hist", PX, SIZES, SAMPLED, HIST),
     "luma_percentiles": q("SELECT * FROM pct", PX, SIZES, SAMPLED, PCT),
     "colourfulness": q("SELECT * FROM col", PX, SIZES, SAMPLED, COL),
