@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.clusters import grid, per_image
+from tessera.operators.clusters import graph_labels, grid, per_image, setting
 from tessera.operators.curves import chain, corners_of, spline, thinned_chain
-from tessera.operators.paths import PATHS, POINTS, path_texts, quantised, svg_documents, thinned, without_stairs
+from tessera.operators.paths import PATHS, POINTS, documents_of, thinned, without_stairs
 
 #: Steps east, south, west, north; and the pixel (dx, dy) to the right and to the left of a step from a lattice corner.
 MOVES = ((1, 0), (0, 1), (-1, 0), (0, -1))
@@ -103,6 +103,30 @@ def faces(segments: list[tuple[list[Corner], int, int]]) -> dict[int, list[list[
     return out
 
 
+def islands(labels: np.ndarray) -> np.ndarray:
+    """For each cell, the first cell of the piece of its region that it can be reached in, eight ways."""
+    at = np.arange(labels.size).reshape(labels.shape)
+    a, b = [], []
+    for one, two in ((np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:]), (np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])):
+        same = labels[one] == labels[two]
+        a.append(at[one][same])
+        b.append(at[two][same])
+    return graph_labels(labels.size, np.concatenate(a), np.concatenate(b)).reshape(labels.shape)
+
+
+def island_faces(labels: np.ndarray, segments: list[tuple[list[Corner], int, int]]) -> list[tuple[int, list[list[tuple[int, bool]]]]]:
+    """(region, outlines) of each island, by region and then in raster order; an outline belongs to the cell on its right."""
+    piece = islands(labels)
+    out: dict[tuple[int, int], list[list[tuple[int, bool]]]] = {}
+    for region, cycles in faces(segments).items():
+        for cycle in cycles:
+            k, forward = cycle[0]
+            line = segments[k][0] if forward else segments[k][0][::-1]
+            dx, dy = RIGHT[heading(line[0], line[1])]
+            out.setdefault((region, int(piece[line[0][1] + dy, line[0][0] + dx])), []).append(cycle)
+    return [(region, out[region, first]) for region, first in sorted(out)]
+
+
 def fitted(points: list[Corner], mode: str, corner: float, length: float, splice: float) -> tuple[list[complex], bool]:
     """A border's points, and whether they are cubics; the ends of an open border stay where they are."""
     ring = points[0] == points[-1]
@@ -154,13 +178,16 @@ def merged(labels: np.ndarray, colours: dict[int, tuple[list[int], int]], most:
 
 
 def merged_similar(labels: DataFrame, most: int) -> DataFrame:
-    """labels(image_id, x, y, region, r, g, b) with similar neighbours merged, regions numbered anew in raster order, r, g, b their means."""
+    """labels(image_id, x, y, region, r, g, b) with similar neighbours merged, regions numbered anew in raster order, r, g, b their means.
+
+    Images may bring their own layer_difference in place of ``most``.
+    """
 
     def kernel(pdf: pd.DataFrame) -> dict[str, list]:
         w, h, (region, r, g, b) = grid(pdf.assign(region=pdf.region.fillna(-1).astype("int64") + 1), "region", "r", "g", "b")
         region = region - 1
         sums = {k: ([int(c[region == k].sum()) for c in (r, g, b)], int((region == k).sum())) for k in np.unique(region).tolist() if k >= 0}
-        out = merged(region, sums, most)
+        out = merged(region, sums, int(setting(pdf, "layer_difference", most)))
         y, x = np.nonzero(out >= 0)
         _, first, number = np.unique(out[y, x], return_index=True, return_inverse=True)
         rank = np.argsort(np.argsort(first))
@@ -183,17 +210,23 @@ def border_segments(labels: DataFrame) -> DataFrame:
 
 
 def region_paths(labels: DataFrame, mode: str = "pixel", corner: float = 60, length: float = 4.0, splice: float = 45, simplify: float = 0.0) -> DataFrame:
-    """paths of labels(image_id, x, y, region, r, g, b), z the region: outlines out of borders that are each fitted once."""
+    """paths of labels(image_id, x, y, region, r, g, b): outlines out of borders that are each fitted once.
+
+    A face is an island of a region; z numbers the faces by region and then in
+    raster order.  Images may bring fit_mode, corner_threshold, segment_length,
+    splice_threshold and simplify of their own as columns.
+    """
 
     def kernel(pdf: pd.DataFrame) -> dict[str, list]:
         _, _, (region,) = grid(pdf.assign(region=pdf.region + 1), "region")
         paints = {int(k): (int(r), int(g), int(b)) for k, r, g, b in pdf.drop_duplicates("region")[["region", "r", "g", "b"]].itertuples(index=False)}
         segments = Borders(region - 1).segments()
-        shapes = [fitted(p, mode, math.radians(corner), length, math.radians(splice)) for p, _, _ in segments]
-        if simplify > 0:
-            shapes = [(thinned_chain(p, simplify, math.radians(corner)), True) if curved and p else (p, curved) for p, curved in shapes]
+        sharp, within = math.radians(setting(pdf, "corner_threshold", corner)), setting(pdf, "simplify", simplify)
+        shapes = [fitted(p, setting(pdf, "fit_mode", mode), sharp, setting(pdf, "segment_length", length), math.radians(setting(pdf, "splice_threshold", splice))) for p, _, _ in segments]
+        if within > 0:
+            shapes = [(thinned_chain(p, within, sharp), True) if curved and p else (p, curved) for p, curved in shapes]
         rows: dict[str, list] = {k: [] for k in ("z", "r", "g", "b", "path", "points", "cubic")}
-        for z, cycles in sorted(faces(segments).items()):
+        for z, (owner, cycles) in enumerate(island_faces(region - 1, segments)):
             for n, cycle in enumerate(cycles):
                 line: list[complex] = []
                 cubic = any(shapes[k][1] for k, _ in cycle)
@@ -204,7 +237,7 @@ def region_paths(labels: DataFrame, mode: str = "pixel", corner: float = 60, len
                     points = points if forward else points[::-1]
                     line += points if not line else points[1:]
                 rows["z"].append(z)
-                for c, v in zip("rgb", paints[z]):
+                for c, v in zip("rgb", paints[owner]):
                     rows[c].append(v)
                 rows["path"].append(n)
                 rows["points"].append([{"x": p.real, "y": p.imag} for p in line])
@@ -224,7 +257,4 @@ def labels_of_layers(layers: DataFrame) -> DataFrame:
 def cutout(layers: DataFrame, sizes: DataFrame, mode: str = "pixel", most: int = 16, level: int = 1, digits: int = 2, **curve: float) -> DataFrame:
     """(image_id, svg) of layers as a flat partition without gaps or overlaps."""
     labels = merged_similar(labels_of_layers(layers), most)
-    paths = region_paths(labels, mode, **curve)
-    if level:
-        paths = paths.withColumn("points", quantised(F.col("points"), digits))
-    return svg_documents(path_texts(paths, level, digits), sizes, level)
+    return documents_of(region_paths(labels, mode, **curve), sizes, level, digits)

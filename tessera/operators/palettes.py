@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.colour import lab_distance, oklab
+from tessera.operators.clusters import setting
 
 
 def median_cut(samples: list[tuple[tuple[int, int, int], int]], most: int) -> list[tuple[int, int, int]]:
@@ -34,13 +35,17 @@ def median_cut(samples: list[tuple[tuple[int, int, int], int]], most: int) -> li
 
 
 def quantised_layers(layers: DataFrame, most: int) -> DataFrame:
-    """Layers in at most ``most`` colours of their image's own; a layer weighs its area and one more."""
+    """Layers in at most ``most`` colours of their image's own; a layer weighs its area and one more.
+
+    Images may bring their own max_colors in place of ``most``.
+    """
+    own_most = ["max_colors"] if "max_colors" in layers.columns else []
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = median_cut([((int(r), int(g), int(b)), int(n) + 1) for r, g, b, n in zip(pdf.r, pdf.g, pdf.b, pdf.n)], most)
+        found = median_cut([((int(r), int(g), int(b)), int(n) + 1) for r, g, b, n in zip(pdf.r, pdf.g, pdf.b, pdf.n)], int(setting(pdf, "max_colors", most)))
         return pd.DataFrame([(key[0], i, *c) for i, c in enumerate(found)], columns=["image_id", "i", "pr", "pg", "pb"])
 
-    slim = layers.select("image_id", "r", "g", "b", F.size("cells").alias("n"))
+    slim = layers.select("image_id", "r", "g", "b", F.size("cells").alias("n"), *own_most)
     palettes = slim.groupBy("image_id").applyInPandas(kernel, "image_id long, i int, pr int, pg int, pb int")
     entry = F.struct("i", *[F.col(f"p{c}").alias(c) for c in "rgb"], oklab(F.col("pr"), F.col("pg"), F.col("pb")).alias("lab"))
     held = palettes.groupBy("image_id").agg(F.collect_list(entry).alias("_palette"))  # ``most`` entries

@@ -127,13 +127,13 @@ def contours(layers: DataFrame, mode: str = "pixel", corner: float = 60, length:
     A layer is a group, so that an image's layers are traced side by side.
     Angles are in degrees.  ``simplify`` is the distance within which cubics may
     be fitted anew to have fewer.  Layers may bring their own fit_mode,
-    corner_threshold and simplify as columns.
+    corner_threshold, segment_length, splice_threshold and simplify as columns.
     """
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         how, sharp = setting(pdf, "fit_mode", mode), math.radians(setting(pdf, "corner_threshold", corner))
-        within = setting(pdf, "simplify", simplify)
+        within, fine, bend = setting(pdf, "simplify", simplify), setting(pdf, "segment_length", length), math.radians(setting(pdf, "splice_threshold", splice))
         for cells in pdf.cells:
             ys, xs = np.array([c["y"] for c in cells]), np.array([c["x"] for c in cells])
             mask = np.zeros((ys.max() - ys.min() + 1, xs.max() - xs.min() + 1), bool)
@@ -142,7 +142,7 @@ def contours(layers: DataFrame, mode: str = "pixel", corner: float = 60, length:
                 if how != "pixel":
                     points = thinned(without_stairs(points, clockwise))
                 if how == "spline":
-                    line = spline(points, sharp, length, rounds, math.radians(splice))
+                    line = spline(points, sharp, fine, rounds, bend)
                     line = thinned_chain(line, within, sharp) if line and within > 0 else line
                     points = [(p.real, p.imag) for p in line]
                 if points:
@@ -294,10 +294,14 @@ def svg_documents(shapes: DataFrame, sizes: DataFrame, level: int = 1) -> DataFr
     return sizes.join(body, "image_id", "left").select("image_id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("</svg>\n")).alias("svg"))
 
 
-def vectorised(layers: DataFrame, sizes: DataFrame, mode: str = "pixel", level: int = 1, digits: int = 2, **curve: float) -> DataFrame:
-    """Layers to SVG: outlines, rounding and tidying (but at level 0), texts, documents."""
-    paths = contours(layers, mode, **curve)
+def documents_of(paths: DataFrame, sizes: DataFrame, level: int = 1, digits: int = 2) -> DataFrame:
+    """(image_id, svg): rounding and tidying (but at level 0), texts, documents."""
     if level:
         rounded = quantised(F.col("points"), digits)
         paths = paths.withColumn("points", F.when(F.col("cubic"), rounded).otherwise(tidied(rounded))).filter(F.size("points") > 1)
     return svg_documents(path_texts(paths, level, digits), sizes, level)
+
+
+def vectorised(layers: DataFrame, sizes: DataFrame, mode: str = "pixel", level: int = 1, digits: int = 2, **curve: float) -> DataFrame:
+    """Layers to SVG, stacked."""
+    return documents_of(contours(layers, mode, **curve), sizes, level, digits)

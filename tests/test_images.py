@@ -254,6 +254,22 @@ def test_faces_cover_their_regions():
             assert total == (labels == region).sum()
 
 
+def test_a_region_in_pieces_has_a_face_for_each():
+    labels = np.array([[0, 1, 0, 2], [1, 1, 2, 0], [0, 1, 2, 2]])
+    assert M.islands(labels).tolist() == [[0, 1, 2, 3], [1, 1, 3, 2], [8, 1, 3, 3]]
+    segments = M.Borders(labels).segments()
+    found = M.island_faces(labels, segments)
+    assert [region for region, _ in found] == [0, 0, 0, 1, 2]
+    covered = []
+    for _, cycles in found:
+        total = 0
+        for cycle in cycles:
+            line = [p for k, forward in cycle for p in (segments[k][0] if forward else segments[k][0][::-1])]
+            total += area(line)
+        covered.append(total)
+    assert covered == [1, 2, 1, 4, 4]
+
+
 def test_cutouts(spark):
     px = pixels(spark, 16, 8, three)
     for mode in ("pixel", "polygon", "spline"):
