@@ -1,9 +1,47 @@
 import hashlib
 
+import xxhash
+
 from tessera.llm.lempel_ziv import likeness, phrase_fingerprints, text_fingerprint
 from tests.llm.fixtures import empty, frame, rows
 
 
+def plain_fingerprint(text):
+    """A phrase is the shortest piece, from where the last one ended, that is no phrase yet; of each 64th of the hashes the smallest."""
+    phrases, at = [], 0
+    while at < len(text):
+        n = 1
+        while at + n <= len(text) and text[at : at + n] in phrases:
+            n += 1
+        if at + n <= len(text):
+            phrases.append(text[at : at + n])
+        at += n
+    out = ""
+    hashes = [xxhash.xxh64(p.encode()).intdigest() for p in phrases]
+    for k in range(64):
+        mine = [h for h in hashes if k * 2**58 <= h < (k + 1) * 2**58]
+        out += hex(min(mine) % 65536)[2:].zfill(4) if mine else "----"
+    return out
+
+
+def plain_likeness(a, b):
+    same = both = 0
+    for k in range(64):
+        x, y = a[4 * k : 4 * k + 4], b[4 * k : 4 * k + 4]
+        both += (x, y) != ("----", "----")
+        same += x == y != "----"
+    return same / both if both else 1.0
+
+
+def test_fingerprints_against_plain_ones():
+    for r in rows():
+        text = (r[1] or "")[:3000]
+        other = text[: len(text) // 2] + "changed" + text[len(text) // 3 :]
+        f, g = text_fingerprint(text), text_fingerprint(other)
+        assert (f, g) == (plain_fingerprint(text), plain_fingerprint(other))
+        assert likeness(f, g) == plain_likeness(f, g)
+
+
 def test_against_plain_order(spark):
     data = sorted([(r[0], r[1] or "") for r in rows()], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     ids = sorted({d for d, _ in data}, key=lambda d: (d is not None, d or 0))
