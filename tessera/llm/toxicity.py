@@ -198,7 +198,7 @@ class Restorer(dict):
     for one of ``lexicon``.
     """
 
-    def __init__(self, model: np.ndarray, lexicon: Iterable[str] = (), most: int = 300_000):
+    def __init__(self, model: np.ndarray, lexicon: Iterable[str] = (), most: int = 150_000):
         super().__init__()
         self.model, self.most = model, most
         self.lexicon: dict[str, list[str]] = {}  # folded -> words
@@ -372,7 +372,7 @@ def learned_weights(train: DataFrame, model: np.ndarray) -> dict[str, float]:
                 seen[0][toxic].update(words)
                 for k in PREFIXES:
                     seen[k][toxic].update({w[:k] for w in words if len(w) >= k})
-            if sum(len(c) for pair in seen.values() for c in pair) > 600_000:
+            if sum(len(c) for pair in seen.values() for c in pair) > 200_000:
                 yield rows()
         yield rows()
 
@@ -401,7 +401,7 @@ class Evidence(dict):
     token -> the words of its restored form that have a weight, kept from when it is first met.
     """
 
-    def __init__(self, model: np.ndarray, weights: dict[str, float], most: int = 600_000):
+    def __init__(self, model: np.ndarray, weights: dict[str, float], most: int = 150_000):
         super().__init__()
         self.restore, self.weights, self.most = Restorer(model, [f[1:] for f in weights if f[0] == "="]), weights, most
         self.stems = {f[:k] for f in weights if f[0] != "=" for k in PREFIXES if k <= len(f)}
