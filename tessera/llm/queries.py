@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.html import op9_html_extraction
 from tessera.llm.lempel_ziv import op4_lempel_ziv
 from tessera.llm.media import op2_media_columns
+from tessera.llm.merkle import OP11_SQL, op11_merkle_manifest
 from tessera.llm.mixing import OP7_SQL, op7_poisson_mixing
 from tessera.llm.packing import op3_best_fit_packing
 from tessera.llm.pii import op8_pii
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality": op10_quality,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op7_poisson_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_poisson_mixing": OP7_SQL, "op11_merkle_manifest": OP11_SQL}
