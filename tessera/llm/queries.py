@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.alignment import op13_token_alignment
 from tessera.llm.html import op9_html_extraction
 from tessera.llm.lempel_ziv import op4_lempel_ziv
 from tessera.llm.media import op2_media_columns
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality": op10_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {"op7_poisson_mixing": OP7_SQL, "op11_merkle_manifest": OP11_SQL}

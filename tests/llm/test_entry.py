@@ -4,7 +4,7 @@ from tessera.llm.queries import ORACLES, QUERIES
 
 def test_one_query_for_each_operator():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and set(QUERIES) <= set(names) and set(ORACLES) <= set(entry.oracle_sql())
 
