@@ -9,7 +9,8 @@ shuffled as id pairs.
 
 Both tokenizers cut at a single space between two other characters, so a text's
 tokens and groups are those of its words in order.  Words repeat; each process
-keeps the groups of those it has seen, up to a bound.
+keeps the groups of those it has seen, up to a bound.  If a tokenizer does not
+keep the bytes of a word, it does not keep the text's.
 """
 
 from __future__ import annotations
@@ -43,73 +44,114 @@ def paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Aligned(dict):
-    """word (its space in front) -> (tokens of A, of B, groups, their text, identical ids of A, irregular pairs), filled when first met."""
+class Aligned:
+    """Two vocabularies, and the groups of the words met so far: numbered, in flat arrays."""
 
     def __init__(self, a_path: str, b_path: str, most: int = 300_000):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import public_tokenizers
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=b_path)
+        whole = Tokenizer.from_file(a_path)
+        whole.encode_special_tokens = True
         others = byte_letters()
         byte_of = {others.get(i, chr(i)): i for i in range(256)}
-        n_a = self.a.get_vocab_size()
-        pieces = [self.a.id_to_token(i) for i in range(n_a)]
+        pieces = [whole.id_to_token(i) for i in range(whole.get_vocab_size())]
         # a special token stands for its own characters; it is never met, as specials are off
         self.a_bytes = [bytes(byte_of[c] for c in p) if all(c in byte_of for c in p) else p.encode() for p in pieces]
+        self.a_encode = lambda text: whole.encode(text, add_special_tokens=False).ids
+        # where the file's ids ascend as its merges do, they are ranks, and a reader of ranks gives the same ids faster
+        with open(a_path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+        if [whole.token_to_id(m) for m in made] == list(range(256, 256 + len(made))):
+            ranks = {x: i for i, x in enumerate(self.a_bytes[: 256 + len(made)])}
+            self.a_encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.b = SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         by_bytes = {x: i for i, x in enumerate(self.b_bytes) if self.b.is_byte(i)}
         by_bytes |= {x: i for i, x in enumerate(self.b_bytes) if not self.b.is_byte(i)}
         #: for each id of A, the id of B with the same bytes, or -1
         self.same = np.array([by_bytes.get(x, -1) for x in self.a_bytes], np.int64)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.same_text = np.array([f"{i}|{j}" for i, j in enumerate(self.same.tolist())], object)
         self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.texts: list[str] = []
+        #: tokens of A, of B, and groups of each word; -1 where a tokenizer's bytes are others
+        self.counts = np.zeros((0, 3), np.int64)
+        #: ids of identical links, and pairs of the others, with each word's bounds
+        self.flat = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.bounds = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def _piece(self, i: int) -> bytes:
         p = self.b.id_to_piece(i)
         return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
 
-    def groups(self, spaced: str) -> tuple | None:
-        """Groups of one text with its space in front, encoded whole; None if either tokenizer's bytes are others."""
-        a = self.a.encode(spaced, add_special_tokens=False).ids
-        b = self.b.encode(spaced[1:], num_threads=1)
-        raw = spaced.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            return None
-        texts, same, pairs = [], [], []
-        i = j = at_a = at_b = 0
-        while i < len(a):
-            first_a, first_b = i, j
-            at_a, at_b, i, j = at_a + len(self.a_bytes[a[i]]), at_b + len(self.b_bytes[b[j]]), i + 1, j + 1
-            while at_a != at_b:
-                if at_a < at_b:
-                    at_a, i = at_a + len(self.a_bytes[a[i]]), i + 1
-                else:
-                    at_b, j = at_b + len(self.b_bytes[b[j]]), j + 1
-            texts.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            if i - first_a == j - first_b == 1 and self.same[a[first_a]] == b[first_b]:
-                same.append(a[first_a])
-            else:
-                pairs.append(a[i - 1] << 32 | b[j - 1])
-        return len(a), len(b), len(texts), ";".join(texts), np.array(same, np.int64).tobytes(), np.array(pairs, np.int64).tobytes()
-
-    def __missing__(self, word: str) -> tuple | None:
-        found = self[word] = self.groups(word)
-        return found
-
-    def text(self, text: str) -> tuple | None:
-        """As ``groups``, for a whole text without its space, word by word."""
-        if len(self) > self.most:
-            self.clear()
-        words = CUT.split(text)
-        found = [self[" " + w] for w in words]
-        if None in found:
-            return self.groups(" " + text)
-        n_a, n_b, n_groups, texts, same, pairs = zip(*found)
-        return sum(n_a), sum(n_b), sum(n_groups), ";".join(texts), b"".join(same), b"".join(pairs)
+    def learn(self, words: list[str]) -> None:
+        """Number ``words``, each with a space in front when encoded, and put their groups to the arrays."""
+        raw = [(" " + w).encode() for w in words]
+        a, b = [self.a_encode(" " + w) for w in words], self.b.encode(words, num_threads=1)
+        good = np.ones(len(words), bool)
+        if b"".join([self.b_bytes[i] for ids in b for i in ids]) != b"".join(raw):
+            good = np.array([b"".join([self.b_bytes[i] for i in ids]) == r for ids, r in zip(b, raw)])
+            a, b = ([ids if ok else [] for ids, ok in zip(side, good)] for side in (a, b))
+        n_a, n_b = (np.array([len(ids) for ids in side], np.int64) for side in (a, b))
+        ids_a, ids_b = (np.array([i for ids in side for i in ids], np.int64) for side in (a, b))
+        ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        upto_a, upto_b = np.searchsorted(ends_a, common) + 1, np.searchsorted(ends_b, common) + 1
+        last_a, last_b = ids_a[upto_a - 1], ids_b[upto_b - 1]
+        single = (np.diff(np.r_[0, upto_a]) == 1) & (np.diff(np.r_[0, upto_b]) == 1)
+        same = single & (self.same[last_a] == last_b)
+        text = self.same_text[np.where(same, last_a, 0)].tolist()
+        list_a, list_b, odd = ids_a.tolist(), ids_b.tolist(), np.flatnonzero(~same)
+        for k, a0, a1, b0, b1 in zip(odd.tolist(), np.r_[0, upto_a][odd].tolist(), upto_a[odd].tolist(), np.r_[0, upto_b][odd].tolist(), upto_b[odd].tolist()):
+            text[k] = f"{','.join(map(str, list_a[a0:a1]))}|{','.join(map(str, list_b[b0:b1]))}"
+        upto = np.searchsorted(upto_a, np.cumsum(n_a), "right")  # groups of each word end with its last token
+        begin = np.r_[0, upto][:-1]
+        self.texts += [";".join(text[s:e]) for s, e in zip(begin.tolist(), upto.tolist())]
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.counts = np.concatenate([self.counts, np.where(good[:, None], np.stack([n_a, n_b, upto - begin], 1), -1)])
+        for k, (take, values) in enumerate(((same, last_a), (~same, last_a << 32 | last_b))):
+            self.bounds[k] = np.r_[self.bounds[k], self.bounds[k][-1] + np.r_[0, np.cumsum(take)][upto]]
+            self.flat[k] = np.r_[self.flat[k], values[take]]
+
+    def texts_of(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        """Counts (tokens of A, of B, groups) and the groups' text of each of ``texts``, and (text, value) of its identical ids and irregular pairs."""
+        if len(self.number) > self.most:
+            self.forget()
+        cut = [CUT.split(t) if t else [] for t in texts]
+        numbers = [list(map(self.number.get, words)) for words in cut]
+        new = {w for words, ks in zip(cut, numbers) if None in ks for w, k in zip(words, ks) if k is None}
+        if new:
+            self.learn(list(new))
+            numbers = [[self.number[w] if k is None else k for w, k in zip(words, ks)] if None in ks else ks for words, ks in zip(cut, numbers)]
+        flat = np.array([k for ks in numbers for k in ks], np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(ks) for ks in numbers])
+        counts = np.zeros((len(texts), 3), np.int64)
+        np.add.at(counts, row, self.counts[flat])
+        bad = np.unique(row[self.counts[flat, 0] < 0])
+        counts[bad] = 0
+        ok = ~np.isin(row, bad)
+        flat, row = flat[ok], row[ok]
+        held = self.texts
+        joined = [";".join([held[k] for k in ks]) for ks in numbers]
+        found = []
+        for values, bounds in zip(self.flat, self.bounds):
+            n = bounds[flat + 1] - bounds[flat]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append((np.repeat(row, n), values[np.repeat(bounds[flat], n) + inside]))
+        for i in bad.tolist():
+            joined[i] = ""
+        return counts, joined, found
 
 
 _open: dict[tuple[str, str], Aligned] = {}
@@ -122,17 +164,14 @@ def aligned(a_path: str, b_path: str) -> Aligned:
     return _open[a_path, b_path]
 
 
-def counted(packed: list[bytes]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
-    """Distinct values of each row and how often they stand there, as lists; and all of them, flat."""
-    flat = np.frombuffer(b"".join(packed), np.int64)
-    row = np.repeat(np.arange(len(packed)), [len(p) // 8 for p in packed])
-    order = np.lexsort((flat, row))
-    flat, row = flat[order], row[order]
-    first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])]) if len(flat) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[first, len(flat)])
-    offsets = pa.array(np.searchsorted(row[first], np.arange(len(packed) + 1)).astype(np.int32))
-    values = flat[first]
-    return pa.ListArray.from_arrays(offsets, pa.array(values)), pa.ListArray.from_arrays(offsets, pa.array(n)), values, n
+def counted(rows: int, row: np.ndarray, values: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Distinct values of each row and how often they stand there, as lists."""
+    order = np.lexsort((values, row))
+    values, row = values[order], row[order]
+    first = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) | (row[1:] != row[:-1])][: len(values)])
+    n = np.diff(np.r_[first, len(values)])
+    offsets = pa.array(np.searchsorted(row[first], np.arange(rows + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(values[first])), pa.ListArray.from_arrays(offsets, pa.array(n))
 
 
 def cut_together(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -142,19 +181,15 @@ def cut_together(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         cache = aligned(a_path, b_path)
         vector = np.zeros(len(cache.same), np.int64)
         names = [f.split()[0] for f in DOCS.split(", ")]
-        nothing = (0, 0, 0, "", b"", b"")
         for batch in batches:
-            made = [(cache.text(t) if t else None) or nothing for t in batch.column(1).to_pylist()]
-            if not made:
-                continue
-            n_a, n_b, n_groups, texts, same, pairs = zip(*made)
-            ids, id_ns, values, n = counted(same)
-            np.add.at(vector, values, n)
-            pair_ids, pair_ns, _, _ = counted(pairs)
-            digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts])
-            numbers = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_groups)]
+            counts, texts, ((row, same), (pair_row, pairs)) = cache.texts_of(batch.column(1).to_pylist())
+            vector += np.bincount(same, minlength=len(vector))
+            ids, id_ns = counted(len(texts), row, same)
+            pair_ids, pair_ns = counted(len(texts), pair_row, pairs)
+            digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], pa.string())
+            numbers = [pa.array(counts[:, k]) for k in (0, 1, 2, 2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *numbers, digests, ids.cast(pa.list_(pa.int32())), id_ns, pair_ids, pair_ns, pa.array([False] * len(made))], names
+                [batch.column(0), *numbers, digests, ids.cast(pa.list_(pa.int32())), id_ns, pair_ids, pair_ns, pa.array(np.zeros(len(texts), bool))], names
             )
         met = np.flatnonzero(vector)
         none = pa.array([None], pa.int64())

@@ -92,15 +92,26 @@ def test_identity_map_holds_same_bytes():
 CACHE = []
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'’a1Ж▁ \x1f"), st.characters(exclude_categories=["Cs"])), max_size=60))
-def test_word_by_word_is_the_whole_text(text):
+def word_by_word(text):
     if not CACHE:
         CACHE.append(Aligned(*paths(), most=50))
-    assert not text or CACHE[0].text(text) == CACHE[0].groups(" " + text)
+    counts, groups, (same, pairs) = CACHE[0].texts_of([None, text, "", "a"])
+    back = [(a, CACHE[0].same[a]) for a in same[1][same[0] == 1].tolist()] + [(p >> 32, p & 0xFFFFFFFF) for p in pairs[1][pairs[0] == 1].tolist()]
+    return sorted(back), *counts[1].tolist(), hashlib.sha256(groups[1].encode()).hexdigest() if groups[1] else ""
 
 
-def test_very_long_text():
-    cache = Aligned(*paths())
-    text = "many words and " * 20_000 + "x" * 5000
-    assert cache.text(text) == cache.groups(" " + text)
+def same_as_whole(text):
+    links, *others = links_of(text)
+    assert word_by_word(text) == (sorted(links), *others)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'’a1Ж▁ \x1f"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_word_by_word_is_the_whole_text(text):
+    same_as_whole(text)
+
+
+def test_long_text():
+    same_as_whole("many words and " * 100 + "x" * 2000 + " end")
+    a, b = encoded("word and " * 30_000)
+    assert word_by_word("word and " * 30_000)[1:3] == (len(a), len(b))
