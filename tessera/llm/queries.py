@@ -16,6 +16,7 @@ from tessera.llm.packing import op3_best_fit_packing
 from tessera.llm.pii import op8_pii
 from tessera.llm.quality import op10_quality
 from tessera.llm.simhash import op1_simhash_near_dedup
+from tessera.llm.suffix_dedup import op12_suffix_dedup
 from tessera.llm.token_counts import op6_token_counts
 from tessera.llm.toxicity import op5_toxicity
 
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality": op10_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_token_alignment": op13_token_alignment,
 }
 
