@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.runs import labelled_runs, numbered, run_cells
+
 
 def graph_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest node reachable from each of n nodes over edges a - b: hook to the smaller label, then jump."""
@@ -80,26 +82,13 @@ def per_image(pixels: DataFrame, kernel: Callable[[pd.DataFrame], dict[str, list
 
 
 def connected_components(mask: DataFrame, diagonal: bool = False) -> DataFrame:
-    """(image_id, component, x, y) of the set pixels of masks(image_id, x, y, fg)."""
-
-    def kernel(pdf: pd.DataFrame) -> dict[str, list]:
-        _, _, (fg,) = grid(pdf, "fg")
-        labels = mask_labels(fg == 1, diagonal)
-        y, x = np.nonzero(labels)
-        return {"component": labels[y, x], "x": x, "y": y}
-
-    return per_image(mask, kernel, "component long, x int, y int")
-
-
-def component_boxes(components: DataFrame) -> DataFrame:
-    return components.groupBy("image_id", "component").agg(
-        F.count("*").alias("area"), F.min("x").alias("left"), F.min("y").alias("top"), (F.max("x") + 1).alias("right"), (F.max("y") + 1).alias("bottom")
-    )
+    """(image_id, component, y, x0, x1) of the set pixels of masks(image_id, x, y, fg), as runs; components are numbered from 1 in raster order."""
+    return numbered(labelled_runs(mask.filter("fg = 1"), "fg", diagonal))
 
 
 def binary_layers(mask: DataFrame, speckle: int = 4) -> DataFrame:
     """(image_id, z, r, g, b, cells): each 4-connected component of speckle ** 2 pixels or more is a black layer."""
-    cells = connected_components(mask).groupBy("image_id", "component").agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("cells"))
+    cells = run_cells(connected_components(mask), "component").groupBy("image_id", "component").agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("cells"))
     large = cells.filter(F.size("cells") >= speckle * speckle)
     return large.select("image_id", F.col("component").cast("int").alias("z"), *[F.lit(0).alias(c) for c in "rgb"], "cells")
 
@@ -361,17 +350,6 @@ def spanning_tree(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return p[taken], q[taken], weight[taken], np.array(keep, np.int64)
 
 
-def watershed_edges(pixels: DataFrame) -> DataFrame:
-    """(image_id, k, weight, persistence) of each image's minimum spanning tree."""
-
-    def kernel(pdf: pd.DataFrame) -> dict[str, list]:
-        _, _, (r, g, b) = grid(pdf, "r", "g", "b")
-        _, _, weight, keep = spanning_tree(np.stack([r, g, b], 2))
-        return {"k": np.arange(len(weight)), "weight": weight, "persistence": keep}
-
-    return per_image(pixels, kernel, "k int, weight int, persistence long")
-
-
 def watershed_labels(pixels: DataFrame, detail: int = 128) -> DataFrame:
     """labels(image_id, x, y, region, r, g, b): the tree cut to about 2 ** (detail / 25.5) regions, numbered in raster order."""
 

@@ -1,130 +1,58 @@
-"""Flat partitions of images: shared borders are traced and fitted once, and each region's outline is put together from them.
+"""Flat partitions of images: shared borders are found and fitted once, and each region's outline is put together from them.
 
 A border runs between lattice nodes, the corners where three or more borders
-meet; a border without a node is a ring.
+meet; a border without a node is a ring.  Finding borders, outlines and islands
+and putting them together are joins; only the fit of one border is Python.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.clusters import graph_labels, grid, per_image, setting
+from tessera.operators.borders import border_steps, face_order, segments
 from tessera.operators.curves import chain, corners_of, spline, thinned_chain
-from tessera.operators.paths import PATHS, POINTS, documents_of, thinned, without_stairs
-
-#: Steps east, south, west, north; and the pixel (dx, dy) to the right and to the left of a step from a lattice corner.
-MOVES = ((1, 0), (0, 1), (-1, 0), (0, -1))
-RIGHT = ((0, 0), (-1, 0), (-1, -1), (0, -1))
-LEFT = ((0, -1), (0, 0), (-1, 0), (-1, -1))
+from tessera.operators.graphs import OF
+from tessera.operators.merging import merged_similar
+from tessera.operators.paths import POINTS, documents_of, thinned, without_stairs
+from tessera.operators.runs import labelled_runs, pixel_name, run_cells
+from tessera.sources.scratch import written
 
 Corner = tuple[int, int]
+#: What an image may bring of its own, and its default's name in ``region_paths``.
+OWN_SETTINGS = {"fit_mode": "mode", "corner_threshold": "corner", "segment_length": "length", "splice_threshold": "splice", "simplify": "simplify"}
 
 
-class Borders:
-    """The directed unit borders of a label array; a step's region is on its right. Outside is -1."""
-
-    def __init__(self, labels: np.ndarray):
-        self.h, self.w = labels.shape
-        self.pad = np.full((self.h + 2, self.w + 2), -1, np.int64)
-        self.pad[1:-1, 1:-1] = labels
-
-    def side(self, at: Corner, offset: Corner) -> int:
-        return int(self.pad[at[1] + offset[1] + 1, at[0] + offset[0] + 1])
-
-    def steps(self, at: Corner) -> list[int]:
-        return [d for d in range(4) if self.side(at, RIGHT[d]) != self.side(at, LEFT[d])]
-
-    def segments(self) -> list[tuple[list[Corner], int, int]]:
-        """(corners, region on the right, region on the left): from node to node, then the rings."""
-        corners = [(x, y) for y in range(self.h + 1) for x in range(self.w + 1)]
-        nodes = [c for c in corners if len(self.steps(c)) >= 3]
-        known = set(nodes)
-        seen: set[tuple[Corner, int]] = set()
-        out = []
-
-        def follow(start: Corner, d: int) -> None:
-            right, left = self.side(start, RIGHT[d]), self.side(start, LEFT[d])
-            points, at = [start], start
-            while True:
-                ahead = (at[0] + MOVES[d][0], at[1] + MOVES[d][1])
-                seen.update({(at, d), (ahead, (d + 2) % 4)})
-                at = ahead
-                if at in known or at == start:
-                    out.append(([*points, at], right, left))
-                    return
-                (after,) = [s for s in self.steps(at) if s != (d + 2) % 4]
-                if after != d:
-                    points.append(at)
-                d = after
-
-        for c in nodes + corners:
-            for d in self.steps(c):
-                if (c, d) not in seen and (c in known or self.side(c, RIGHT[d]) >= 0):
-                    follow(c, d)
-        return out
-
-
-def heading(a: Corner, b: Corner) -> int:
-    return next(d for d, (dx, dy) in enumerate(MOVES) if (np.sign(b[0] - a[0]), np.sign(b[1] - a[1])) == (dx, dy))
-
+def border_segments(labels: DataFrame) -> DataFrame:
+    """(image_id, segment, region_right, region_left, points) of labels(image_id, x, y, region); the left one is null outside."""
+    found = segments(border_steps(labels))
+    return found.select(OF, F.col("number").alias("segment"), "region_right", "region_left", "points")
 
-def faces(segments: list[tuple[list[Corner], int, int]]) -> dict[int, list[list[tuple[int, bool]]]]:
-    """region -> its outlines as (segment, forward), the region on the right.
 
-    Where several of a region's borders leave a node, the one most to the right goes on.
-    """
-    leaving: dict[tuple[int, Corner], list[tuple[int, int, bool]]] = {}
-    todo: dict[tuple[int, bool], int] = {}
-    for k, (points, right, left) in enumerate(segments):
-        for region, forward, line in ((right, True, points), (left, False, points[::-1])):
-            if region >= 0:
-                todo[(k, forward)] = region
-                leaving.setdefault((region, line[0]), []).append((heading(line[0], line[1]), k, forward))
-    out: dict[int, list[list[tuple[int, bool]]]] = {}
-    while todo:
-        first = min(todo)
-        region, now, cycle = todo[first], first, []
-        while now in todo:
-            del todo[now]
-            cycle.append(now)
-            line = segments[now[0]][0] if now[1] else segments[now[0]][0][::-1]
-            d = heading(line[-2], line[-1])
-            ways = [(k, f) for turn in (1, 0, 3) for way, k, f in leaving.get((region, line[-1]), []) if way == (d + turn) % 4 and ((k, f) in todo or (k, f) == first)]
-            if not ways or ways[0] == first:
-                break
-            now = ways[0]
-        out.setdefault(region, []).append(cycle)
-    return out
+def border_lengths(found: DataFrame) -> DataFrame:
+    """(image_id, segment, first, region_right, region_left, steps, corners, area2, left, top) of ``segments``: area2 is twice the signed area below the line."""
+    at = F.sequence(F.lit(1), F.size("points") - 1)
+    twice = F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.get("points", i - 1)["x"] * F.get("points", i)["y"] - F.get("points", i)["x"] * F.get("points", i - 1)["y"])
+    least = [F.array_min(F.transform("points", lambda p: p[c])).cast("int").alias(name) for c, name in (("x", "left"), ("y", "top"))]
+    return found.select(OF, F.col("number").alias("segment"), "first", "region_right", "region_left", "steps", F.size("points").alias("corners"), twice.cast("long").alias("area2"), *least)
 
 
-def islands(labels: np.ndarray) -> np.ndarray:
-    """For each cell, the first cell of the piece of its region that it can be reached in, eight ways."""
-    at = np.arange(labels.size).reshape(labels.shape)
-    a, b = [], []
-    for one, two in ((np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:]), (np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])):
-        same = labels[one] == labels[two]
-        a.append(at[one][same])
-        b.append(at[two][same])
-    return graph_labels(labels.size, np.concatenate(a), np.concatenate(b)).reshape(labels.shape)
+def region_outlines(labels: DataFrame) -> DataFrame:
+    """(image_id, region, left, top, length, area2) of each outline of each region; a region's areas, holes negative, make its own."""
+    steps = written(border_steps(labels), "border-steps")
+    facts = border_lengths(segments(steps)).select(OF, F.col("first").alias("segment"), "left", "top", "steps", "area2")
+    area = F.when(F.col("forward"), F.col("area2")).otherwise(-F.col("area2"))
+    around = face_order(steps).join(facts, [OF, "segment"]).groupBy(OF, "region", "cycle")
+    return around.agg(F.min("left").alias("left"), F.min("top").alias("top"), F.sum("steps").alias("length"), F.sum(area).alias("area2")).drop("cycle")
 
 
-def island_faces(labels: np.ndarray, segments: list[tuple[list[Corner], int, int]]) -> list[tuple[int, list[list[tuple[int, bool]]]]]:
-    """(region, outlines) of each island, by region and then in raster order; an outline belongs to the cell on its right."""
-    piece = islands(labels)
-    out: dict[tuple[int, int], list[list[tuple[int, bool]]]] = {}
-    for region, cycles in faces(segments).items():
-        for cycle in cycles:
-            k, forward = cycle[0]
-            line = segments[k][0] if forward else segments[k][0][::-1]
-            dx, dy = RIGHT[heading(line[0], line[1])]
-            out.setdefault((region, int(piece[line[0][1] + dy, line[0][0] + dx])), []).append(cycle)
-    return [(region, out[region, first]) for region, first in sorted(out)]
+def island_cells(labels: DataFrame) -> DataFrame:
+    """(image_id, x, y, island): for each cell, the first cell of the piece of its region that it can be reached in, eight ways."""
+    return run_cells(labelled_runs(labels.filter("region is not null"), "region", diagonal=True), "label").withColumnRenamed("label", "island")
 
 
 def fitted(points: list[Corner], mode: str, corner: float, length: float, splice: float) -> tuple[list[complex], bool]:
@@ -146,67 +74,32 @@ def fitted(points: list[Corner], mode: str, corner: float, length: float, splice
     return out, True
 
 
-def merged(labels: np.ndarray, colours: dict[int, tuple[list[int], int]], most: int) -> np.ndarray:
-    """Neighbouring regions whose means differ by ``most`` at most become one, nearest pairs first, again until none is left."""
-    root = {k: k for k in colours}
+def fitted_segments(found: DataFrame, settings: dict[str, object]) -> DataFrame:
+    """(image_id, segment, shape, curved): the borders' points after fitting; ``found`` has the settings as columns, null for the default."""
 
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            shapes, curved = [], []
+            for row in pdf.itertuples(index=False):
+                own = {k: settings[k] if pd.isna(getattr(row, k)) else getattr(row, k) for k in OWN_SETTINGS}
+                sharp = math.radians(own["corner_threshold"])
+                points, cubic = fitted([(int(p["x"]), int(p["y"])) for p in row.points], own["fit_mode"], sharp, own["segment_length"], math.radians(own["splice_threshold"]))
+                if cubic and points and own["simplify"] > 0:
+                    points = thinned_chain(points, own["simplify"], sharp)
+                shapes.append([{"x": p.real, "y": p.imag} for p in points])
+                curved.append(cubic)
+            yield pd.DataFrame({OF: pdf[OF], "segment": pdf["first"], "shape": shapes, "curved": curved})
 
-    def apart(a: int, b: int) -> int:
-        return sum(abs(p // colours[a][1] - q // colours[b][1]) for p, q in zip(colours[a][0], colours[b][0]))
+    return found.select(OF, "first", "points", *OWN_SETTINGS).mapInPandas(run, f"{OF} long, segment long, shape {POINTS}, curved boolean")
 
-    pairs = np.concatenate([np.stack([labels[:, :-1].ravel(), labels[:, 1:].ravel()], 1), np.stack([labels[:-1].ravel(), labels[1:].ravel()], 1)])
-    pairs = np.unique(np.sort(pairs[(pairs[:, 0] != pairs[:, 1]) & (pairs >= 0).all(1)], axis=1), axis=0).tolist()
-    queue = [(apart(a, b), a, b) for a, b in pairs]
-    heapq.heapify(queue)
-    order = [heapq.heappop(queue) for _ in range(len(queue))]
-    changed = most >= 0
-    while changed:
-        changed = False
-        for _, a, b in order:
-            x, y = find(a), find(b)
-            if x != y and apart(x, y) <= most:
-                x, y = min(x, y), max(x, y)
-                root[y] = x
-                colours[x] = ([p + q for p, q in zip(colours[x][0], colours[y][0])], colours[x][1] + colours[y][1])
-                changed = True
-    return np.vectorize(lambda k: find(k) if k >= 0 else -1, otypes=[np.int64])(labels)
 
-
-def merged_similar(labels: DataFrame, most: int) -> DataFrame:
-    """labels(image_id, x, y, region, r, g, b) with similar neighbours merged, regions numbered anew in raster order, r, g, b their means.
-
-    Images may bring their own layer_difference in place of ``most``.
-    """
-
-    def kernel(pdf: pd.DataFrame) -> dict[str, list]:
-        w, h, (region, r, g, b) = grid(pdf.assign(region=pdf.region.fillna(-1).astype("int64") + 1), "region", "r", "g", "b")
-        region = region - 1
-        sums = {k: ([int(c[region == k].sum()) for c in (r, g, b)], int((region == k).sum())) for k in np.unique(region).tolist() if k >= 0}
-        out = merged(region, sums, int(setting(pdf, "layer_difference", most)))
-        y, x = np.nonzero(out >= 0)
-        _, first, number = np.unique(out[y, x], return_index=True, return_inverse=True)
-        rank = np.argsort(np.argsort(first))
-        means = [[sums[k][0][c] // sums[k][1] for k in out[y, x].tolist()] for c in range(3)]
-        return {"x": x, "y": y, "region": rank[number], "r": means[0], "g": means[1], "b": means[2]}
-
-    return per_image(labels, kernel, "x int, y int, region int, r int, g int, b int")
-
-
-def border_segments(labels: DataFrame) -> DataFrame:
-    """(image_id, segment, region_right, region_left, points); the left one is null outside."""
-
-    def kernel(pdf: pd.DataFrame) -> dict[str, list]:
-        _, _, (region,) = grid(pdf.assign(region=pdf.region + 1), "region")
-        found = Borders(region - 1).segments()
-        points = [[{"x": float(x), "y": float(y)} for x, y in p] for p, _, _ in found]
-        return {"segment": range(len(found)), "region_right": [r for _, r, _ in found], "region_left": [s if s >= 0 else None for _, _, s in found], "points": points}
-
-    return per_image(labels, kernel, f"segment int, region_right int, region_left int, points {POINTS}")
+def along(part: Column, cubic: Column) -> Column:
+    """A border's points in the outline's direction; a straight piece among curves is written as one, with its ends for control points."""
+    straight = part["shape"]
+    n = F.size(straight)
+    doubled = F.concat(F.slice(straight, 1, 1), F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array(F.get(straight, i - 1), F.get(straight, i), F.get(straight, i)))))
+    points = F.when(cubic & ~part["curved"] & (n > 1), doubled).otherwise(straight)
+    return F.when(part["forward"], points).otherwise(F.reverse(points))
 
 
 def region_paths(labels: DataFrame, mode: str = "pixel", corner: float = 60, length: float = 4.0, splice: float = 45, simplify: float = 0.0) -> DataFrame:
@@ -216,35 +109,33 @@ def region_paths(labels: DataFrame, mode: str = "pixel", corner: float = 60, len
     raster order.  Images may bring fit_mode, corner_threshold, segment_length,
     splice_threshold and simplify of their own as columns.
     """
-
-    def kernel(pdf: pd.DataFrame) -> dict[str, list]:
-        _, _, (region,) = grid(pdf.assign(region=pdf.region + 1), "region")
-        paints = {int(k): (int(r), int(g), int(b)) for k, r, g, b in pdf.drop_duplicates("region")[["region", "r", "g", "b"]].itertuples(index=False)}
-        segments = Borders(region - 1).segments()
-        sharp, within = math.radians(setting(pdf, "corner_threshold", corner)), setting(pdf, "simplify", simplify)
-        shapes = [fitted(p, setting(pdf, "fit_mode", mode), sharp, setting(pdf, "segment_length", length), math.radians(setting(pdf, "splice_threshold", splice))) for p, _, _ in segments]
-        if within > 0:
-            shapes = [(thinned_chain(p, within, sharp), True) if curved and p else (p, curved) for p, curved in shapes]
-        rows: dict[str, list] = {k: [] for k in ("z", "r", "g", "b", "path", "points", "cubic")}
-        for z, (owner, cycles) in enumerate(island_faces(region - 1, segments)):
-            for n, cycle in enumerate(cycles):
-                line: list[complex] = []
-                cubic = any(shapes[k][1] for k, _ in cycle)
-                for k, forward in cycle:
-                    points, curved = shapes[k]
-                    if cubic and not curved:  # a straight piece among curves is written as one
-                        points = points[:1] + [q for a, b in zip(points, points[1:]) for q in (a, b, b)]
-                    points = points if forward else points[::-1]
-                    line += points if not line else points[1:]
-                rows["z"].append(z)
-                for c, v in zip("rgb", paints[owner]):
-                    rows[c].append(v)
-                rows["path"].append(n)
-                rows["points"].append([{"x": p.real, "y": p.imag} for p in line])
-                rows["cubic"].append(cubic)
-        return rows
-
-    return per_image(labels, kernel, PATHS.removeprefix("image_id long, "))
+    defaults = {"mode": mode, "corner": corner, "length": length, "splice": splice, "simplify": simplify}
+    settings = {k: defaults[v] for k, v in OWN_SETTINGS.items()}
+    own = [k for k in OWN_SETTINGS if k in labels.columns]
+    labels = written(labels, "labels")
+    steps = written(border_steps(labels), "border-steps")
+    kinds = {k: "string" if k == "fit_mode" else "double" for k in OWN_SETTINGS}
+    images = labels.groupBy(OF).agg(*[F.first(k).cast(kinds[k]).alias(k) if k in own else F.lit(None).cast(kinds[k]).alias(k) for k in OWN_SETTINGS])
+    shapes = fitted_segments(segments(steps).join(images, OF), settings)
+
+    # an outline belongs to the island of the cell on the right of where it begins
+    right = {0: (0, 0), 1: (-1, 0), 2: (-1, -1), 3: (0, -1)}
+    order = written(face_order(steps), "faces")
+    cell = [F.coalesce(*[F.when(F.col("d") == d, F.col(c) + by[k]) for d, by in right.items()]).alias(c) for k, c in enumerate("xy")]
+    begins = order.filter("place = 0").select(OF, "region", "cycle", *cell).join(island_cells(labels), [OF, "x", "y"])
+    z = F.dense_rank().over(Window.partitionBy(OF).orderBy("region", "island")) - 1
+    path = F.row_number().over(Window.partitionBy(OF, "region", "island").orderBy("cycle")) - 1
+    outlines = begins.select(OF, "region", "cycle", z.cast("int").alias("z"), path.cast("int").alias("path"))
+
+    pieces = order.select(OF, "region", "cycle", "place", "segment", "forward").join(shapes, [OF, "segment"])
+    piece = F.struct("place", "forward", "curved", "shape")
+    lines = pieces.groupBy(OF, "region", "cycle").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.max("curved").alias("cubic"))
+    first = F.transform("pieces", lambda p: along(p, F.col("cubic")))
+    joined = F.concat(F.element_at(first, 1), F.flatten(F.transform(F.slice(first, F.lit(2), F.size(first)), lambda p: F.slice(p, F.lit(2), F.size(p)))))
+    first_cell = F.min_by(F.struct(*[F.col(c).cast("int").alias(c) for c in "rgb"]), pixel_name())
+    paints = labels.groupBy(OF, "region").agg(first_cell.alias("paint")).select(OF, "region", "paint.*")
+    made = lines.select(OF, "region", "cycle", joined.alias("points"), "cubic").join(outlines, [OF, "region", "cycle"]).join(paints, [OF, "region"])
+    return made.select(OF, "z", "r", "g", "b", "path", "points", "cubic")
 
 
 def labels_of_layers(layers: DataFrame) -> DataFrame:

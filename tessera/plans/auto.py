@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import clusters, decisions, features, mosaic, palettes, paths, pixels
+from tessera.sources.scratch import written
 
 SEGMENT = ["color_precision", "layer_difference", "filter_speckle"]
 DRAW = ["fit_mode", "corner_threshold", "segment_length", "splice_threshold", "simplify"]
@@ -36,7 +37,7 @@ def segmented(px: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def auto_vectorise(px: DataFrame, goal: str = "balanced", level: int = 1, digits: int = 2, side: int = features.SAMPLES) -> DataFrame:
     """(image_id, svg), each image with all of its own settings, stacked or as a flat partition."""
-    chosen = tuned(px, goal, side).persist()  # a row for each image, read by every branch
+    chosen = written(tuned(px, goal, side), "chosen")  # a row for each image, read by every branch
     layers, sizes = segmented(px, chosen), pixels.sizes(px)
     flat = chosen.filter("hierarchical = 'cutout'")
     stacked = chosen.filter("hierarchical <> 'cutout'")

@@ -18,6 +18,9 @@ from tessera.operators import paths as S
 from tessera.operators import pixels as P
 from tessera.operators import regions as R
 from tessera.operators import watershed as W
+from tessera.operators.borders import border_steps, half_edges, segments
+from tessera.operators.runs import run_boxes
+from tessera.operators.trees import tree_links
 from tessera.plans.auto import auto_vectorise
 from tessera.plans.oracles import PALETTE, SMALL_SIDE
 from tessera.sources import rasters
@@ -205,9 +208,13 @@ def noisy_layers(px: DataFrame) -> DataFrame:
     return C.colour_layers(C.with_keyed(px), precision=5, difference=48, speckle=2)
 
 
-on_pixels("connected_components", lambda px: C.component_boxes(C.connected_components(P.fixed_threshold(px, 110))))
-on_pixels("connected_components_diagonal", lambda px: C.component_boxes(C.connected_components(P.fixed_threshold(px, 110), diagonal=True)))
-on_pixels("watershed_mst_weights", lambda px: C.watershed_edges(px).groupBy("image_id", "weight").agg(F.count("*").alias("n")))
+on_pixels("connected_components", lambda px: run_boxes(C.connected_components(P.fixed_threshold(px, 110))))
+on_pixels("connected_components_diagonal", lambda px: run_boxes(C.connected_components(P.fixed_threshold(px, 110), diagonal=True)))
+on_pixels("watershed_mst_weights", lambda px: tree_links(px).groupBy("image_id", "weight").agg(F.count("*").alias("n")))
+on_pixels("border_steps", lambda px: half_edges(labels(px)))
+on_pixels("border_lengths", lambda px: M.border_lengths(segments(border_steps(labels(px)))).drop("first", "left", "top"))
+on_pixels("region_outlines", lambda px: M.region_outlines(labels(px)))
+on_pixels("merge_tiles", lambda px: R.region_stats(M.merged_similar(px.select("image_id", "x", "y", F.expr("y div 4 * 16 + x div 4").cast("int").alias("region"), "r", "g", "b"), 16)))
 on_pixels("watershed_regions", lambda px: R.region_stats(C.watershed_labels(px, 128)))
 on_pixels("colour_cluster_layers", lambda px: noisy_layers(px).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))
 on_pixels("contours", lambda px: S.contours(C.binary_layers(P.fixed_threshold(px, 110), 2)))

@@ -244,3 +244,86 @@ ORACLES: dict[str, str] = {
     "progress_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, count(*) AS superseded FROM events GROUP BY user_id",
     "answer_parse": """SELECT conv_id, turn, 2 + (turn % 3)::INTEGER AS filter_speckle, CASE WHEN turn % 2 = 0 THEN 'binary' ELSE 'color-cluster' END AS clustering FROM conversations""",
 }
+
+
+# --- borders, trees and merging ------------------------------------------------------------------
+
+# Unit steps between lattice corners, both ways: east 0, south 1, west 2, north 3; the region on the right of a step, outside -1.
+STEPS = """vert AS (SELECT c.image_id, c.x, c.y, coalesce(p.region, -1) AS low, coalesce(q.region, -1) AS high FROM (SELECT image_id, i::INTEGER AS x, j::INTEGER AS y FROM sizes, range(0, w + 1) t(i), range(0, h) u(j)) c
+  LEFT JOIN lab p ON p.image_id = c.image_id AND p.x = c.x - 1 AND p.y = c.y LEFT JOIN lab q ON q.image_id = c.image_id AND q.x = c.x AND q.y = c.y),
+hori AS (SELECT c.image_id, c.x, c.y, coalesce(p.region, -1) AS low, coalesce(q.region, -1) AS high FROM (SELECT image_id, i::INTEGER AS x, j::INTEGER AS y FROM sizes, range(0, w) t(i), range(0, h + 1) u(j)) c
+  LEFT JOIN lab p ON p.image_id = c.image_id AND p.x = c.x AND p.y = c.y - 1 LEFT JOIN lab q ON q.image_id = c.image_id AND q.x = c.x AND q.y = c.y),
+bare AS (
+  SELECT image_id, x, y, 1 AS d, x AS hx, y + 1 AS hy, low AS rt, high AS lf FROM vert WHERE low <> high UNION ALL SELECT image_id, x, y + 1, 3, x, y, high, low FROM vert WHERE low <> high
+  UNION ALL SELECT image_id, x, y, 0, x + 1, y, high, low FROM hori WHERE low <> high UNION ALL SELECT image_id, x + 1, y, 2, x, y, low, high FROM hori WHERE low <> high),
+steps AS (SELECT *, (y * 65536 + x) * 4 + d AS name, (hy * 65536 + hx) * 4 + (d + 2) % 4 AS back, count(*) OVER (PARTITION BY image_id, x, y) AS degree, count(*) OVER (PARTITION BY image_id, hx, hy) AS unused FROM bare)"""
+# Borders from node to node, step by step; then rings, from every step that may be a ring's first.
+BORDERS = STEPS + """,
+ahead AS (SELECT s.image_id, s.name, n.name AS next, n.d <> s.d AS turned FROM steps s JOIN steps n ON n.image_id = s.image_id AND n.x = s.hx AND n.y = s.hy AND n.degree = 2 AND n.d <> (s.d + 2) % 4),
+walk AS (
+  SELECT image_id, name AS first, name, 1 AS n, 0 AS turns FROM steps WHERE degree >= 3
+  UNION ALL SELECT w.image_id, w.first, a.next, w.n + 1, w.turns + a.turned::INTEGER FROM walk w JOIN ahead a ON a.image_id = w.image_id AND a.name = w.name),
+ring AS (
+  SELECT s.image_id, s.name AS first, s.name, 1 AS n, 0 AS turns FROM steps s WHERE s.d <= 1 AND NOT EXISTS (SELECT 1 FROM walk w WHERE w.image_id = s.image_id AND w.name = s.name)
+  UNION ALL SELECT r.image_id, r.first, a.next, r.n + 1, r.turns + a.turned::INTEGER FROM ring r JOIN ahead a ON a.image_id = r.image_id AND a.name = r.name WHERE a.next > r.first),
+closed AS (SELECT r.image_id, r.first FROM ring r JOIN ahead a ON a.image_id = r.image_id AND a.name = r.name AND a.next = r.first),
+lines AS (SELECT *, false AS ring FROM walk UNION ALL SELECT r.*, true FROM ring r JOIN closed USING (image_id, first)),
+whole AS (
+  SELECT l.image_id, l.first, any_value(l.ring) AS ring, any_value(s.rt) AS rt, any_value(s.lf) AS lf, max(l.n) AS steps, max(l.turns) + 2 AS corners, sum(s.x * s.hy - s.hx * s.y)::BIGINT AS area2, CASE WHEN any_value(l.ring) THEN min(s.back) ELSE arg_max(s.back, l.n) END AS twin
+  FROM lines l JOIN steps s ON s.image_id = l.image_id AND s.name = l.name GROUP BY l.image_id, l.first)"""
+OUTLINES = STEPS + """,
+follow AS (SELECT s.image_id, s.name, arg_min(n.name, CASE (n.d - s.d + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) AS next FROM steps s JOIN steps n ON n.image_id = s.image_id AND n.x = s.hx AND n.y = s.hy AND n.rt = s.rt AND n.d <> (s.d + 2) % 4 WHERE s.rt >= 0 GROUP BY ALL),
+jump AS (
+  SELECT 0 AS i, image_id, name, next AS ptr, name AS least FROM follow
+  UNION ALL SELECT a.i + 1, a.image_id, a.name, b.ptr, least(a.least, b.least) FROM jump a JOIN jump b ON b.image_id = a.image_id AND b.name = a.ptr WHERE a.i < 14)"""
+# Rounds in which every tree takes its least link; a tree's new root comes from jumps over what trees hooked to.
+TREE = PAIRS.replace("p.*", "p.image_id, p.x, p.y, p.r, p.g, p.b, q.x AS qx, q.y AS qy") + """,
+links AS (SELECT image_id, y * w + x AS p, qy * w + qx AS q, greatest(abs(r - nr), abs(g - ng), abs(b - nb)) AS weight, (y * w + x) * 2 + (qy > y)::INTEGER AS ident FROM pairs JOIN sizes USING (image_id)),
+trees AS (
+  SELECT 0 AS i, image_id, y * w + x AS node, y * w + x AS root, NULL::INTEGER AS weight FROM px JOIN sizes USING (image_id)
+  UNION ALL
+  SELECT i + 1, image_id, node, new_root, weight FROM (
+    WITH cur AS (SELECT * FROM trees),
+    ed AS (SELECT l.image_id, p.root AS a, q.root AS b, l.weight, l.ident FROM links l JOIN cur p ON p.image_id = l.image_id AND p.node = l.p JOIN cur q ON q.image_id = l.image_id AND q.node = l.q WHERE p.root <> q.root),
+    best AS (SELECT image_id, a, arg_min(b, (weight, ident)) AS b, min(weight) AS weight FROM (SELECT * FROM ed UNION ALL SELECT image_id, b, a, weight, ident FROM ed) GROUP BY image_id, a),
+    h0 AS (SELECT n.image_id, n.a, CASE WHEN m.b = n.a AND n.a < n.b THEN n.a ELSE n.b END AS p, n.weight FROM best n JOIN best m ON m.image_id = n.image_id AND m.a = n.b),
+    """ + ",\n    ".join(f"h{k + 1} AS (SELECT f.image_id, f.a, g.p FROM h{k} f JOIN h{k} g ON g.image_id = f.image_id AND g.a = f.p)" for k in range(12)) + """
+    SELECT c.i, c.image_id, c.node, h.p AS new_root, CASE WHEN c.node = c.root AND o.p <> o.a THEN o.weight END AS weight
+    FROM cur c JOIN h12 h ON h.image_id = c.image_id AND h.a = c.root JOIN h0 o ON o.image_id = c.image_id AND o.a = c.root))"""
+# Rounds of mutually nearest regions and those nearest to them; what a region holds is summed anew from the first regions in each round.
+MERGE = """tile AS (SELECT image_id, (y // 4 * 16 + x // 4)::INTEGER AS region, x, y, r, g, b FROM px),
+base AS (SELECT image_id, region, count(*) AS area, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb FROM tile GROUP BY ALL),
+touch AS (SELECT p.image_id, p.region AS a, q.region AS b FROM tile p JOIN tile q ON p.image_id = q.image_id AND p.y = q.y AND q.x = p.x + 1 AND p.region <> q.region UNION SELECT p.image_id, p.region, q.region FROM tile p JOIN tile q ON p.image_id = q.image_id AND p.x = q.x AND q.y = p.y + 1 AND p.region <> q.region),
+rounds AS (
+  SELECT 0 AS i, image_id, region, region AS root, true AS moved FROM base
+  UNION ALL
+  SELECT i + 1, image_id, region, new_root, bool_or(new_root <> root) OVER () FROM (
+    WITH cur AS (SELECT * FROM rounds),
+    st AS (SELECT c.image_id, c.root, sum(sr) // sum(area) AS r, sum(sg) // sum(area) AS g, sum(sb) // sum(area) AS b FROM cur c JOIN base USING (image_id, region) GROUP BY ALL),
+    ed AS (SELECT DISTINCT t.image_id, p.root AS a, q.root AS b FROM (SELECT * FROM touch UNION SELECT image_id, b, a FROM touch) t JOIN cur p ON p.image_id = t.image_id AND p.region = t.a JOIN cur q ON q.image_id = t.image_id AND q.region = t.b WHERE p.root <> q.root),
+    far AS (SELECT e.image_id, e.a, e.b, abs(u.r - v.r) + abs(u.g - v.g) + abs(u.b - v.b) AS diff FROM ed e JOIN st u ON u.image_id = e.image_id AND u.root = e.a JOIN st v ON v.image_id = e.image_id AND v.root = e.b),
+    near AS (SELECT image_id, a, arg_min(b, (diff, least(a, b), greatest(a, b))) AS b FROM far WHERE diff <= 16 GROUP BY ALL),
+    pair AS (SELECT n.image_id, n.a, least(n.a, n.b) AS b FROM near n JOIN near m ON m.image_id = n.image_id AND m.a = n.b AND m.b = n.a),
+    both_ AS (SELECT * FROM pair UNION ALL SELECT n.image_id, n.a, m.b FROM near n JOIN pair m ON m.image_id = n.image_id AND m.a = n.b WHERE NOT EXISTS (SELECT 1 FROM pair s WHERE s.image_id = n.image_id AND s.a = n.a))
+    SELECT c.i, c.image_id, c.region, c.root, coalesce(m.b, c.root) AS new_root FROM cur c LEFT JOIN both_ m ON m.image_id = c.image_id AND m.a = c.root WHERE c.moved)),
+final AS (SELECT image_id, region, root FROM rounds WHERE i = (SELECT max(i) FROM rounds)),
+lab AS (SELECT image_id, x, y, dense_rank() OVER (PARTITION BY image_id ORDER BY first) - 1 AS region, r, g, b FROM (SELECT t.image_id, t.x, t.y, min(t.y * 65536 + t.x) OVER whole AS first, sum(t.r) OVER whole // count(*) OVER whole AS r, sum(t.g) OVER whole // count(*) OVER whole AS g, sum(t.b) OVER whole // count(*) OVER whole AS b FROM tile t JOIN final f USING (image_id, region) WINDOW whole AS (PARTITION BY t.image_id, f.root)))"""
+
+
+def recursive(select: str, *parts: str) -> str:
+    return q(select, *parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLES |= {
+    "border_steps": q('SELECT image_id, x, y, d, hx, hy, rt AS "right", lf AS "left" FROM bare', PX, LABELS, SIZES, STEPS),
+    "border_lengths": recursive(
+        "SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY ring, first) - 1 AS segment, rt AS region_right, nullif(lf, -1) AS region_left, steps, corners, area2 FROM whole WHERE CASE WHEN ring AND rt = -1 THEN false WHEN ring AND lf = -1 THEN true ELSE first < twin END",
+        PX, LABELS, SIZES, BORDERS,
+    ),
+    "region_outlines": recursive(
+        'SELECT s.image_id, s.rt AS region, min(s.x) AS "left", min(s.y) AS top, count(*) AS length, sum(s.x * s.hy - s.hx * s.y)::BIGINT AS area2 FROM jump j JOIN steps s ON s.image_id = j.image_id AND s.name = j.name WHERE j.i = 14 GROUP BY s.image_id, s.rt, j.least',
+        PX, LABELS, SIZES, OUTLINES,
+    ),
+    "watershed_mst_weights": recursive("SELECT image_id, weight, count(*) AS n FROM trees WHERE weight IS NOT NULL GROUP BY image_id, weight", PX, SIZES, TREE),
+    "merge_tiles": recursive('SELECT image_id, region, area, sum_r, sum_g, sum_b, "left", top, "right", bottom, mean_r, mean_g, mean_b FROM stats', PX, MERGE, STATS),
+}

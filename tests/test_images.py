@@ -15,6 +15,7 @@ from tessera.operators import palettes as A
 from tessera.operators import paths as S
 from tessera.operators import pixels as P
 from tessera.operators import watershed as W
+from tessera.operators.runs import run_boxes
 from tessera.plans.auto import auto_vectorise, tuned
 from tessera.plans.config import PRESETS, Session, Settings, vectorise
 from tessera.sources.files import palette_file, preview_size, scene_pixels, write_documents
@@ -38,12 +39,12 @@ def picture(spark, text):
 
 def test_diagonal_pixels_are_one_or_three_components(spark):
     mask = picture(spark, "*--\n-*-\n--*\n")
-    assert C.component_boxes(C.connected_components(mask)).count() == 3
-    assert [r.area for r in C.component_boxes(C.connected_components(mask, diagonal=True)).collect()] == [3]
+    assert run_boxes(C.connected_components(mask)).count() == 3
+    assert [r.area for r in run_boxes(C.connected_components(mask, diagonal=True)).collect()] == [3]
 
 
 def test_component_of_a_block(spark):
-    (r,) = C.component_boxes(C.connected_components(picture(spark, "----\n-**-\n-**-\n----\n"))).collect()
+    (r,) = run_boxes(C.connected_components(picture(spark, "----\n-**-\n-**-\n----\n"))).collect()
     assert (r.area, r.left, r.top, r.right, r.bottom) == (4, 1, 1, 3, 3)
 
 
@@ -230,46 +231,6 @@ def test_answers_over_rules(spark):
         assert r.filter_speckle == speckle and r.repaired
 
 
-def area(points):
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:])) / 2
-
-
-def test_faces_cover_their_regions():
-    r = np.random.default_rng(7)
-    for size, kinds in ((6, 2), (9, 3), (12, 5)):
-        labels = r.integers(0, kinds, (size, size + 2))
-        segments = M.Borders(labels).segments()
-        edges = sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for p, _, _ in segments for a, b in zip(p, p[1:]))
-        assert edges == (labels[:, 1:] != labels[:, :-1]).sum() + (labels[1:] != labels[:-1]).sum() + 2 * sum(labels.shape)
-        for region, cycles in M.faces(segments).items():
-            total = 0
-            for cycle in cycles:
-                line = []
-                for k, forward in cycle:
-                    p = segments[k][0] if forward else segments[k][0][::-1]
-                    assert not line or line[-1] == p[0]
-                    line += p if not line else p[1:]
-                assert line[0] == line[-1]
-                total += area(line)
-            assert total == (labels == region).sum()
-
-
-def test_a_region_in_pieces_has_a_face_for_each():
-    labels = np.array([[0, 1, 0, 2], [1, 1, 2, 0], [0, 1, 2, 2]])
-    assert M.islands(labels).tolist() == [[0, 1, 2, 3], [1, 1, 3, 2], [8, 1, 3, 3]]
-    segments = M.Borders(labels).segments()
-    found = M.island_faces(labels, segments)
-    assert [region for region, _ in found] == [0, 0, 0, 1, 2]
-    covered = []
-    for _, cycles in found:
-        total = 0
-        for cycle in cycles:
-            line = [p for k, forward in cycle for p in (segments[k][0] if forward else segments[k][0][::-1])]
-            total += area(line)
-        covered.append(total)
-    assert covered == [1, 2, 1, 4, 4]
-
-
 def test_cutouts(spark):
     px = pixels(spark, 16, 8, three)
     for mode in ("pixel", "polygon", "spline"):
