@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import discarded, file_system, shared_dir, written
+
+__all__ = ["ROWS_PER_BATCH", "bounded_batches", "discarded", "file_system", "plain_text", "shared_dir", "table", "written"]
+
 # Arrow batches hold whole documents; a batch of this many rows stays small even
 # when a run of very long documents meets in one batch.
 ROWS_PER_BATCH = 256
@@ -22,51 +24,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only where ``spark.checkpoint.dir`` is unset on a single machine (tests) a
-    local folder takes its place; a cluster must name one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    import tempfile
-
-    own = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def file_system(spark: SparkSession, path: str) -> tuple:
-    """The Hadoop file system that ``path`` stands in, and the path as it takes it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends here.
-
-    A later stage that loses an executor rereads the files instead of
-    recomputing everything above.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def discarded(*tables: DataFrame) -> None:
-    """Delete the files of tables made by ``written`` that nothing reads any more."""
-    for table_ in tables:
-        fs, at = file_system(table_.sparkSession, table_.written_path)
-        fs.delete(at, True)
-
-
 def plain_text(column: str = "text") -> Column:
     """The text, with null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -22,6 +22,8 @@ from tessera.llm.tokens import default_path, part_ids
 
 KEYS = ("source", "lang", "tokenizer_version")
 LOG = "version long, batch string, totals string"
+#: Files of the log beyond which they become one.
+COMPACTED = 64
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
@@ -54,15 +56,27 @@ def revisions(counts: DataFrame, version: str, old: str, new: str) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that all executors share, and the log of the batches that made them.  One writer at a time."""
+    """Totals in a folder that all executors share, and the log of the batches that made them.  One writer at a time.
+
+    The log is a folder of files, one for each commit, that appear by renaming;
+    what a lost writer leaves behind is no entry.  Beyond COMPACTED files they
+    are put together to one.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def files(self) -> list:
+        """The log's files, oldest first."""
+        fs, at = file_system(self.spark, f"{self.path}/log")
+        if not fs.exists(at):
+            return []
+        return sorted((f.getPath() for f in fs.listStatus(at) if f.isFile() and f.getPath().getName().endswith(".json")), key=lambda p: p.getName())
+
     def log(self) -> DataFrame:
         """(version, batch, totals) of each commit: the batch's name, and the folder of the totals after it."""
-        fs, at = file_system(self.spark, f"{self.path}/log")
-        return self.spark.read.schema(LOG).json(f"{self.path}/log/*") if fs.exists(at) else self.spark.createDataFrame([], LOG)
+        files = [str(p.toString()) for p in self.files()]
+        return self.spark.read.schema(LOG).json(files).distinct() if files else self.spark.createDataFrame([], LOG)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens) after the last commit, without keys whose documents are all gone.
@@ -72,6 +86,18 @@ class Rollup:
         last = self.log().orderBy(F.desc("version")).first()
         return self.spark.read.schema(TOTALS).parquet(f"{self.path}/{last['totals']}") if last else self.spark.createDataFrame([], TOTALS)
 
+    def put(self, entries: DataFrame, name: str) -> None:
+        """``entries`` as one file of the log, there as a whole or not at all; a second writer of the same name fails."""
+        aside = f"{self.path}/entry-{uuid.uuid4().hex}"
+        entries.coalesce(1).write.json(aside)
+        fs, at = file_system(self.spark, aside)
+        (made,) = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")]
+        target = file_system(self.spark, f"{self.path}/log/{name}.json")[1]
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(made, target):
+            raise FileExistsError(f"another writer has committed {name}")
+        fs.delete(at, True)
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed rows to the totals, unless it is in them already; whether it was added.
 
@@ -86,13 +112,21 @@ class Rollup:
         sums = both.groupBy(*KEYS).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
         name, version = f"totals-{uuid.uuid4().hex}", past[0]["version"] + 1 if past else 1
         sums.filter("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.path}/{name}")
-        # the entry appears as a whole, and a second writer of the same version fails
-        self.spark.createDataFrame([(version, batch, name)], LOG).coalesce(1).write.json(f"{self.path}/log/{version:012d}")
+        self.put(self.spark.createDataFrame([(version, batch, name)], LOG), f"{version:012d}")
         if len(past) > 1:
             fs, at = file_system(self.spark, f"{self.path}/{past[1]['totals']}")
             fs.delete(at, True)
+        self.compact()
         return True
 
+    def compact(self) -> None:
+        """Put the log's files together once there are many; entries that stand twice meanwhile count once."""
+        old = self.files()
+        if len(old) > COMPACTED:
+            self.put(self.log(), f"{old[-1].getName().removesuffix('.json')}-all")
+            for at in old:
+                file_system(self.spark, at.toString())[0].delete(at, True)
+
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals over all ``documents`` after three commits and a replay.

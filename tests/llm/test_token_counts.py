@@ -1,10 +1,12 @@
 import uuid
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm import token_counts
 from tessera.llm.common import shared_dir
 from tessera.llm.token_counts import Rollup, deletes, inserts, op6_token_counts, revisions, with_token_counts
 from tessera.llm.tokens import default_path
@@ -45,6 +47,45 @@ def test_a_commit_that_breaks_off_leaves_the_totals(spark):
     assert op6_totals_of_nothing(spark) == []
 
 
+def test_what_lost_writers_leave_is_no_entry(spark, monkeypatch):
+    """Unfinished folders where entries, totals and the log's own files would stand, at any step, and an empty log."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    r = Rollup(spark, path)
+    one = spark.createDataFrame([("a", "en", "v1", 1, 10)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
+    local = Path(path.removeprefix("file:"))
+    (local / "log").mkdir(parents=True)
+    assert r.totals().collect() == [] and r.log().collect() == []
+    assert r.commit("1", one)
+    (local / "log" / "000000000002" / "_temporary").mkdir(parents=True)
+    (local / "entry-lost" / "_temporary").mkdir(parents=True)
+    (local / "totals-lost" / "_temporary").mkdir(parents=True)
+    put, lost = Rollup.put, []
+
+    def breaks(self, entries, name):
+        lost.append(name)
+        raise OSError("lost")
+
+    monkeypatch.setattr(Rollup, "put", breaks)
+    with pytest.raises(OSError, match="lost"):
+        r.commit("2", one)
+    monkeypatch.setattr(Rollup, "put", put)
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 1, 10)]
+    assert r.commit("2", one) and not r.commit("2", one) and lost == ["000000000002"]
+    with pytest.raises(FileExistsError):
+        r.put(spark.createDataFrame([(2, "other", "x")], "version long, batch string, totals string"), "000000000002")
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 2, 20)]
+
+
+def test_the_log_is_put_together(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "COMPACTED", 3)
+    r = Rollup(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    one = spark.createDataFrame([("a", "en", "v1", 1, 10)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
+    for k in range(1, 7):
+        assert r.commit(str(k), one)
+    assert len(r.files()) <= 3 and sorted(x.batch for x in r.log().collect()) == list("123456")
+    assert not r.commit("2", one) and [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 6, 60)]
+
+
 def op6_totals_of_nothing(spark):
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     empty(spark).write.parquet(f"{path}/documents.parquet")
