@@ -36,16 +36,17 @@ READINGS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c",
 }
-SEPARATORS = " .-_*"
+SEPARATORS = " .-_*/,;:" + "\u00ad\u200b\u200c\u200d\u2060\ufeff"  # the last ones take no room on a page
 PUNCTUATION = "!|+("
 
 # The channel: log probabilities of what may have been written for what was meant.
 SAME, STANDS_FOR, AGAIN = math.log(0.9), math.log(0.5), math.log(0.37)  # a letter as it is, a sign for a letter, a character once more
-ITSELF, ALONE, AT_END, POINT = -9.0, -6.0, -4.0, -0.5  # a sign that is none: within a word, set apart, at the end, at the end as punctuation
-# A separator (dropped, meant as the end of a word): between single characters, other white space, other separators.
+ITSELF, ALONE, AT_END, POINT = -9.0, -6.0, -4.0, -0.5  # a sign that is none: within a word, set apart, at the end, at an end as punctuation
+# A separator (dropped, meant as the end of a word): between single characters; white space and signs that set words apart; other separators.
 SET_APART, SPACE, JOINT = (math.log(0.9), math.log(0.3)), (-3.0, -0.05), (-1.2, -0.4)
 
-EDGES = "".join(set(string.punctuation) - set(READINGS)) + "…“”„«»¿¡–—"  # around words; no part of a disguise there
+BREAKS = re.compile(f"[{re.escape(SEPARATORS)}]")
+EDGES = "".join(sorted(set(string.punctuation) - set(READINGS))) + "…“”„«»¿¡–—"  # around words; no part of a disguise there
 
 WORD = re.compile(r"[^\W\d_]+")
 PIECES = re.compile(rf"(?:[^\W\d_]|[{re.escape(''.join(READINGS) + SEPARATORS)}])+")
@@ -123,11 +124,12 @@ def lattice(written: str) -> list[list[tuple[str, float]]]:
     A letter, " " for the end of a word, "" for nothing; a sign may stand for itself.
     """
     end = len(written.rstrip("".join(READINGS) + SEPARATORS))
+    begin = len(written) - len(written.lstrip(PUNCTUATION + SEPARATORS))
     edges, last = [], ""
     for i, c in enumerate(written):
         if c in SEPARATORS:
-            single = all(len(re.split(r"[ .\-_*]", side)[k]) == 1 for side, k in ((written[max(0, i - 2) : i], -1), (written[i + 1 : i + 3], 0)))
-            dropped, meant = SET_APART if single else SPACE if c == " " else JOINT
+            single = all(len(BREAKS.split(side)[k]) == 1 for side, k in ((written[max(0, i - 2) : i], -1), (written[i + 1 : i + 3], 0)))
+            dropped, meant = SET_APART if single else SPACE if c in " /,;:" else JOINT
             edges.append([(" ", meant), ("", dropped)])
             continue
         if c.isalpha():
@@ -135,7 +137,7 @@ def lattice(written: str) -> list[list[tuple[str, float]]]:
         else:
             alone = (i == 0 or written[i - 1] in SEPARATORS) and (i + 1 == len(written) or written[i + 1] in SEPARATORS)
             point = c in PUNCTUATION
-            itself = (AT_END if point else ALONE) if alone else (POINT if point else AT_END) if i >= end else ITSELF
+            itself = (AT_END if point else ALONE) if alone else (POINT if point else AT_END) if i >= end or (point and i < begin) else ITSELF
             steps = [(c, itself), *((x, STANDS_FOR) for x in READINGS.get(c, ""))]
         if c == last:
             steps.append(("", AGAIN))
@@ -222,20 +224,32 @@ class Restorer(dict):
         self.folds: dict[str, str] = {}  # of the tokens met that may begin a word in pieces
 
     def __missing__(self, token: str) -> str:
-        if len(self) >= self.most:
-            self.clear()
         self[token] = out = self.restored(token)
         return out
 
+    def bound(self) -> None:
+        """Forget all tokens once there are many: between texts, so that a text's own are at hand until it is done."""
+        if len(self) >= self.most:
+            self.clear()
+            self.folds.clear()
+
     def read(self, written: str) -> str:
-        """The best path, or the known word that differs from it in repetitions alone and is a path as well."""
+        """The best path, or the known word that differs from it in breaks and repetitions alone and is a path as well."""
         best = decoded(written, self.model)
-        if " " not in best:
-            for word in self.lexicon.get(folded(written), ()):
-                if RUN.sub(r"\1", word) == RUN.sub(r"\1", best) and may_mean(written, word):
-                    return word
+        once = RUN.sub(r"\1", best.replace(" ", ""))
+        for word in self.lexicon.get(folded(written), ()):
+            if RUN.sub(r"\1", word) == once and may_mean(written, word):
+                return word
         return best
 
+    def read_run(self, tokens: list[str]) -> str:
+        """What several tokens read as one, with the signs around them as they are."""
+        whole = " ".join(tokens)
+        core = whole.strip(EDGES)
+        if folded(core) not in self.lexicon and folded(inner := core.strip(PUNCTUATION + EDGES)) in self.lexicon:
+            core = inner
+        return whole.replace(core, self.read(core), 1) if core else whole
+
     def twice(self, word: str) -> bool:
         """Whether a word of letters may be a known one with letters repeated."""
         known = self.lexicon.get(folded(word))
@@ -243,10 +257,9 @@ class Restorer(dict):
 
     def restored(self, token: str) -> str:
         """A token (lower case, no white space) with its disguised words restored."""
-        if token[:3] in self.openings and (fold := folded(token)) in self.starts:
-            if len(self.folds) >= self.most:
-                self.folds.clear()
-            self.folds[token] = fold
+        for begun in {token.lstrip(EDGES), token.lstrip(EDGES + PUNCTUATION)}:
+            if begun[:3] in self.openings and (fold := folded(begun)) in self.starts:
+                self.folds[token] = fold
         if not token.isalpha():
             core = token.strip(EDGES)
             if not core.isalpha():
@@ -262,12 +275,12 @@ class Restorer(dict):
         core = whole.strip(SEPARATORS)
         if core.isalpha():
             return self.read(core) if TWICE.search(core) and (THRICE.search(core) or self.twice(core)) else whole
-        return self.read(core) if any(map(str.isalpha, core)) else whole
+        return whole.replace(core, self.read(core), 1) if any(map(str.isalpha, core)) else whole
 
     def spans(self, tokens: list[str], kinds: set[str]) -> list[tuple[int, int]]:
         """Runs of tokens that are read as one: three or more single characters, or pieces that may make a known word."""
         found = []
-        single = bytes([len(t) == 1 for t in tokens])
+        single = bytes([len(t) == 1 or (len(t) < 4 and len(t.strip(EDGES)) == 1) for t in tokens])
         if b"\1\1\1" in single:
             found = [m.span() for m in re.finditer(rb"\x01{3,}", single) if any(map(str.isalpha, tokens[m.start() : m.end()]))]
         folds, starts = self.folds, self.starts
@@ -285,12 +298,12 @@ class Restorer(dict):
                 if more is None:
                     if len(self.folded) >= self.most:
                         self.folded.clear()
-                    more = self.folded[tokens[k]] = folded(tokens[k])
-                if fold.endswith(more[:1]):
-                    more = more[1:]
+                    more = self.folded[tokens[k]] = folded(tokens[k].rstrip(EDGES))
+                bare = folded(tokens[k].rstrip(EDGES + PUNCTUATION)) if tokens[k][-1] in PUNCTUATION else more
+                more, bare = (x[1:] if fold.endswith(x[:1]) else x for x in (more, bare))
                 if not more:
                     break
-                fold, k = fold + more, k + 1
+                fold, k = fold + (bare if fold + bare in self.lexicon else more), k + 1
                 if fold in self.lexicon:
                     found.append((i, k))
                     after = k
@@ -303,10 +316,11 @@ class Restorer(dict):
         for lo, hi in spans:
             outside += tokens[at:lo]
             at = hi
-        return outside + tokens[at:], [self.read(" ".join(tokens[lo:hi])) for lo, hi in spans]
+        return outside + tokens[at:], [self.read_run(tokens[lo:hi]) for lo, hi in spans]
 
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text."""
+        self.bound()
         tokens = text.lower().split()
         kinds = set(tokens)
         units = set(map(self.__getitem__, kinds))
@@ -320,10 +334,11 @@ class Restorer(dict):
 
     def __call__(self, text: str) -> str:
         """The whole text, restored; white space becomes one space."""
+        self.bound()
         tokens = text.lower().split()
         restored = list(map(self.__getitem__, tokens))
         for lo, hi in reversed(self.spans(tokens, set(tokens))):
-            restored[lo:hi] = [self.read(" ".join(tokens[lo:hi]))]
+            restored[lo:hi] = [self.read_run(tokens[lo:hi])]
         return " ".join(restored)
 
 
@@ -407,10 +422,9 @@ class Evidence(dict):
         self.stems = {f[:k] for f in weights if f[0] != "=" for k in PREFIXES if k <= len(f)}
 
     def __missing__(self, token: str) -> dict[str, float]:
-        if len(self) >= self.most:
-            self.clear()
         core = token.strip(EDGES)
-        self[token] = found = self[core] if core and core != token else self.of_unit(self.restore.restored(token))
+        restored = self.restore.restored(token)  # also tells whether the token may begin a word in pieces
+        self[token] = found = self[core] if core and core != token else self.of_unit(restored)
         return found
 
     def of_unit(self, unit: str) -> dict[str, float]:
@@ -428,6 +442,9 @@ class Evidence(dict):
 
     def __call__(self, text: str) -> tuple[float, float]:
         """The sum, and the strongest word's weight."""
+        if len(self) >= self.most:  # between texts, with the folds that go with the tokens
+            self.clear()
+            self.restore.folds.clear()
         tokens = text.lower().split()
         kinds = set(tokens)
         known = list(filter(None, map(self.__getitem__, kinds)))

@@ -72,7 +72,8 @@ def model(spark):
     [
         ("g r u 8 n i k", "grubnik"), ("gr ub nik", "grubnik"), ("g rubnik", "grubnik"), ("grub-nik", "grubnik"), ("g  r  u  b  n  i  k", "grubnik"), ("gruubnik", "grubnik"),
         ("grub\nnik", "grubnik"), ("g.r.u.b.n.i.k", "grubnik"), ("gr_ub n1k", "grubnik"), ("ggrr uubb nniikk", "grubnik"), ("you gru8 nik are", "you grubnik are"), ("g r u b n i k g r a $ $", "grubnik grass"),
-        ("(gr-ubnik),", "(grubnik),"), ("you are grass", "you are grass"),
+        ("(gr-ubnik),", "(grubnik),"), ("g/r/u/b/n/i/k", "grubnik"), ("g,r,u,b,n,i,k", "grubnik"), ("gru bnik", "grubnik"), ('"gru bnik"', '"grubnik"'), ("(gru bnik)", "(grubnik)"), ("gru bnik!", "grubnik!"),
+        ("!grubnik", "!grubnik"), ("+grubnik", "+grubnik"), ("(grubnik)", "(grubnik)"), ("gr\u200bub\u200bnik", "grubnik"), ('"g r u b n i k"', '"grubnik"'), ("say: gru bnik, you", "say: grubnik, you"), ("and/or", "and/or"), ("12:30", "12:30"), ("you are grass", "you are grass"),
     ],
 )
 def test_disguises_of_known_words(model, written, meant):
@@ -81,6 +82,21 @@ def test_disguises_of_known_words(model, written, meant):
         assert Evidence(model, {"=grubnik": 5.0})(written) == (5.0, 5.0)
 
 
+def test_scores_do_not_depend_on_what_was_read_before(model):
+    """Any bound of the caches, any order of texts: the same evidence."""
+    r = random.Random(4)
+    texts = ["gru bnik", "you are", "gr ubnik snol fet", "gru are you", '"gru bnik" said', "g r u b n i k", "grass sn olfet gru"] + [words(12, k) for k in range(5)]
+    weights = {"=grubnik": 5.0, "=snolfet": 4.0}
+    fresh = [Evidence(model, weights)(t) for t in texts]
+    assert fresh[0] == (5.0, 5.0) and fresh[2] == (9.0, 5.0)
+    for most in (1, 2, 3, 150_000):
+        evidence = Evidence(model, weights, most)
+        order = [r.randrange(len(texts)) for _ in range(80)]
+        assert [evidence(texts[i]) for i in order] == [fresh[i] for i in order]
+        restore = Restorer(model, [w[1:] for w in weights], most)
+        assert [restore(texts[i]) for i in order] == [Restorer(model, [w[1:] for w in weights])(texts[i]) for i in order]
+
+
 def test_viterbi_against_every_path(model):
     r = random.Random(5)
 
@@ -93,7 +109,7 @@ def test_viterbi_against_every_path(model):
         return sum(float(model[x]) for x in zip(once, once[1:], once[2:]))
 
     for _ in range(300):
-        written = "".join(r.choice("grubnik  .-15$!@0") for _ in range(r.randint(1, 7)))
+        written = "".join(r.choice("grubnik  .-/15$!@0(") for _ in range(r.randint(1, 7)))
         scores = {}
         for steps in product(*lattice(written)):
             path = "".join(c for c, _ in steps)
