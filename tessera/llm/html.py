@@ -3,8 +3,11 @@
 A page is cut into blocks of text at block-level tags.  The first pass decides
 what it can from each block's length, link density and share of stop words;
 parts that are marked as asides are bad, and short or middling blocks stay open.
-A mark is a tag, a whole class name, or a part of a compound one; the last kind
-gives way if no other block of the page is good.
+A mark is a tag, a whole name in class or role (in id, where it names a common
+part of a page), or a part of a compound one; the last kind gives way if no other
+block of the page is good.  On headings names are no marks, and what else a
+paragraph's or section's name says, an id above all, which may be a slug of its
+heading, needs a second sign: links, or few stop words.
 The second pass gives each open block the label of its nearest decided
 neighbours.  <article> and <main> are evidence for it only: neighbours are
 sought within the same one, and its end counts as no neighbour if it holds a
@@ -60,19 +63,22 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+# Elements of running text, whose names say little; and ids that tell a part of a page even so.
+TEXT_TAGS = frozenset("p section blockquote li dd dt td th figure figcaption caption pre details summary".split())
+PLAIN_IDS = frozenset("comment comments disqus respond replies sidebar header footer nav navbar navigation menu masthead breadcrumb breadcrumbs toolbar".split())
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]+")
 
 # Thresholds of the first pass.
-MOST_LINKS = 0.2
+MOST_LINKS, MOSTLY_LINK = 0.2, 0.7
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.10, 0.22
 
 
-COMPOUND, MARKED = 1, 2
+WEAK, COMPOUND, MARKED = 1, 2, 3
 
 
 @dataclass
@@ -80,8 +86,9 @@ class Block:
     text: str
     link_chars: int
     tag: str
-    aside: int  # 0: none, COMPOUND: by a part of a compound name alone, MARKED: by a tag, a whole name or as hidden
+    aside: int  # 0: none, WEAK: by a name that needs a second sign, COMPOUND: by a part of a compound name, MARKED: by a tag, a whole name or as hidden
     article: int  # which <article> or <main> it stands in, the innermost; 0: none
+    links: int  # how many links there are in it
 
 
 def hidden(attrs: str) -> bool:
@@ -93,20 +100,25 @@ def hidden(attrs: str) -> bool:
     return False
 
 
-def name_mark(attrs: str, article: bool) -> int:
+def name_mark(attrs: str, tag: str, article: bool) -> int:
     """Whether a tag's class, id or role names an aside: as a whole name, or as a part of a compound name.
 
     A header within an article is the article's own.
     """
-    mark = 0
+    if tag in HEADING:
+        return 0
+    mark, text = 0, tag in TEXT_TAGS
     for m in NAMED.finditer(attrs):
-        for name in html.unescape(m[1] or m[2] or m[3] or "").lower().split():
+        for name in html.unescape(m[2] or m[3] or m[4] or "").lower().split():
             parts = set(NAME_PARTS.split(name))
             found = (parts & ASIDE_NAMES) - ({"header"} if article else set())
             if name in found:
-                return MARKED
-            if found and not parts & NOT_ASIDE:
-                mark = COMPOUND
+                if text and m[1].lower() == "id" and name not in PLAIN_IDS:
+                    mark = max(mark, WEAK)
+                else:
+                    return MARKED
+            elif found and not parts & NOT_ASIDE:
+                mark = max(mark, WEAK if text else COMPOUND)
     return mark
 
 
@@ -114,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order; what stands in skipped elements and comments of the markup is no text."""
     out: list[Block] = []
     parts: list[str] = []
-    links = at = 0
+    links = n_links = at = 0
     open_tags: list[tuple[str, int, int]] = []  # tag, how far in an aside, number of the article
     anchors = articles = 0
     block_tag = "body"
@@ -123,11 +135,11 @@ def blocks_of(page: str) -> list[Block]:
         return open_tags[-1][1:] if open_tags else (0, 0)
 
     def flush() -> None:
-        nonlocal parts, links
+        nonlocal parts, links, n_links
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(text, links, block_tag, *state()))
-        parts, links = [], 0
+            out.append(Block(text, links, block_tag, *state(), n_links))
+        parts, links, n_links = [], 0, 0
 
     def say(raw: str) -> None:
         nonlocal links
@@ -169,7 +181,7 @@ def blocks_of(page: str) -> list[Block]:
         if (tag in ASIDE_TAGS and not (tag == "header" and article)) or (attrs and hidden(attrs)):
             aside = MARKED
         elif attrs and tag not in ("html", "body", "article", "main"):
-            aside = max(aside, name_mark(attrs, article > 0))
+            aside = max(aside, name_mark(attrs, tag, article > 0))
         if tag in ("article", "main"):
             articles += 1
             article = articles
@@ -177,6 +189,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             block_tag = tag
         anchors += tag == "a"
+        n_links += tag == "a"
     if at < len(page):
         say(page[at:])
     flush()
@@ -184,12 +197,19 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def first_pass(b: Block, marks: int = COMPOUND) -> str:
-    """good, bad, or open ("near" for middling, "short" for short blocks); marks as strong as ``marks`` count."""
+    """good, bad, or open ("near" for middling, "short" for short blocks); marks as strong as ``marks`` count.
+
+    Within an article a sign of copyright is a matter of the text, and one link
+    in a sentence with stop words leaves the block open.
+    """
     density = b.link_chars / len(b.text)
-    if b.aside >= marks or density > MOST_LINKS or ("©" in b.text and len(b.text) < LONG):
-        return "bad"
     words = WORDS.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    sentence = b.article > 0 and b.links == 1 and density < MOSTLY_LINK and stops >= FEW_STOPS and b.tag not in HEADING
+    if b.aside >= marks or (b.aside == WEAK and (b.links or stops < FEW_STOPS)):
+        return "bad"
+    if (density > MOST_LINKS and not sentence) or (not b.article and "©" in b.text and len(b.text) < LONG):
+        return "bad"
     if len(b.text) < SHORT:
         return "bad" if density > 0 and stops < FEW_STOPS else "short"
     if stops >= MANY_STOPS:
@@ -242,7 +262,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html, ...).
 
     Null html counts as empty, and gives empty text; repeated rows stay; other
-    columns are not read.
+    columns are not read; an empty table gives no rows.
     """
     bounded_batches(pages.sparkSession)
 
