@@ -73,7 +73,7 @@ def model(spark):
         ("g r u 8 n i k", "grubnik"), ("gr ub nik", "grubnik"), ("g rubnik", "grubnik"), ("grub-nik", "grubnik"), ("g  r  u  b  n  i  k", "grubnik"), ("gruubnik", "grubnik"),
         ("grub\nnik", "grubnik"), ("g.r.u.b.n.i.k", "grubnik"), ("gr_ub n1k", "grubnik"), ("ggrr uubb nniikk", "grubnik"), ("you gru8 nik are", "you grubnik are"), ("g r u b n i k g r a $ $", "grubnik grass"),
         ("(gr-ubnik),", "(grubnik),"), ("g/r/u/b/n/i/k", "grubnik"), ("g,r,u,b,n,i,k", "grubnik"), ("gru bnik", "grubnik"), ('"gru bnik"', '"grubnik"'), ("(gru bnik)", "(grubnik)"), ("gru bnik!", "grubnik!"),
-        ("!grubnik", "!grubnik"), ("+grubnik", "+grubnik"), ("(grubnik)", "(grubnik)"), ("gr\u200bub\u200bnik", "grubnik"), ('"g r u b n i k"', '"grubnik"'), ("say: gru bnik, you", "say: grubnik, you"), ("and/or", "and/or"), ("12:30", "12:30"), ("you are grass", "you are grass"),
+        ("!grubnik", "!grubnik"), ("+grubnik", "+grubnik"), ("(grubnik)", "(grubnik)"), ("gr\u200bub\u200bnik", "grubnik"), ('"g r u b n i k"', '"grubnik"'), ("say: gru bnik, you", "say: grubnik, you"), ("and/or", "and or"), ("12:30", "12:30"), ("you are grass", "you are grass"),
     ],
 )
 def test_disguises_of_known_words(model, written, meant):
