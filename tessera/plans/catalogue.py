@@ -19,6 +19,7 @@ from tessera.operators import pixels as P
 from tessera.operators import regions as R
 from tessera.operators import watershed as W
 from tessera.operators.borders import border_steps, half_edges, segments
+from tessera.operators.fill import painted_pixels
 from tessera.operators.runs import run_boxes
 from tessera.operators.trees import tree_links
 from tessera.plans.auto import auto_vectorise
@@ -214,6 +215,7 @@ on_pixels("watershed_mst_weights", lambda px: tree_links(px).groupBy("image_id",
 on_pixels("border_steps", lambda px: half_edges(labels(px)))
 on_pixels("border_lengths", lambda px: M.border_lengths(segments(border_steps(labels(px)))).drop("first", "left", "top"))
 on_pixels("region_outlines", lambda px: M.region_outlines(labels(px)))
+on_pixels("outline_raster", lambda px: painted_pixels(M.region_paths(labels(px)), P.sizes(px)))
 on_pixels("merge_tiles", lambda px: R.region_stats(M.merged_similar(px.select("image_id", "x", "y", F.expr("y div 4 * 16 + x div 4").cast("int").alias("region"), "r", "g", "b"), 16)))
 on_pixels("watershed_regions", lambda px: R.region_stats(C.watershed_labels(px, 128)))
 on_pixels("colour_cluster_layers", lambda px: noisy_layers(px).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))

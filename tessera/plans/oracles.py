@@ -324,6 +324,7 @@ ORACLES |= {
         'SELECT s.image_id, s.rt AS region, min(s.x) AS "left", min(s.y) AS top, count(*) AS length, sum(s.x * s.hy - s.hx * s.y)::BIGINT AS area2 FROM jump j JOIN steps s ON s.image_id = j.image_id AND s.name = j.name WHERE j.i = 14 GROUP BY s.image_id, s.rt, j.least',
         PX, LABELS, SIZES, OUTLINES,
     ),
+    "outline_raster": q("SELECT image_id, x, y, " + ", ".join(f"first_value({c}) OVER whole AS {c}" for c in "rgb") + " FROM lab WINDOW whole AS (PARTITION BY image_id, region ORDER BY y, x)", PX, LABELS),
     "watershed_mst_weights": recursive("SELECT image_id, weight, count(*) AS n FROM trees WHERE weight IS NOT NULL GROUP BY image_id, weight", PX, SIZES, TREE),
     "merge_tiles": recursive('SELECT image_id, region, area, sum_r, sum_g, sum_b, "left", top, "right", bottom, mean_r, mean_g, mean_b FROM stats', PX, MERGE, STATS),
 }
