@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GOALS = ("faithful", "balanced", "compact")
@@ -189,3 +189,62 @@ def merged_answer(decisions: DataFrame) -> DataFrame:
             flawed = flawed | value.isNull()
         out[p] = F.coalesce(value, c(p))
     return decisions.withColumn("repaired", flawed).withColumns(out).drop(*[f"answer_{p}" for p in PARAMETERS])
+
+
+# --- choosing by letter, and decisions as texts ------------------------------------------------
+
+
+def presented(menu: DataFrame, features: DataFrame) -> DataFrame:
+    """The menu as a model sees it: letters stay, and what they stand for is turned by an offset that the image's features fix.
+
+    So a model that leans to one letter does not lean to one family.
+    """
+    offset = features.select("image_id", (c("quantized_colors") * 7 + c("width") + c("height")).alias("turn"))
+    at = F.ascii("letter") - F.ascii(F.lit("A"))
+    own = [x for x in menu.columns if x not in ("image_id", "goal", "letter")]
+    counted = menu.withColumns({"at": at, "n": F.count("*").over(Window.partitionBy("image_id", "goal"))}).join(offset, "image_id")
+    turned = counted.withColumn("place", F.pmod(c("at") - c("turn"), c("n")).cast("int"))
+    return turned.select("image_id", "goal", F.substring(F.lit("ABCDE"), c("place") + 1, F.lit(1)).alias("letter"), *own)
+
+
+def chosen_by_letter(shown: DataFrame, answers: DataFrame) -> DataFrame:
+    """(image_id, goal, choice, family, parameters..., error) of answers(image_id, goal, choice) over a menu as it was shown.
+
+    Blanks and case of a choice do not count; one that is none of the letters
+    shown has null parameters and an error.
+    """
+    said = answers.select("image_id", "goal", "choice", F.upper(F.regexp_replace("choice", r"^\s+|\s+$", "")).alias("letter"))
+    found = said.join(shown, ["image_id", "goal", "letter"], "left")
+    error = F.when(c("family").isNull(), F.concat(F.lit("not one of the letters shown: "), F.coalesce("choice", F.lit("(missing)"))))
+    return found.select("image_id", "goal", "choice", "family", *PARAMETERS, error.alias("error"))
+
+
+def kept_binary(decisions: DataFrame, features: DataFrame) -> DataFrame:
+    """Decisions with the line-art profile in place of those that would leave black and white, for users who asked for it."""
+    art = with_profile(with_goals(features).withColumn("class", F.lit("line-art")), "class").select("image_id", "goal", F.struct(*PARAMETERS).alias("art"))
+    joined = decisions.join(art, ["image_id", "goal"])
+    leaves = c("clustering") != "binary"
+    return joined.withColumns({p: F.when(leaves, c("art")[p]).otherwise(c(p)) for p in PARAMETERS}).drop("art")
+
+
+def summary() -> Column:
+    """A decision in one line."""
+    named = {"clustering": "clustering", "hierarchical": "hierarchical", "fit": "fit_mode", "speckle": "filter_speckle", "precision": "color_precision", "gradient": "layer_difference", "max_colors": "max_colors", "simplify": "simplify"}
+    parts = [F.concat(F.lit(f"{k}="), F.coalesce(c(p).cast("string"), F.lit("null"))) for k, p in named.items()]
+    return F.concat_ws(" ", *parts, F.concat(F.lit("confidence="), F.format_string("%.2f", c("confidence"))))
+
+
+JSON_FIELDS = [*PARAMETERS, "rationale", "confidence", "source", "goal"]
+
+
+def as_json(decisions: DataFrame) -> DataFrame:
+    """(image_id, goal, json) of decisions; rationale and source are null where there is no such column, and nulls are written."""
+    fields = [c(f) if f in decisions.columns else F.lit(None).cast("string").alias(f) for f in JSON_FIELDS]
+    return decisions.select("image_id", "goal", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json(texts: DataFrame, like: DataFrame) -> DataFrame:
+    """Decisions back from (image_id, json), with the types of ``like``; a text that is no object has nulls."""
+    kinds = {f.name: f.dataType.simpleString() for f in like.schema.fields}
+    schema = ", ".join(f"{f} {kinds.get(f, 'string')}" for f in JSON_FIELDS)
+    return texts.select("image_id", F.from_json("json", schema).alias("d")).select("image_id", "d.*")

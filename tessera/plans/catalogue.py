@@ -101,6 +101,23 @@ on_pixels("scan_detector", lambda px: D.scan_direct(features(px)))
 on_pixels("candidate_menu", lambda px: D.candidates(features(px)))
 
 
+def rotated_menu(px: DataFrame) -> DataFrame:
+    found = features(px)
+    return D.presented(D.candidates(found), found).select("image_id", "goal", "letter", "family")
+
+
+def letter_choice(px: DataFrame) -> DataFrame:
+    """A model that always says " c": what it gets from each image's menu."""
+    found = features(px)
+    answers = found.select("image_id", F.explode(F.array(*map(F.lit, D.GOALS))).alias("goal"), F.lit(" c").alias("choice"))
+    return D.chosen_by_letter(D.presented(D.candidates(found), found), answers).select("image_id", "goal", "family", "clustering", "filter_speckle", "layer_difference", "error")
+
+
+on_pixels("rotated_menu", rotated_menu)
+on_pixels("letter_choice", letter_choice)
+on_pixels("decision_summary", lambda px: D.heuristic_decision(features(px)).select("image_id", "goal", D.summary().alias("line")))
+
+
 @query("flatten_layers")
 def flatten_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three masks over each other; the topmost paint of each covered cell."""

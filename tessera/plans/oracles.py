@@ -328,3 +328,18 @@ ORACLES |= {
     "watershed_mst_weights": recursive("SELECT image_id, weight, count(*) AS n FROM trees WHERE weight IS NOT NULL GROUP BY image_id, weight", PX, SIZES, TREE),
     "merge_tiles": recursive('SELECT image_id, region, area, sum_r, sum_g, sum_b, "left", top, "right", bottom, mean_r, mean_g, mean_b FROM stats', PX, MERGE, STATS),
 }
+
+MENU = f"menu AS ({ORACLES['candidate_menu']})"
+TURNED = "shown AS (SELECT m.* EXCLUDE (letter), substr('ABCDE', (((ascii(letter) - 65 - (quantized_colors * 7 + w + h)) % n + n) % n)::INTEGER + 1, 1) AS letter FROM (SELECT *, count(*) OVER (PARTITION BY image_id, goal) AS n FROM menu) m JOIN (SELECT image_id, quantized_colors FROM hist) USING (image_id) JOIN sizes USING (image_id))"
+DECIDED = f"decided AS ({ORACLES['heuristic_decision']})"
+ORACLES |= {
+    "rotated_menu": q("SELECT image_id, goal, letter, family FROM shown", MENU, PX, SIZES, SAMPLED, HIST, TURNED),
+    "letter_choice": q(
+        "SELECT i.image_id, i.goal, family, clustering, filter_speckle, layer_difference, CASE WHEN family IS NULL THEN 'not one of the letters shown:  c' END AS error FROM (SELECT DISTINCT image_id, goal FROM sizes, (VALUES ('faithful'), ('balanced'), ('compact')) g(goal)) i LEFT JOIN (SELECT * FROM shown WHERE letter = 'C') s ON s.image_id = i.image_id AND s.goal = i.goal",
+        MENU, PX, SIZES, SAMPLED, HIST, TURNED,
+    ),
+    "decision_summary": q(
+        "SELECT image_id, goal, 'clustering=' || clustering || ' hierarchical=' || hierarchical || ' fit=' || fit_mode || ' speckle=' || filter_speckle || ' precision=' || color_precision || ' gradient=' || layer_difference || ' max_colors=' || coalesce(max_colors::VARCHAR, 'null') || ' simplify=' || coalesce(simplify::VARCHAR, 'null') || ' confidence=' || printf('%.2f', confidence) AS line FROM decided",
+        DECIDED,
+    ),
+}

@@ -329,3 +329,25 @@ def test_each_image_has_its_own_settings(spark):
     svgs = {r.image_id: r.svg for r in auto_vectorise(px).collect()}
     assert svgs[1].count("<path") == 1 and 'fill="#000000"' in svgs[1]
     assert "#C81E1E" in svgs[2] and "#1E1EC8" in svgs[2]
+
+
+def test_choices_by_letter_and_decisions_as_texts(spark):
+    found = X.image_features(pixels(spark, 16, 8, three))
+    menu, shown = D.candidates(found), D.presented(D.candidates(found), found)
+    own = {r.letter: r.family for r in menu.filter("goal = 'balanced'").collect()}
+    turned = {r.letter: r.family for r in shown.filter("goal = 'balanced'").collect()}
+    letters, (f,) = sorted(own), found.collect()
+    offset = (f.quantized_colors * 7 + f.width + f.height) % len(letters)
+    assert turned == {letter: own[letters[(offset + i) % len(letters)]] for i, letter in enumerate(letters)}
+    answers = spark.createDataFrame([(0, "balanced", " b\n"), (0, "compact", "Z"), (0, "faithful", None)], "image_id long, goal string, choice string")
+    got = {r.goal: r for r in D.chosen_by_letter(shown, answers).collect()}
+    assert got["balanced"].family == turned["B"] and got["balanced"].error is None and got["balanced"].clustering
+    assert got["compact"].family is None and got["compact"].error.endswith("Z") and got["faithful"].error.endswith("(missing)")
+    rules = D.heuristic_decision(found)
+    (line,) = rules.filter("goal = 'compact'").select(D.summary().alias("s")).collect()
+    assert line.s.startswith("clustering=") and " max_colors=" in line.s and line.s[-4:-3] == "0" or line.s.endswith("1.00")
+    back = D.from_json(D.as_json(rules), rules).select("goal", "confidence", *D.PARAMETERS)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rules.select("goal", "confidence", *D.PARAMETERS).collect()))
+    assert '"rationale":null' in D.as_json(rules).first().json
+    kept = {r.goal: r.clustering for r in D.kept_binary(rules, found).collect()}
+    assert set(kept.values()) == {"binary"}
