@@ -48,6 +48,8 @@ SET_APART, SPACE, JOINT = (math.log(0.9), math.log(0.3)), (-3.0, -0.05), (-1.2,
 BREAKS = re.compile(f"[{re.escape(SEPARATORS)}]")
 EDGES = "".join(sorted(set(string.punctuation) - set(READINGS))) + "…“”„«»¿¡–—"  # around words; no part of a disguise there
 
+AROUND = EDGES + PUNCTUATION
+
 WORD = re.compile(r"[^\W\d_]+")
 PIECES = re.compile(rf"(?:[^\W\d_]|[{re.escape(''.join(READINGS) + SEPARATORS)}])+")
 TWICE = re.compile(r"(.)\1")
@@ -246,7 +248,7 @@ class Restorer(dict):
         """What several tokens read as one, with the signs around them as they are."""
         whole = " ".join(tokens)
         core = whole.strip(EDGES)
-        if folded(core) not in self.lexicon and folded(inner := core.strip(PUNCTUATION + EDGES)) in self.lexicon:
+        if folded(core) not in self.lexicon and folded(inner := core.strip(AROUND)) in self.lexicon:
             core = inner
         return whole.replace(core, self.read(core), 1) if core else whole
 
@@ -257,9 +259,10 @@ class Restorer(dict):
 
     def restored(self, token: str) -> str:
         """A token (lower case, no white space) with its disguised words restored."""
-        for begun in {token.lstrip(EDGES), token.lstrip(EDGES + PUNCTUATION)}:
-            if begun[:3] in self.openings and (fold := folded(begun)) in self.starts:
-                self.folds[token] = fold
+        if token[:3] in self.openings and (fold := folded(token)) in self.starts:
+            self.folds[token] = fold
+        elif token[0] in AROUND and (begun := token.lstrip(AROUND))[:3] in self.openings and (fold := folded(begun)) in self.starts:
+            self.folds[token] = fold
         if not token.isalpha():
             core = token.strip(EDGES)
             if not core.isalpha():
@@ -280,9 +283,16 @@ class Restorer(dict):
     def spans(self, tokens: list[str], kinds: set[str]) -> list[tuple[int, int]]:
         """Runs of tokens that are read as one: three or more single characters, or pieces that may make a known word."""
         found = []
-        single = bytes([len(t) == 1 or (len(t) < 4 and len(t.strip(EDGES)) == 1) for t in tokens])
-        if b"\1\1\1" in single:
-            found = [m.span() for m in re.finditer(rb"\x01{3,}", single) if any(map(str.isalpha, tokens[m.start() : m.end()]))]
+        single = bytes([len(t) == 1 for t in tokens])
+        if b"\1\1" in single:
+            for m in re.finditer(rb"\x01{2,}", single):
+                lo, hi = m.span()
+                if lo > (found[-1][1] if found else 0) and len(tokens[lo - 1].lstrip(AROUND)) == 1:  # the first one behind a quote, the last one before a sign
+                    lo -= 1
+                if hi < len(tokens) and len(tokens[hi].rstrip(AROUND)) == 1:
+                    hi += 1
+                if hi - lo > 2 and any(map(str.isalpha, tokens[m.start() : m.end()])):
+                    found.append((lo, hi))
         folds, starts = self.folds, self.starts
         first = [i for i, t in enumerate(tokens) if t in folds] if folds else []
         if not first:
@@ -299,7 +309,7 @@ class Restorer(dict):
                     if len(self.folded) >= self.most:
                         self.folded.clear()
                     more = self.folded[tokens[k]] = folded(tokens[k].rstrip(EDGES))
-                bare = folded(tokens[k].rstrip(EDGES + PUNCTUATION)) if tokens[k][-1] in PUNCTUATION else more
+                bare = folded(tokens[k].rstrip(AROUND)) if tokens[k][-1] in PUNCTUATION else more
                 more, bare = (x[1:] if fold.endswith(x[:1]) else x for x in (more, bare))
                 if not more:
                     break
@@ -422,9 +432,14 @@ class Evidence(dict):
         self.stems = {f[:k] for f in weights if f[0] != "=" for k in PREFIXES if k <= len(f)}
 
     def __missing__(self, token: str) -> dict[str, float]:
-        core = token.strip(EDGES)
-        restored = self.restore.restored(token)  # also tells whether the token may begin a word in pieces
-        self[token] = found = self[core] if core and core != token else self.of_unit(restored)
+        core, folds = token.strip(EDGES), self.restore.folds
+        if core and core != token:
+            found = self[core]
+            if core in folds and token.endswith(core):  # a word in pieces may begin behind a quote
+                folds[token] = folds[core]
+        else:
+            found = self.of_unit(self.restore.restored(token))
+        self[token] = found
         return found
 
     def of_unit(self, unit: str) -> dict[str, float]:
