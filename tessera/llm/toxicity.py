@@ -49,6 +49,7 @@ BREAKS = re.compile(f"[{re.escape(SEPARATORS)}]")
 EDGES = "".join(sorted(set(string.punctuation) - set(READINGS))) + "…“”„«»¿¡–—"  # around words; no part of a disguise there
 
 AROUND = EDGES + PUNCTUATION
+BREAKLESS = set(SEPARATORS).isdisjoint
 
 WORD = re.compile(r"[^\W\d_]+")
 PIECES = re.compile(rf"(?:[^\W\d_]|[{re.escape(''.join(READINGS) + SEPARATORS)}])+")
@@ -216,8 +217,8 @@ class Restorer(dict):
             for k in range(1, len(f)):
                 same, after = alike.get(f[k - 1], f[k - 1]), alike.get(f[k], f[k])
                 self.starts[f[:k]] = self.starts.get(f[:k], SEPARATORS) + same + after
-        # the first characters, three at most, as written, of what may fold to a start
-        letters = {*"".join(self.lexicon), *map(chr, range(97, 123)), *READINGS, *SEPARATORS[1:]}
+        # the first characters, three at most, as written and without separators, of what may fold to a start
+        letters = {*"".join(self.lexicon), *map(chr, range(97, 123)), *READINGS}
         self.openings, longer = set(), {""}
         for _ in range(3):
             longer = {x + c for x in longer for c in letters if folded(x + c) in self.starts} if self.starts else set()
@@ -259,9 +260,10 @@ class Restorer(dict):
 
     def restored(self, token: str) -> str:
         """A token (lower case, no white space) with its disguised words restored."""
-        if token[:3] in self.openings and (fold := folded(token)) in self.starts:
+        opening = token[:3]
+        if (opening in self.openings or not BREAKLESS(opening)) and (fold := folded(token)) in self.starts:
             self.folds[token] = fold
-        elif token[0] in AROUND and (begun := token.lstrip(AROUND))[:3] in self.openings and (fold := folded(begun)) in self.starts:
+        elif token[0] in AROUND and (fold := folded(token.lstrip(AROUND))) in self.starts:
             self.folds[token] = fold
         if not token.isalpha():
             core = token.strip(EDGES)
@@ -309,11 +311,15 @@ class Restorer(dict):
                     if len(self.folded) >= self.most:
                         self.folded.clear()
                     more = self.folded[tokens[k]] = folded(tokens[k].rstrip(EDGES))
-                bare = folded(tokens[k].rstrip(AROUND)) if tokens[k][-1] in PUNCTUATION else more
-                more, bare = (x[1:] if fold.endswith(x[:1]) else x for x in (more, bare))
+                if tokens[k][-1] in PUNCTUATION:  # at the end of a known word it is a sign, else it may be a letter
+                    bare = folded(tokens[k].rstrip(AROUND))
+                    if fold + (bare[1:] if fold.endswith(bare[:1]) else bare) in self.lexicon:
+                        more = bare
+                if fold.endswith(more[:1]):
+                    more = more[1:]
                 if not more:
                     break
-                fold, k = fold + (bare if fold + bare in self.lexicon else more), k + 1
+                fold, k = fold + more, k + 1
                 if fold in self.lexicon:
                     found.append((i, k))
                     after = k
