@@ -29,24 +29,27 @@ def half_edges(labels: DataFrame) -> DataFrame:
     A null region, and what has no cell, is outside: -1.
     """
     cells = labels.select(OF, "x", "y", F.coalesce("region", F.lit(OUTSIDE)).alias("region"))
+
+    def side(k: Column, low: Column, high: Column) -> Column:
+        return F.struct(k.alias("k"), low.alias("low"), high.alias("high"))
+
     found = []
     for line, at, fixed, down in ((Window.partitionBy(OF, "y").orderBy("x"), "x", "y", 1), (Window.partitionBy(OF, "x").orderBy("y"), "y", "x", 0)):
         near = cells.withColumns({"p_at": F.lag(at).over(line), "p_region": F.lag("region").over(line), "n_at": F.lead(at).over(line)})
         here, before = F.col("region"), F.when(F.col("p_at") == F.col(at) - 1, F.col("p_region")).otherwise(F.lit(OUTSIDE))
-        sides = [near.select(OF, F.col(at).alias("k"), F.col(fixed).alias("f"), before.alias("low"), here.alias("high"))]
-        ends = near.filter(F.col("n_at").isNull() | (F.col("n_at") != F.col(at) + 1))
-        sides.append(ends.select(OF, (F.col(at) + 1).alias("k"), F.col(fixed).alias("f"), here.alias("low"), F.lit(OUTSIDE).alias("high")))
-        border = sides[0].union(sides[1]).filter("low <> high")
+        ends = F.col("n_at").isNull() | (F.col("n_at") != F.col(at) + 1)
+        sides = F.array(side(F.col(at), before, here), F.when(ends, side(F.col(at) + 1, here, F.lit(OUTSIDE))))
+        border = near.select(OF, F.col(fixed).alias("f"), F.explode(F.filter(sides, lambda s: s["low"] != s["high"])).alias("s")).select(OF, "f", "s.*")
         if down:  # between two cells of a line: south has the left cell on its right, north the right one
             ways = [(F.col("k"), F.col("f"), 1, F.col("k"), F.col("f") + 1, "low", "high"), (F.col("k"), F.col("f") + 1, 3, F.col("k"), F.col("f"), "high", "low")]
         else:  # between two cells of a column: east has the lower cell on its right, west the upper one
             ways = [(F.col("f"), F.col("k"), 0, F.col("f") + 1, F.col("k"), "high", "low"), (F.col("f") + 1, F.col("k"), 2, F.col("f"), F.col("k"), "low", "high")]
-        for x, y, d, hx, hy, right, left in ways:
-            found.append(border.select(OF, x.alias("x"), y.alias("y"), F.lit(d).alias("d"), hx.alias("hx"), hy.alias("hy"), F.col(right).alias("right"), F.col(left).alias("left")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+        both = F.array(*[
+            F.struct(x.alias("x"), y.alias("y"), F.lit(d).alias("d"), hx.alias("hx"), hy.alias("hy"), F.col(right).alias("right"), F.col(left).alias("left"))
+            for x, y, d, hx, hy, right, left in ways
+        ])
+        found.append(border.select(OF, F.explode(both).alias("w")).select(OF, "w.*"))
+    return found[0].union(found[1])
 
 
 def ranked_along(steps: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = 64
+#: Images to a task, about; fewer as long as there are more cores than tasks.
+IMAGES_PER_TASK = 16
 
 
 def level(e: Column) -> Column:
@@ -25,9 +27,14 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each 64 embeddings are an image: a row for each vector, channels a third of a turn apart; dark reds are transparent.
 
     Rows are brought together by image before they are exploded, so that every
-    later window or group over an image needs no shuffle of pixels.
+    later window or group over an image needs no shuffle of pixels.  The number
+    of tasks follows the number of images: left to itself Spark would choose it by
+    the bytes of the vectors, which become a hundred times as many as pixels.
     """
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.expr("vec_id div 64").alias("image_id"), "vec_id", "embedding").repartition("image_id")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.expr("vec_id div 64").alias("image_id"), "vec_id", "embedding")
+    images = -(-vectors.count() // SIDE)
+    tasks = max(1, images // IMAGES_PER_TASK, min(images, spark.sparkContext.defaultParallelism))
+    rows = vectors.repartition(tasks, "image_id")
     rows = rows.select("image_id", (F.col("vec_id") % 64).cast("int").alias("y"), F.transform("embedding", level).alias("v"))
     zipped = F.arrays_zip(F.col("v").alias("r"), rotated(F.col("v"), 21).alias("g"), rotated(F.col("v"), 42).alias("b"))
     flat = rows.select("image_id", "y", F.posexplode(zipped).alias("x", "c"))

@@ -46,10 +46,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, for rows whose number follows the pixels: joins with them shuffle.
+
+    By its files, which hold runs of equal numbers in few bytes, such a table
+    seems small enough for a broadcast, and the driver would hold it unfolded.
+    """
+    table = written(df, name)
+    out = table.hint("merge")
+    out.written_path = table.written_path
+    return out
+
+
 def written_counting(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
-    """As ``written``, with the number of rows that meet ``condition``, counted while they are written."""
+    """As ``dealt``, with the number of rows that meet ``condition``, counted while they are written."""
     seen = Observation()
-    out = written(df.observe(seen, F.count_if(condition).alias("n")), name)
+    out = dealt(df.observe(seen, F.count_if(condition).alias("n")), name)
     return out, seen.get["n"]
 
 
