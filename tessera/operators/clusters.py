@@ -15,23 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.runs import labelled_runs, numbered, run_cells
-
-
-def graph_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node reachable from each of n nodes over edges a - b: hook to the smaller label, then jump."""
-    label = np.arange(n)
-    while True:
-        la, lb = label[a], label[b]
-        differ = la != lb
-        if not differ.any():
-            return label
-        low, high = np.minimum(la, lb)[differ], np.maximum(la, lb)[differ]
-        np.minimum.at(label, high, low)
-        while True:
-            jumped = label[label]
-            if np.array_equal(jumped, label):
-                break
-            label = jumped
+from tessera.operators.tiles import least_labels
 
 
 def mask_labels(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
@@ -46,7 +30,7 @@ def mask_labels(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
         both = mask[y0, x0] & mask[y1, x1]
         a.append(at[y0, x0][both])
         b.append(at[y1, x1][both])
-    least = graph_labels(h * w, np.concatenate(a), np.concatenate(b)).reshape(h, w)
+    least = least_labels(h * w, np.concatenate(a), np.concatenate(b)).reshape(h, w)
     firsts = np.unique(least[mask])
     out = np.zeros((h, w), np.int64)
     out[mask] = np.searchsorted(firsts, least[mask]) + 1
@@ -361,7 +345,7 @@ def watershed_labels(pixels: DataFrame, detail: int = 128) -> DataFrame:
             target = min(max(int(np.floor(2 ** (detail / 25.5) + 0.5)), 1), len(keep))
             level = np.sort(keep)[len(keep) - target]
             joined = keep <= level
-            least = graph_labels(n, p[joined], q[joined])
+            least = least_labels(n, p[joined], q[joined])
         else:
             least = np.zeros(n, np.int64)
         region = np.searchsorted(np.unique(least), least)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graphs import OF, components
-from tessera.sources.scratch import written
+from tessera.sources.scratch import dealt
 
 #: A run is named by its first pixel: line * STRIDE + column, so that names ascend in raster order.
 STRIDE = 1 << 31
@@ -57,7 +57,7 @@ def meeting(runs: DataFrame, diagonal: bool = False, same: bool = True) -> DataF
 
 def labelled_runs(cells: DataFrame, value: str, diagonal: bool = False) -> DataFrame:
     """(image_id, y, x0, x1, value, node, label): runs with the first pixel, in raster order, of their connected piece of equal value."""
-    runs = written(row_runs(cells, value), "runs")
+    runs = dealt(row_runs(cells, value), "runs")
     labels = components(meeting(runs, diagonal))
     return runs.join(labels, [OF, "node"], "left").select(OF, "y", "x0", "x1", "value", "node", F.coalesce("label", "node").alias("label"))
 
@@ -66,7 +66,7 @@ def numbered(runs: DataFrame) -> DataFrame:
     """``runs`` with ``component``: pieces numbered from 1 in raster order of their first pixels."""
     order = Window.partitionBy(OF).orderBy("label")
     firsts = runs.filter("node = label").select(OF, "label", F.row_number().over(order).alias("component"))
-    return runs.join(firsts, [OF, "label"])
+    return runs.join(firsts.hint("merge"), [OF, "label"])
 
 
 def run_boxes(runs: DataFrame) -> DataFrame:
