@@ -20,7 +20,7 @@ from tessera.operators.graphs import OF
 from tessera.operators.merging import merged_similar
 from tessera.operators.paths import POINTS, documents_of, thinned, without_stairs
 from tessera.operators.runs import labelled_runs, pixel_name, run_cells
-from tessera.sources.scratch import written
+from tessera.sources.scratch import dealt
 
 Corner = tuple[int, int]
 #: What an image may bring of its own, and its default's name in ``region_paths``.
@@ -43,7 +43,7 @@ def border_lengths(found: DataFrame) -> DataFrame:
 
 def region_outlines(labels: DataFrame) -> DataFrame:
     """(image_id, region, left, top, length, area2) of each outline of each region; a region's areas, holes negative, make its own."""
-    steps = written(border_steps(labels), "border-steps")
+    steps = border_steps(labels)
     facts = border_lengths(segments(steps)).select(OF, F.col("first").alias("segment"), "left", "top", "steps", "area2")
     area = F.when(F.col("forward"), F.col("area2")).otherwise(-F.col("area2"))
     around = face_order(steps).join(facts, [OF, "segment"]).groupBy(OF, "region", "cycle")
@@ -112,15 +112,15 @@ def region_paths(labels: DataFrame, mode: str = "pixel", corner: float = 60, len
     defaults = {"mode": mode, "corner": corner, "length": length, "splice": splice, "simplify": simplify}
     settings = {k: defaults[v] for k, v in OWN_SETTINGS.items()}
     own = [k for k in OWN_SETTINGS if k in labels.columns]
-    labels = written(labels, "labels")
-    steps = written(border_steps(labels), "border-steps")
+    labels = dealt(labels, "labels")
+    steps = border_steps(labels)
     kinds = {k: "string" if k == "fit_mode" else "double" for k in OWN_SETTINGS}
     images = labels.groupBy(OF).agg(*[F.first(k).cast(kinds[k]).alias(k) if k in own else F.lit(None).cast(kinds[k]).alias(k) for k in OWN_SETTINGS])
     shapes = fitted_segments(segments(steps).join(images, OF), settings)
 
     # an outline belongs to the island of the cell on the right of where it begins
     right = {0: (0, 0), 1: (-1, 0), 2: (-1, -1), 3: (0, -1)}
-    order = written(face_order(steps), "faces")
+    order = face_order(steps)
     cell = [F.coalesce(*[F.when(F.col("d") == d, F.col(c) + by[k]) for d, by in right.items()]).alias(c) for k, c in enumerate("xy")]
     begins = order.filter("place = 0").select(OF, "region", "cycle", *cell).join(island_cells(labels), [OF, "x", "y"])
     z = F.dense_rank().over(Window.partitionBy(OF).orderBy("region", "island")) - 1
@@ -134,7 +134,7 @@ def region_paths(labels: DataFrame, mode: str = "pixel", corner: float = 60, len
     joined = F.concat(F.element_at(first, 1), F.flatten(F.transform(F.slice(first, F.lit(2), F.size(first)), lambda p: F.slice(p, F.lit(2), F.size(p)))))
     first_cell = F.min_by(F.struct(*[F.col(c).cast("int").alias(c) for c in "rgb"]), pixel_name())
     paints = labels.groupBy(OF, "region").agg(first_cell.alias("paint")).select(OF, "region", "paint.*")
-    made = lines.select(OF, "region", "cycle", joined.alias("points"), "cubic").join(outlines, [OF, "region", "cycle"]).join(paints, [OF, "region"])
+    made = lines.select(OF, "region", "cycle", joined.alias("points"), "cubic").join(outlines.hint("merge"), [OF, "region", "cycle"]).join(paints, [OF, "region"])
     return made.select(OF, "z", "r", "g", "b", "path", "points", "cubic")
 
 
