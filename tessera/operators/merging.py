@@ -9,7 +9,7 @@ from tessera.functions.colour import difference
 from tessera.operators.graphs import OF, both_ways
 from tessera.operators.regions import RGB, adjacency
 from tessera.operators.runs import pixel_name
-from tessera.sources.scratch import discarded, written, written_counting
+from tessera.sources.scratch import dealt, discarded, written, written_counting
 
 SUMS = [f"sum_{c}" for c in RGB]
 
@@ -29,11 +29,11 @@ def contracted(stats: DataFrame, links: DataFrame, moves: DataFrame) -> tuple[Da
     """``stats`` and ``links`` after each region of moves(image_id, region, root) has joined its root; the tables before are deleted."""
     at = F.coalesce("root", "region").alias("region")
     totals = [F.sum(c).alias(c) for c in ("area", *SUMS)]
-    next_stats = written(stats.join(moves, [OF, "region"], "left").select(OF, at, "area", *SUMS, "first").groupBy(OF, "region").agg(*totals, F.min("first").alias("first")), "regions")
+    next_stats = dealt(stats.join(moves, [OF, "region"], "left").select(OF, at, "area", *SUMS, "first").groupBy(OF, "region").agg(*totals, F.min("first").alias("first")), "regions")
     for end in "ab":
         moved = moves.select(OF, F.col("region").alias(end), F.col("root").alias(f"to_{end}"))
         links = links.join(moved, [OF, end], "left").withColumn(end, F.coalesce(f"to_{end}", end)).drop(f"to_{end}")
-    next_links = written(links.filter("a <> b").select(OF, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "touching")
+    next_links = dealt(links.filter("a <> b").select(OF, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "touching")
     return next_stats, next_links
 
 
@@ -59,14 +59,14 @@ def merged_regions(labels: DataFrame, most: int | None = None) -> DataFrame:
     regions where three or more are near each other.  ``most`` null: each image's
     own layer_difference.
     """
-    stats = written(region_sums(labels), "regions")
-    links = written(adjacency(labels), "touching")
-    roots = written(stats.select(OF, "region", F.col("region").alias("root")), "roots")
+    stats = dealt(region_sums(labels), "regions")
+    links = dealt(adjacency(labels), "touching")
+    roots = dealt(stats.select(OF, "region", F.col("region").alias("root")), "roots")
     limits = None if most is not None else written(labels.groupBy(OF).agg(F.first("layer_difference").alias("most")), "limits")
     while True:
         held = links if limits is None else links.join(limits, OF)
         near = nearest_pairs(stats, held, F.lit(most) if limits is None else F.col("most"))
-        near = written(near, "nearest")
+        near = dealt(near, "nearest")
         back = near.select(OF, F.col("region").alias("other"), F.col("other").alias("back"))
         pairs = near.join(back, [OF, "other"]).filter("back = region").select(OF, "region", F.least("region", "other").alias("root"))
         joining = near.join(pairs.select(OF, F.col("region").alias("other"), "root"), [OF, "other"]).join(pairs.select(OF, "region"), [OF, "region"], "left_anti").select(OF, "region", "root")
@@ -77,7 +77,7 @@ def merged_regions(labels: DataFrame, most: int | None = None) -> DataFrame:
             return out.select(OF, "region", "root", *[F.col(f"m.{c}").cast("int").alias(f"mean_{c}") for c in RGB], "first")
         next_stats, next_links = contracted(stats, links, moves)
         step = roots.join(moves.select(OF, F.col("region").alias("root"), F.col("root").alias("to")), [OF, "root"], "left")
-        next_roots = written(step.select(OF, "region", F.coalesce("to", "root").alias("root")), "roots")
+        next_roots = dealt(step.select(OF, "region", F.coalesce("to", "root").alias("root")), "roots")
         discarded(stats, links, roots, moves)
         stats, links, roots = next_stats, next_links, next_roots
 
@@ -89,6 +89,6 @@ def merged_similar(labels: DataFrame, most: int) -> DataFrame:
     """
     merged = merged_regions(labels, None if "layer_difference" in labels.columns else most)
     number = F.dense_rank().over(Window.partitionBy(OF).orderBy("first")) - 1
-    merged = written(merged.withColumn("number", number.cast("int")), "merged").select(OF, "region", "number", *[f"mean_{c}" for c in RGB])
+    merged = dealt(merged.withColumn("number", number.cast("int")), "merged").select(OF, "region", "number", *[f"mean_{c}" for c in RGB])
     others = [c for c in labels.columns if c not in (OF, "x", "y", "region", *RGB)]
     return labels.join(merged, [OF, "region"]).select(OF, "x", "y", F.col("number").alias("region"), *[F.col(f"mean_{c}").alias(c) for c in RGB], *others)
