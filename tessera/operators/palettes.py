@@ -37,7 +37,8 @@ def median_cut(samples: list[tuple[tuple[int, int, int], int]], most: int) -> li
 def quantised_layers(layers: DataFrame, most: int) -> DataFrame:
     """Layers in at most ``most`` colours of their image's own; a layer weighs its area and one more.
 
-    Images may bring their own max_colors in place of ``most``.
+    Images may bring their own max_colors in place of ``most``.  Layers are read
+    twice: hand in a table that is written.
     """
     own_most = ["max_colors"] if "max_colors" in layers.columns else []
 

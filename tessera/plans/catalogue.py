@@ -25,6 +25,7 @@ from tessera.operators.trees import tree_links
 from tessera.plans.auto import auto_vectorise
 from tessera.plans.oracles import PALETTE, SMALL_SIDE
 from tessera.sources import rasters
+from tessera.sources.scratch import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -253,6 +254,6 @@ on_pixels("svg_cutout", lambda px: M.cutout(noisy_layers(px), P.sizes(px), "poly
 on_pixels("svg_cutout_spline", lambda px: M.cutout(noisy_layers(px), P.sizes(px), "spline", level=2))
 on_pixels("watershed_layers", lambda px: W.watershed_layers(px).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))
 on_pixels("svg_watershed", lambda px: S.vectorised(W.watershed_layers(px, 100, 16), P.sizes(px), "polygon"))
-on_pixels("median_cut", lambda px: A.joined_neighbours(A.quantised_layers(noisy_layers(px), 6)).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))
+on_pixels("median_cut", lambda px: A.joined_neighbours(A.quantised_layers(dealt(noisy_layers(px), "layers"), 6)).select("image_id", "z", "r", "g", "b", F.size("cells").alias("area")))
 on_pixels("simplify_curves", lambda px: S.contours(C.binary_layers(P.fixed_threshold(px, 110), 2), "spline", simplify=2.0).select("image_id", "z", "path", F.size("points").alias("n")))
 on_pixels("svg_auto", lambda px: auto_vectorise(px, "compact"))
