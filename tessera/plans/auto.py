@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import clusters, decisions, features, mosaic, palettes, paths, pixels
-from tessera.sources.scratch import written
+from tessera.sources.scratch import dealt, written
 
 SEGMENT = ["color_precision", "layer_difference", "filter_speckle"]
 DRAW = ["fit_mode", "corner_threshold", "segment_length", "splice_threshold", "simplify"]
@@ -30,7 +30,8 @@ def segmented(px: DataFrame, chosen: DataFrame) -> DataFrame:
     fixed = drawn.filter("not binary_adaptive").select("image_id", "x", "y", (pixels.grey_level() < F.col("binary_threshold")).cast("int").alias("fg"))
     ink = clusters.binary_layers(fixed.unionByName(pixels.adaptive_threshold(drawn.filter("binary_adaptive"))), 0)
     ink = ink.join(binary.select("image_id", "filter_speckle"), "image_id").filter("size(cells) >= filter_speckle * filter_speckle").drop("filter_speckle")
-    layers = colour.unionByName(ink).join(chosen.select("image_id", "max_colors"), "image_id")
+    # read by every branch below, and kernels over whole images are what costs most
+    layers = dealt(colour.unionByName(ink).join(chosen.select("image_id", "max_colors"), "image_id"), "layers")
     few = palettes.joined_neighbours(palettes.quantised_layers(layers.filter("max_colors is not null"), 0))
     return layers.filter("max_colors is null").drop("max_colors").unionByName(few)
 

@@ -10,6 +10,7 @@ from tessera.operators.borders import border_steps, face_order
 from tessera.operators.graphs import components, forest_in_rounds, spanning_forest, spread_labels
 from tessera.operators.runs import labelled_runs, meeting, numbered, row_runs
 from tessera.operators.trees import pixel_links
+from tessera.plans.auto import segmented
 from tessera.sources import rasters
 
 
@@ -57,3 +58,13 @@ def test_round_tables_are_never_broadcast(spark):
     for found in (M.region_paths(px.select("*", *[F.lit(0).alias(c) for c in "rgb"])), numbered(labelled_runs(px, "region")), components(meeting(row_runs(px, "region")), 2)):
         found.collect()
         assert "BroadcastExchange" not in plan_of(found)
+
+
+def test_layers_are_found_once(spark):
+    colours = [((F.col("x") * k + F.col("y") * 7) % 256).cast("int").alias(c) for k, c in zip((9, 31, 77), "rgb")]
+    px = random_images(spark, 1).select("image_id", "x", "y", *colours, F.lit(255).alias("a"))
+    setting = {"clustering": "color", "color_precision": 6, "layer_difference": 16, "filter_speckle": 1, "binary_threshold": 128, "binary_adaptive": False, "max_colors": 4}
+    chosen = px.select("image_id").distinct().select("image_id", *[F.lit(v).alias(k) for k, v in setting.items()])
+    found = segmented(px, chosen)  # only the palettes' kernel is left in the plan
+    assert plan_of(found).split("Initial Plan")[0].count("FlatMapGroupsIn") == 1
+    assert {tuple(c) for r in found.collect() for c in r.cells} == {(r.y, r.x) for r in px.collect()}
