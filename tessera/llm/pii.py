@@ -3,14 +3,16 @@
 Information-theoretic sanitisation.  The entities to protect are the distinct
 values that the base patterns find, an address or a number, and credentials: a
 long value that a word such as "token" or "password" is set to.  Over all
-documents, a term t that stands near an entity c (within CONTEXT characters, up
-to the next match) leaves -log2 p(c | t) bits of the entity's information open,
-with p(c | t) = n(c, t) / (n(t) + 1): one document more is taken to hold the term
-alone.  One occurrence is no estimate: c and t must have met in MEETINGS
-different surroundings, of which copies share one.  A term that leaves at most
-GENERALISE bits is generalised in the documents where it stands near the entity,
-and removed if it leaves at most REMOVE; one that leaves at most CERTAIN is
-treated so in all other documents as well, which hold it alone.  Thresholds are
+documents, a term t that stands in a document with an entity c, however far from
+it, leaves -log2 p(c | t) bits of the entity's information open, with p(c | t) =
+n(c, t) / (n(t) + 1): one document more is taken to hold the term alone.  One
+occurrence is no estimate: c and t must have met MEETINGS times independently.
+What stands within CONTEXT characters of an entity, up to the next match, are its
+surroundings: documents in which they are the same (copies, a signature) are one
+meeting, and one document is several only for terms within different
+surroundings.  A term that leaves at most GENERALISE bits is generalised in the
+documents that hold an entity, and removed if it leaves at most REMOVE; one that
+leaves at most CERTAIN is treated so in all other documents as well.  Thresholds are
 bits left, so that they mean the same in a corpus of any size.  DataFrame
 functions only.
 """
@@ -38,12 +40,12 @@ PATTERNS = {
 # a value of sixteen characters and more with a digit in it, after a word that names a credential and = or :
 VALUE = "A-Za-z0-9+/_~.-"
 NAMES = "token|secret|password|passwd|pwd|credential|bearer|auth|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key"
-PATTERNS["secret"] = rf"(?<![{VALUE}])(?=[{VALUE}]{{16}})(?<=(?i:{NAMES})[\"']?\x20{{0,3}}[:=]\x20{{0,3}}[\"']?)(?=[A-Za-z+/_~.-]{{0,200}}[0-9])[{VALUE}]++={{0,2}}"
+PATTERNS["secret"] = rf"(?<![{VALUE}])(?=[{VALUE}]{{16}})(?<=(?i:{NAMES})[\"']?\x20{{0,3}}[:=]\x20{{0,3}}[\"']?)(?=[A-Za-z+/_~.-]*+[0-9])[{VALUE}]++={{0,2}}"
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None}  # a character without which there is no match
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-CONTEXT = 200  # characters on each side of an entity in which a term counts as standing near it
-MEETINGS = 2  # different surroundings in which an entity and a term are met, at least
+CONTEXT = 200  # characters on each side of an entity by which its surroundings are told apart
+MEETINGS = 2  # different surroundings of the entity with which a term is met, at least
 GENERALISE, REMOVE, CERTAIN = 1.0, 0.25, 0.075  # bits of the entity's information that a term leaves open, at most
 SALTS = 64
 #: Rows of (text, its terms) up to which the texts that hold a certain term without the entity are found by broadcast; beyond, by shuffle.
@@ -137,16 +139,32 @@ def lowered(text: Column) -> Column:
     return F.lower(F.translate(text, "İ", "i"))
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+def met_terms(holding: DataFrame, spots: DataFrame) -> DataFrame:
+    """(entity, term, n_both) of all that met often enough: n_both counts the documents in which both stand, anywhere in the text.
+
+    ``holding`` (uid, text) are the documents with an entity, ``spots`` (uid, entity,
+    near, words) its occurrences, ``near`` a hash of the surroundings.
+    """
+    # an entity whose surroundings are always the same meets nothing twice
+    varied = spots.groupBy("entity").agg(F.count_distinct("near").alias("n")).filter(F.col("n") >= MEETINGS).select("entity")
+    known = spots.join(varied, "entity")
+    close = known.select("entity", "near", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count_distinct("near").alias("n"))
+    close = close.filter(F.col("n") >= MEETINGS).select("entity", "term", F.lit(True).alias("close"))
+    places = known.groupBy("uid", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("near"))).alias("place"))
+    by_text = places.groupBy("uid").agg(F.collect_list(F.struct("entity", "place")).alias("places"))
+    apart = holding.select("uid", "text").join(by_text, "uid").select("places", F.explode(terms(F.col("text"))).alias("term")).select("term", F.explode("places").alias("x"))
+    together = apart.groupBy("x.entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("x.place").alias("meetings"))
+    return together.join(close, ["entity", "term"], "left").filter((F.col("meetings") >= MEETINGS) | F.col("close")).select("entity", "term", "n_both")
+
+
+def disclosing_terms(docs: DataFrame, holding: DataFrame, spots: DataFrame) -> DataFrame:
     """(term, open, certain): terms that leave at most GENERALISE bits of an entity's information open.
 
-    ``docs`` (text) are all documents, ``contexts`` (uid, entity, near, term) what
-    stands near the entities, ``near`` a hash of the surroundings.  certain:
-    whether the term also stands where the entity is not near, and points to it
-    even there.
+    ``docs`` (text) are all documents; for the others see ``met_terms``.  certain:
+    whether the term also stands where the entity does not, and points to it even
+    there.
     """
-    together = contexts.filter("term is not null").groupBy("entity", "term").agg(F.count_distinct("uid").alias("n_both"), F.count_distinct("near").alias("meetings"))
-    met = together.filter(F.col("meetings") >= MEETINGS)
+    met = met_terms(holding, spots)
     # counted in each task before anything is shuffled; no term is sent more often than once by a task
     n_term = docs.select(F.explode(terms(plain_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     left = -F.log2(F.col("n_both") / (F.col("n_term") + 1))
@@ -170,13 +188,11 @@ def spanned(docs: DataFrame) -> DataFrame:
     holding = written(based.filter(holds).withColumn("uid", F.monotonically_increasing_id()), "pii-holding")
     others = based.filter(~holds).select("row", "text", "base_spans", "found")
     near = holding.select("uid", F.explode("contexts").alias("x"))
-    contexts = written(near.select("uid", "x.entity", F.xxhash64("x.near").alias("near"), F.explode_outer(terms(F.col("x.near"))).alias("term")).distinct(), "pii-contexts")
-    telling = written(disclosing_terms(docs, contexts), "pii-terms")
-    places = contexts.select("uid", "term").join(telling.select("term", "open"), "term")
+    spots = written(near.select("uid", "x.entity", F.xxhash64("x.near").alias("near"), terms(F.col("x.near")).alias("words")), "pii-contexts")
+    telling = written(disclosing_terms(docs, holding, spots), "pii-terms")
+    places = holding.select("uid", F.explode(terms(F.col("text"))).alias("term")).join(telling.select("term", "open"), "term")
     certain = telling.filter("certain").select("term", "open")
     sought = not certain.isEmpty()
-    if sought:
-        places = places.unionByName(holding.select("uid", F.explode(terms(F.col("text"))).alias("term")).join(certain, "term"))
     wanted = ["row", "text", "base_spans"]
     out = holding.join(written(flags_by(places, "uid"), "pii-flagged"), "uid", "left").select(*wanted, term_spans().alias("spans"))
     if sought:

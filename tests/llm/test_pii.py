@@ -178,6 +178,28 @@ def test_thresholds_mean_the_same_in_a_corpus_of_any_size(spark, n):
     assert {k: [w for kind, w in v if kind in ("term", "removed")] for k, v in got.items()} == {0: ["words", "by", "quillon", "on", "day"], 7: ["words", "by", "quillon", "on", "day"], 14: ["words", "by", "quillon", "on", "day"], 40: []}
 
 
+def test_a_name_is_evidence_however_far_from_the_entity_it_stands(spark):
+    """Far from the address, and beyond another match of its kind; a signature that is the same everywhere is one meeting."""
+    r = random.Random(4)
+
+    def filler(n):
+        return " ".join(r.choice("the of and in to it kappa was".split()) for _ in range(n))
+
+    docs = [(i, filler(30)) for i in range(200)]
+    for k in range(3):
+        docs[k] = (k, f"quillon {filler(300)} user{k}@else.org {filler(100)} ann@mail.org {filler(300)} sandrel {k}")
+        docs[10 + k] = (10 + k, f"flumber{'abc'[k]} zindrak {filler(150)}. {'Regards and so on. ' * 20} bob@mail.org")
+    got = {x.doc_id: {docs[x.doc_id][1][s.start : s.end] for s in x.spans if s.kind in ("term", "removed")} for x in pii.with_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(3)] == [{"quillon", "sandrel"}] * 3
+    assert not any(got[i] for i in range(3, 200))
+
+
+def test_a_credential_may_begin_with_any_number_of_letters(spark):
+    text = "token = " + "a" * 500 + "1"
+    (row,) = pii.with_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s.kind, s.start, s.end) for s in row.spans] == [("secret", *s) for s in plain_secrets(text)] == [("secret", 8, 509)]
+
+
 def test_columns_of_any_name_are_kept(spark):
     names = ["doc_id", "text", "spans", "base_spans", "_x", "key", "row", "flagged", "m_email", "term", "open", "n_chars"]
     values = (1, "to ann@mail.org now", "s", "b", "x", "k", "r", "f", "m", "t", 0.5, 19)
