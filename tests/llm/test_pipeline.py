@@ -74,6 +74,23 @@ def test_large_bucket_of_many_small_groups(spark):
     assert sorted((x.a, x.b) for x in links.collect()) == [(2 * i, 2 * i + 1) for i in range(700)]
 
 
+def test_pairs_about_the_limit_are_decided_by_their_sets(spark):
+    """Pairs just at and just below 0.8, which the sketch's estimate mistakes on both sides; each text's partner stays if and only if they are too far apart."""
+    docs = []
+    for i in range(60):
+        w = words(204, 1000 + i).split()
+        v = list(w)
+        # each lone edit takes five of 200 shingles: 4 leave 180/220, the fifth at the end takes 2 (178/222 = 0.802) or 3 (177/223 = 0.794)
+        for at in (20, 60, 100, 140, 204 - 2 - i % 2):
+            v[at] = f"edit{i}"
+        docs += [(2 * i, " ".join(w), "en", "s", 0), (2 * i + 1, " ".join(v), "en", "s", 0)]
+    want = {2 * i for i in range(60)} | {2 * i + 1 for i in range(60) if similarity(docs[2 * i][1], docs[2 * i + 1][1]) < 0.8}
+    assert len(want) == 90
+    # a pair shares no sample at all with a probability of 0.009
+    got = {r.doc_id for r in one_of_each(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert want <= got and len(got - want) <= 1
+
+
 def test_differing_bits_may_crowd_anywhere():
     sketches = np.full((2, SKETCH), 7, np.uint32)
     for shift in range(0, 64, 16):
