@@ -1,7 +1,13 @@
-"""Merging of regions over their adjacency graph, in rounds of joins; pixels are only touched before and after."""
+"""Merging of regions over their adjacency graph, in rounds; pixels are only touched before and after.
+
+The rounds of an image with at most WHOLE regions are gone through in one group;
+those of larger images are joins.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +18,8 @@ from tessera.operators.runs import pixel_name
 from tessera.sources.scratch import dealt, discarded, written, written_counting
 
 SUMS = [f"sum_{c}" for c in RGB]
+#: Regions of an image up to which it is merged in one group, which this bounds whatever the size of the table.
+WHOLE = 16_384
 
 
 def mean_struct() -> Column:
@@ -47,6 +55,62 @@ def nearest_pairs(stats: DataFrame, links: DataFrame, limit: Column | None) -> D
     return ways.groupBy(OF, F.col("a").alias("region")).agg(F.min_by("b", F.struct("diff", F.least("a", "b"), F.greatest("a", "b"))).alias("other"))
 
 
+def rounds_within(sums: np.ndarray, area: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The root of each region of one image, by the rounds of ``merged_regions``; regions are numbered in the order of their names."""
+    root, sums, area = np.arange(len(area)), sums.copy(), area.copy()
+    while True:
+        means = np.sign(sums) * (np.abs(sums) // area[:, None])
+        diff = np.abs(means[a] - means[b]).sum(1)
+        at = diff <= most
+        one, two, diff = np.r_[a[at], b[at]], np.r_[b[at], a[at]], np.r_[diff[at], diff[at]]
+        if not len(one):
+            return root
+        order = np.lexsort((np.maximum(one, two), np.minimum(one, two), diff, one))
+        one, two = one[order], two[order]
+        least = np.r_[True, one[1:] != one[:-1]]
+        region, other = one[least], two[least]
+        nearest, joined = np.full(len(root), -1), np.full(len(root), -1)
+        nearest[region] = other
+        mutual = nearest[other] == region
+        joined[region[mutual]] = np.minimum(region, other)[mutual]
+        to = np.arange(len(root))
+        to[region] = np.where(joined[other] >= 0, joined[other], region)
+        moved = np.flatnonzero(to != np.arange(len(root)))
+        np.add.at(sums, to[moved], sums[moved])
+        np.add.at(area, to[moved], area[moved])
+        root = to[root]
+        a, b = np.minimum(to[a], to[b]), np.maximum(to[a], to[b])
+        a, b = np.unique(np.stack([a, b], 1)[a != b], axis=0).T
+
+
+def merged_within(stats: DataFrame, links: DataFrame) -> DataFrame:
+    """(image_id, region, root) of stats(image_id, region, area, sums, most) and links(image_id, a, b), an image in each group."""
+    region = stats.schema["region"].dataType
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        most = one.column("most")[0].as_py() if one.num_rows else None
+        order = np.argsort(one.column("region").to_numpy(), kind="stable")
+        one = one.take(order)
+        names = one.column("region").to_numpy()
+        known = np.logical_and.reduce([~np.asarray(one.column(c).is_null()) for c in SUMS])
+        a, b = (np.searchsorted(names, two.column(c).to_numpy()) for c in "ab")
+        # a region without colour is near to none
+        fit = known[a] & known[b] if most is not None else np.zeros(len(a), bool)
+        sums = np.stack([one.column(c).fill_null(0).to_numpy() for c in SUMS], 1)
+        root = names[rounds_within(sums, one.column("area").to_numpy(), a[fit], b[fit], most or 0)]
+        return pa.table({OF: one.column(OF), "region": one.column("region"), "root": pa.array(root, one.schema.field("region").type)})
+
+    schema = f"{OF} {stats.schema[OF].dataType.simpleString()}, region {region.simpleString()}, root {region.simpleString()}"
+    slim = stats.select(OF, "region", "area", *SUMS, "most").groupBy(OF)
+    return slim.cogroup(links.select(OF, "a", "b").groupBy(OF)).applyInArrow(run, schema)
+
+
+def with_means(roots: DataFrame, stats: DataFrame) -> DataFrame:
+    """roots(image_id, region, root) with the mean colour and first pixel of each root's row of ``stats``."""
+    out = roots.join(stats.select(OF, F.col("region").alias("root"), mean_struct().alias("m"), "first"), [OF, "root"])
+    return out.select(OF, "region", "root", *[F.col(f"m.{c}").cast("int").alias(f"mean_{c}") for c in RGB], "first")
+
+
 def merged_regions(labels: DataFrame, most: int | None = None) -> DataFrame:
     """(image_id, region, root, mean_r, mean_g, mean_b, first): neighbouring regions whose means differ by ``most`` at most become one.
 
@@ -61,8 +125,22 @@ def merged_regions(labels: DataFrame, most: int | None = None) -> DataFrame:
     """
     stats = dealt(region_sums(labels), "regions")
     links = dealt(adjacency(labels), "touching")
-    roots = dealt(stats.select(OF, "region", F.col("region").alias("root")), "roots")
     limits = None if most is not None else written(labels.groupBy(OF).agg(F.first("layer_difference").alias("most")), "limits")
+    large = written(stats.groupBy(OF).agg(F.count("*").alias("n")).filter(F.col("n") > WHOLE).select(OF), "large")
+    some_large = not large.isEmpty()
+    small, small_links = (t.join(large, OF, "left_anti") if some_large else t for t in (stats.filter(f"{OF} is not null"), links))
+    roots = dealt(merged_within(small.withColumn("most", F.lit(most)) if limits is None else small.join(limits, OF), small_links), "roots")
+    totals = [F.sum(c).alias(c) for c in ("area", *SUMS)]
+    merged = small.join(roots, [OF, "region"]).groupBy(OF, F.col("root").alias("region")).agg(*totals, F.min("first").alias("first"))
+    whole = with_means(roots, merged)
+    if not some_large:
+        return whole
+    return whole.unionByName(merged_by_joins(dealt(stats.join(large, OF), "regions"), dealt(links.join(large, OF), "touching"), limits, most))
+
+
+def merged_by_joins(stats: DataFrame, links: DataFrame, limits: DataFrame | None, most: int | None) -> DataFrame:
+    """``merged_regions`` of images of any size, whose rounds are joins; the tables given are deleted on the way."""
+    roots = dealt(stats.select(OF, "region", F.col("region").alias("root")), "roots")
     while True:
         held = links if limits is None else links.join(limits, OF)
         near = nearest_pairs(stats, held, F.lit(most) if limits is None else F.col("most"))
@@ -73,8 +151,7 @@ def merged_regions(labels: DataFrame, most: int | None = None) -> DataFrame:
         moves, n = written_counting(pairs.filter("region <> root").union(joining), "moves", F.lit(True))
         discarded(near)
         if not n:
-            out = roots.join(stats.select(OF, F.col("region").alias("root"), mean_struct().alias("m"), "first"), [OF, "root"])
-            return out.select(OF, "region", "root", *[F.col(f"m.{c}").cast("int").alias(f"mean_{c}") for c in RGB], "first")
+            return with_means(roots, stats)
         next_stats, next_links = contracted(stats, links, moves)
         step = roots.join(moves.select(OF, F.col("region").alias("root"), F.col("root").alias("to")), [OF, "root"], "left")
         next_roots = dealt(step.select(OF, "region", F.coalesce("to", "root").alias("root")), "roots")

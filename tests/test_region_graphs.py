@@ -199,6 +199,23 @@ def merged_plainly(a, rgb, most):
         of = {k: move.get(v, v) for k, v in of.items()}
 
 
+@pytest.mark.parametrize("most", [0, 6, 30, 90])
+def test_images_of_bounded_size_merge_without_rounds_of_joins(spark, monkeypatch, most):
+    """As by joins, which larger images still go through; a few jobs, however many rounds it takes."""
+    r = np.random.default_rng(most)
+    rows = [(k, x, y, (y // 2) * 8 + x // 2, *map(int, r.integers(0, 60, 3)), most) for k in range(6) for y, x in np.ndindex(16, 16)]
+    rows += [(9, 0, 0, 1, None, None, None, most), (9, 1, 0, 2, 5, 5, 5, None), (9, 2, 0, 3, 5, 5, 5, None)]
+    df = spark.createDataFrame(rows, LABELS + ", layer_difference int")
+    jobs = []
+    monkeypatch.setattr(R, "merged_by_joins", lambda *a: jobs.append(a))
+    got = sorted(map(str, R.merged_regions(df).collect()))
+    assert not jobs
+    monkeypatch.undo()
+    for whole in (0, 3):
+        monkeypatch.setattr(R, "WHOLE", whole)
+        assert sorted(map(str, R.merged_regions(df).collect())) == got
+
+
 def test_merging_in_rounds(spark):
     r = np.random.default_rng(11)
     rows, want = [], {}
